@@ -1,0 +1 @@
+"""The same plans over streams."""
