@@ -107,11 +107,11 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     lines = lines_of(docs, doc_id, text).where("node is not null")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         known = stash(lines.select("node", "line").join(bounded(nodes), "node", "left_semi").dropDuplicates(["node"]))
         both = pairs.join(known.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         links = stash(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"))
-        discard(nodes, known)
+        discard(known)
         return links
 
     entries = lines.select("node", "line").mapInArrow(_entries, "key bigint, slot bigint, node bigint, info bigint")

@@ -7,8 +7,9 @@ components are compared pair by pair, so no link between components is missed an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +17,37 @@ from .shared import discard, stash
 
 #: Rounds of comparisons with a hub before the rest is compared pair by pair.
 HUB_ROUNDS = 2
+#: Edges of which one task finds the components (16 bytes each); more are contracted by joins.
+TASK_EDGES = 250_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of one task's edges, each named by its smallest node."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "comp"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the undirected `edges` (a, b); comp is the smallest node of its component.
 
-    Distributed union-find by contraction: each node points to the smallest of its neighbourhood, edges are rewritten
+    A counted small number of edges is one task's. Else distributed union-find by contraction: each node points to the smallest of its neighbourhood, edges are rewritten
     between what is pointed to, and pointers are composed, until no edge is left. Each round is a written table, so a
     lost executor repeats one round at most. Rows of a node with many edges are combined before the shuffle.
     """
+    if edges.limit(TASK_EDGES + 1).count() <= TASK_EDGES:
+        return stash(edges.where("a <> b").select("a", "b").coalesce(1).mapInArrow(_union_find, "node bigint, comp bigint"))
     rest = stash(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     comp = None
     while not rest.isEmpty():
@@ -51,7 +74,7 @@ def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verif
 
     entries: key long, slot long, node long, info long. A slot is a part of a key's group (the key itself unless the
     group is known to be hot). admits(info, info) is a lossless filter of candidates; verify(pairs a, b) returns the
-    pairs that are links, exactly.
+    pairs that are links, exactly, as a written table.
     """
     order = F.struct(F.xxhash64("node").alias("h"), "node", "info")
     group = Window.partitionBy("slot")
@@ -64,7 +87,7 @@ def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verif
     top = hubs.groupBy("key").agg(F.min(order).alias("top"))
     across = hubs.join(top, "key").where("node <> top.node").where(admits(F.col("info"), F.col("top.info"))).select(*_pair(F.col("node"), F.col("top.node")))
     tried = stash(first.union(across).distinct())
-    edges = stash(verify(tried))
+    edges = verify(tried)
     comp = components(edges)
 
     for turn in range(1, HUB_ROUNDS + 1):
@@ -79,7 +102,7 @@ def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verif
             pairs = now.join(mixed.select("key", "hub"), "key").where("node <> hub.node and comp <> hub.comp").where(admits(F.col("info"), F.col("hub.info"))).select(*_pair(F.col("node"), F.col("hub.node")))
         fresh = stash(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
-            more = stash(verify(fresh))
+            more = verify(fresh)
             if not more.isEmpty():
                 edges = edges.union(more)
                 comp = components(edges)

@@ -190,12 +190,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         near = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
         suffix = (F.greatest("a_n", "b_n") > COUNTED) | (_most("a_", "b_") >= _needed(F.col("a_n"), F.col("b_n")))
         near = stash(near.where(suffix).select("a", "b", "a_doc_id", "b_doc_id"))
-        ids = stash(near.select(F.col("a_doc_id").alias("doc_id")).union(near.select("b_doc_id")).distinct())
+        ids = near.select(F.col("a_doc_id").alias("doc_id")).union(near.select("b_doc_id")).distinct()
         sets = docs.join(bounded(ids), "doc_id", "left_semi").mapInArrow(_sets, "node bigint, members binary").dropDuplicates(["node"])
         sets = stash(sets)
         both = near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
         links = stash(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"))
-        discard(near, ids, sets)
+        discard(near, sets)
         return links
 
     entries = docs.mapInArrow(_prefixes(keys, counts), "key bigint, slot bigint, node bigint, info bigint")
