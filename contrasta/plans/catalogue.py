@@ -1,10 +1,513 @@
-"""All queries, and the SQL that each is held against."""
+"""All queries over the driver's tables, and the SQL that each is held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import graph as G
+from ..operators import kernel as K
+from ..operators import metrics as M
+from ..operators import ranking as R
+from ..operators import relations as L
+from ..sources import tables as T
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with its SQL where there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+TRIPLES = """triples AS (
+  SELECT 'c' || c_custkey AS s, 'inNation' AS p, 'n' || c_nationkey AS o FROM customer
+  UNION ALL SELECT 'c' || c_custkey, 'segment', 'seg:' || c_mktsegment FROM customer
+  UNION ALL SELECT 's' || s_suppkey, 'inNation', 'n' || s_nationkey FROM supplier
+  UNION ALL SELECT 'n' || n_nationkey, 'inRegion', 'r' || n_regionkey FROM nation
+  UNION ALL SELECT 'p' || p_partkey, 'brand', 'brand:' || p_brand FROM part
+  UNION ALL SELECT 'p' || p_partkey, 'type', 'type:' || p_type FROM part
+  UNION ALL SELECT 'o' || o_orderkey, 'placedBy', 'c' || o_custkey FROM orders
+  UNION ALL SELECT 'o' || o_orderkey, 'priority', 'prio:' || o_orderpriority FROM orders
+  UNION ALL SELECT 'p' || l_partkey, 'suppliedBy', 's' || l_suppkey FROM lineitem)"""
+FACTS = """facts AS (
+  SELECT DISTINCT o_custkey AS entity, 'priority' AS key, o_orderpriority AS value FROM orders
+  UNION SELECT o_custkey, 'status', o_orderstatus FROM orders
+  UNION SELECT o_custkey, 'year', CAST(year(o_orderdate) AS VARCHAR) FROM orders)"""
+CANDS = """cands AS (
+  SELECT answer, cand, pos, 1 - pos / 100.0::DOUBLE AS score FROM (
+    SELECT a.c_custkey AS answer, c.c_custkey AS cand, row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(c.c_acctbal - a.c_acctbal), c.c_custkey) AS pos
+    FROM customer a JOIN customer c ON a.c_nationkey = c.c_nationkey AND a.c_custkey <> c.c_custkey WHERE a.c_custkey <= 12) WHERE pos <= 8)"""
+SETS = FACTS + ", " + CANDS + """, sets AS (SELECT entity, key, list_sort(list(value)) AS vs FROM facts GROUP BY entity, key),
+grid AS (SELECT c.answer, c.cand, c.pos, c.score, a.key, a.vs AS aset, coalesce(b.vs, []) AS cset
+  FROM cands c JOIN sets a ON a.entity = c.answer LEFT JOIN sets b ON b.entity = c.cand AND b.key = a.key)"""
+MATRIX = SETS + """, matrix AS (SELECT answer, cand, pos, score, key, value,
+  CASE WHEN list_contains(cset, value) THEN 0 WHEN len(cset) = 0 THEN 1 WHEN len(cset) = 1 THEN 3 ELSE 2 END AS level
+  FROM (SELECT *, unnest(aset) AS value FROM grid))"""
+COMBOS = MATRIX + """, combos AS (SELECT a.answer, a.pos AS i, b.pos AS j, c.pos AS k, a.score + b.score + c.score AS sum_score,
+  least(a.score, b.score, c.score) AS min_score, a.pos + b.pos + c.pos AS sum_rank
+  FROM cands a JOIN cands b ON a.answer = b.answer AND a.pos < b.pos JOIN cands c ON b.answer = c.answer AND b.pos < c.pos)"""
+MASKS = COMBOS + """, masks AS (SELECT * FROM (
+  SELECT t.answer, i, j, k, x.key, x.value, sum(CASE WHEN x.level >= lv THEN CASE x.pos WHEN i THEN 1 WHEN j THEN 2 WHEN k THEN 4 ELSE 0 END ELSE 0 END)::INT AS mask, lv
+  FROM combos t JOIN matrix x ON x.answer = t.answer CROSS JOIN (VALUES (3), (2), (1)) v(lv) GROUP BY t.answer, i, j, k, x.key, x.value, lv) WHERE mask > 0),
+sig AS (SELECT answer, i, j, k, lv, bit_or(1 << mask) AS signature FROM masks GROUP BY answer, i, j, k, lv),
+sizes AS (SELECT *, CASE WHEN signature & 128 > 0 THEN 1
+  WHEN (signature & 66 = 66) OR (signature & 36 = 36) OR (signature & 24 = 24) OR (signature & 40 = 40) OR (signature & 72 = 72) OR (signature & 96 = 96) THEN 2
+  WHEN signature & 22 = 22 THEN 3 ELSE 4 END AS size FROM sig)"""
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    return T.object_sets(spark, d)
+
+
+def cands(spark: SparkSession, d: str) -> DataFrame:
+    return T.candidates(spark, d)
+
+
+def matrix(spark: SparkSession, d: str) -> DataFrame:
+    return L.levels(L.grid(cands(spark, d), facts(spark, d)))
+
+
+def region_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of a small subgraph: nations, regions and suppliers."""
+    n = T.read(spark, d, "nation")
+    s = T.read(spark, d, "supplier")
+    return n.select(F.concat(F.lit("n"), "n_nationkey").alias("node")).union(n.select(F.concat(F.lit("r"), "n_regionkey"))).union(s.select(F.concat(F.lit("s"), "s_suppkey"))).distinct()
+
+
+NODES = """nodes AS (SELECT 'n' || n_nationkey AS node FROM nation UNION SELECT 'r' || n_regionkey FROM nation UNION SELECT 's' || s_suppkey FROM supplier)"""
+
+
+# -- knowledge graph -------------------------------------------------------------------------------------------------
+
+
+@query("WITH " + TRIPLES + " SELECT p, count(*) AS edges, count(DISTINCT s) AS subjects FROM triples GROUP BY p")
+def kg_triples(spark, d):
+    return T.triples(spark, d).groupBy("p").agg(F.count("*").alias("edges"), F.countDistinct("s").alias("subjects"))
+
+
+@query("WITH " + TRIPLES + """, f AS (SELECT s AS owner, p, 'OUT' AS dir, o AS other FROM triples UNION SELECT o, p, 'IN', s FROM triples)
+SELECT owner, p, dir, other FROM f WHERE owner IN ('n3', 'n7', 'r1', 's5', 'c9')""")
+def kg_facts_directed(spark, d):
+    return G.directed_facts(T.triples(spark, d)).where(F.col("owner").isin("n3", "n7", "r1", "s5", "c9"))
+
+
+@query("WITH " + TRIPLES + ", " + NODES + """, e AS (SELECT s AS node, o AS other, 1 AS x FROM triples UNION ALL SELECT o, s, 0 FROM triples)
+SELECT n.node, coalesce(sum(x), 0)::BIGINT AS out_degree, coalesce(sum(1 - x), 0)::BIGINT AS in_degree, count(DISTINCT CASE WHEN other <> n.node THEN other END) AS neighbours
+FROM nodes n LEFT JOIN e ON e.node = n.node GROUP BY n.node""")
+def one_hop_profile(spark, d):
+    return G.one_hop_profile(T.triples(spark, d), region_nodes(spark, d))
+
+
+@query("WITH " + TRIPLES + ", " + NODES + " SELECT s, p, o FROM triples WHERE s IN (SELECT node FROM nodes) AND o IN (SELECT node FROM nodes)")
+def induced_subgraph_edges(spark, d):
+    return G.induced_edges(T.triples(spark, d), region_nodes(spark, d))
+
+
+@query("WITH " + TRIPLES + ", " + NODES + """, e AS (SELECT DISTINCT node, other FROM (SELECT s AS node, o AS other FROM triples UNION ALL SELECT o, s FROM triples) WHERE node <> other),
+seeds AS (SELECT node FROM nodes WHERE node LIKE 'n%')
+SELECT node, "full", retained, CASE WHEN "full" = 0 THEN 1.0 ELSE retained::DOUBLE / "full" END AS ratio FROM (
+  SELECT s.node, count(e.other) AS "full", count(n.node) AS retained FROM seeds s LEFT JOIN e ON e.node = s.node LEFT JOIN nodes n ON n.node = e.other GROUP BY s.node)""")
+def neighborhood_coverage_ratio(spark, d):
+    nodes = region_nodes(spark, d)
+    return G.coverage_ratio(T.triples(spark, d), nodes.where("node like 'n%'"), nodes)
+
+
+@query("WITH " + TRIPLES + """, c AS (SELECT p, o, count(*) AS n, row_number() OVER (PARTITION BY p ORDER BY count(*) DESC, o) AS rank FROM triples GROUP BY p, o),
+w AS (SELECT p, count(*) AS edges, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM triples GROUP BY p)
+SELECT w.p, edges, subjects, objects, rank, o, n FROM c JOIN w ON c.p = w.p WHERE rank <= 3""")
+def predicate_census_topn(spark, d):
+    return G.predicate_census(T.triples(spark, d))
+
+
+@query("WITH " + TRIPLES + """, f AS (SELECT s, p, o FROM triples WHERE p IN ('inNation', 'segment')),
+h AS (SELECT p, o, count(DISTINCT s) AS n FROM triples GROUP BY p, o) SELECT f.s, f.p, f.o, h.n - 1 AS others FROM f JOIN h ON f.p = h.p AND f.o = h.o""")
+def edge_rarity(spark, d):
+    t = T.triples(spark, d)
+    return G.edge_rarity(t, t.where("p in ('inNation', 'segment')"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+c AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION SELECT c.child, e.parent, depth + 1 FROM c JOIN e ON c.ancestor = e.child WHERE depth < 4)
+SELECT child, ancestor, min(depth) AS depth FROM c WHERE child <> ancestor GROUP BY child, ancestor""")
+def ancestor_closure_depth4(spark, d):
+    t = T.triples(spark, d)
+    return G.ancestors(t.where("p = 'inRegion' or p = 'inNation' and s like 's%'").select(F.col("s").alias("child"), F.col("o").alias("parent")))
+
+
+@query("WITH " + CANDS + """ SELECT answer, cand, row_number() OVER (PARTITION BY answer ORDER BY sha256('seed' || chr(0) || answer || chr(0) || cand), cand) AS position FROM cands""")
+def seeded_admission_order(spark, d):
+    return G.admission_order(cands(spark, d), "seed")
+
+
+@query()
+def graph_budget_admission(spark, d):
+    t = T.triples(spark, d).where("p = 'inNation'").join(F.broadcast(region_nodes(spark, d)), F.col("s") == F.col("node"), "left_semi")
+    rows = t.select(F.col("o").alias("answer"), F.col("s").alias("cand"))
+    parts = T.triples(spark, d).where("p = 'suppliedBy'").groupBy(F.col("o").alias("cand")).agg(F.array_sort(F.collect_set("s")).alias("others"))
+    rows = rows.join(parts, "cand")
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("answer").orderBy("cand")))
+    return G.admit_within_budget(rows, 200)
+
+
+@query()
+def lrolesim_fixed3(spark, d):
+    return G.role_similarity(T.triples(spark, d).where("p = 'inRegion'"))
+
+
+# -- set relations and evidence --------------------------------------------------------------------------------------
+
+
+@query("WITH " + FACTS + ", " + CANDS + """ SELECT c.answer, c.cand, count(b.value) AS n FROM cands c LEFT JOIN facts a ON a.entity = c.answer
+LEFT JOIN facts b ON b.entity = c.cand AND b.key = a.key AND b.value = a.value GROUP BY c.answer, c.cand""")
+def overlap_strict(spark, d):
+    return L.overlap(cands(spark, d), facts(spark, d))
+
+
+@query("WITH " + FACTS + ", " + CANDS + """ SELECT c.answer, c.cand, a.key, a.value FROM cands c JOIN facts a ON a.entity = c.answer
+WHERE NOT EXISTS (SELECT 1 FROM facts b WHERE b.entity = c.cand AND b.key = a.key AND b.value = a.value)""")
+def distinguishing_facts_anti(spark, d):
+    return L.distinguishing(cands(spark, d), facts(spark, d))
+
+
+@query("WITH " + FACTS + ", " + CANDS + """ SELECT a.entity AS answer, a.key, a.value FROM facts a WHERE a.entity IN (SELECT answer FROM cands)
+AND NOT EXISTS (SELECT 1 FROM facts b JOIN cands c ON b.entity = c.cand WHERE c.answer = a.entity AND b.key = a.key AND b.value = a.value)""")
+def single_fact_common_filter(spark, d):
+    return L.common_to_none(cands(spark, d), facts(spark, d))
+
+
+@query("WITH " + SETS + """ SELECT answer, cand, key, CASE WHEN len(cset) = 0 THEN 'KEY_ABSENT' WHEN both_n = len(aset) AND both_n = len(cset) THEN 'EQUAL' WHEN both_n = len(aset) THEN 'ANSWER_STRICT_SUBSET'
+WHEN both_n = len(cset) THEN 'CANDIDATE_STRICT_SUBSET' WHEN both_n > 0 THEN 'PARTIAL_OVERLAP' ELSE 'DISJOINT' END AS relation, both_n::DOUBLE / (len(aset) + len(cset) - both_n) AS jaccard
+FROM (SELECT *, len(list_intersect(aset, cset)) AS both_n FROM grid)""")
+def object_set_relation(spark, d):
+    return L.set_relation(L.grid(cands(spark, d), facts(spark, d)))
+
+
+@query("WITH " + MATRIX + " SELECT answer, cand, pos, score, key, value, level FROM matrix")
+def evidence_level_matrix(spark, d):
+    return matrix(spark, d)
+
+
+@query("WITH " + MATRIX + " SELECT answer, cand, key, value, CASE level WHEN 0 THEN 'SHARED' WHEN 1 THEN 'ABSENCE_ONLY' ELSE 'POSITIVE_ALTERNATIVE' END AS status FROM matrix")
+def evidence_status_v1(spark, d):
+    return L.evidence_status(matrix(spark, d))
+
+
+@query("WITH " + FACTS + """, n AS (SELECT entity, key, count(*) AS n FROM facts GROUP BY entity, key)
+SELECT c_mktsegment AS scope, key, count(*) AS support, max(n) AS most, count(*) FILTER (WHERE n > 1) AS violations FROM n JOIN customer ON entity = c_custkey GROUP BY 1, 2""")
+def scope_cardinalities(spark, d):
+    scope = T.read(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("scope"))
+    return L.scope_cardinalities(facts(spark, d), scope)
+
+
+@query("WITH " + FACTS + """, n AS (SELECT entity, key, count(*) AS n FROM facts GROUP BY entity, key),
+g AS (SELECT 'k' || c_nationkey AS scope, key, count(*) AS support, max(n) AS most, count(*) FILTER (WHERE n > 1) AS violations FROM n JOIN customer ON entity = c_custkey GROUP BY 1, 2)
+SELECT *, CASE WHEN violations > 0 THEN 'INACTIVE_MULTI_VALUED' WHEN support < 5 THEN 'INACTIVE_LOW_SUPPORT' ELSE 'ACTIVE' END AS status FROM g""")
+def empirical_single_valued_rules(spark, d):
+    scope = T.read(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.concat(F.lit("k"), "c_nationkey").alias("scope"))
+    return L.single_valued_rules(L.scope_cardinalities(facts(spark, d), scope))
+
+
+# -- scalars ---------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, regexp_extract(u, '([^/#]*)$', 1) AS name, trim(translate(regexp_extract(u, '([^/#]*)$', 1), '_-', '  ')) AS label,
+coalesce(regexp_matches(url, '^https?://[^\s<>"{}|\\^`\x00-\x1f]+$'), false) AS safe FROM (SELECT *, regexp_replace(regexp_replace(trim(url), '^<|>$', '', 'g'), '/$', '') AS u FROM pages)""")
+def local_name_display_label(spark, d):
+    return T.read(spark, d, "pages").select("page_id", X.local_name(F.col("url")).alias("name"), X.display_label(F.col("url")).alias("label"), X.is_safe_uri(F.col("url")).alias("safe"))
+
+
+@query(r"""SELECT page_id, unnest(['<' || u || '>', u, u || '/']) AS spelling, unnest([0, 1, 2]) AS turn FROM (SELECT page_id, regexp_replace(regexp_replace(trim(url), '^<|>$', '', 'g'), '/$', '') AS u FROM pages)""")
+def uri_spelling_ladder(spark, d):
+    return T.read(spark, d, "pages").select("page_id", F.posexplode(X.spelling_ladder(F.col("url"))).alias("turn", "spelling"))
+
+
+@query("""WITH t AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 4))) AS ts FROM benchmark)
+SELECT item_id, len(ts) AS n, array_to_string(ts, ' ') AS tokens FROM t""")
+def leakage_tokens_ascii(spark, d):
+    t = T.read(spark, d, "benchmark").select("item_id", X.ascii_tokens(F.col("text"), 4).alias("ts"))
+    return t.select("item_id", F.size("ts").alias("n"), F.array_join("ts", " ").alias("tokens"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, p_type FROM part), t AS (SELECT *, list_intersect(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+'))) AS x FROM p)
+SELECT p_partkey, CASE WHEN m >= 5 THEN 'HARD' WHEN m >= 4 THEN 'SOFT' ELSE 'NONE' END AS verdict FROM (SELECT p_partkey, coalesce(list_max(list_transform(x, lambda y: length(y))), 0) AS m FROM t)""")
+def leakage_verdict(spark, d):
+    return T.read(spark, d, "part").select("p_partkey", X.leakage(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")).alias("verdict"))
+
+
+@query(r"""WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM benchmark)
+SELECT item_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM s""")
+def sentence_split(spark, d):
+    return T.read(spark, d, "benchmark").select("item_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query("""SELECT doc_id, len(text) AS chars, CAST(ceil(len(text) / 400.0) AS INT) AS n_chunks, md5(substr(text, 1, 400)) AS first_md5, md5(substr(text, CAST(ceil(len(text) / 400.0) - 1 AS INT) * 400 + 1, 400)) AS last_md5 FROM documents WHERE len(text) > 0""")
+def chunk_text(spark, d):
+    t = T.read(spark, d, "documents").where("char_length(text) > 0").select("doc_id", F.char_length("text").alias("chars"), X.chunks(F.col("text")).alias("c"))
+    return t.select("doc_id", "chars", F.size("c").alias("n_chunks"), F.md5(F.get("c", F.lit(0)).cast("binary")).alias("first_md5"), F.md5(F.element_at("c", -1).cast("binary")).alias("last_md5"))
+
+
+@query("""SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosine_similarity(spark, d):
+    e = T.read(spark, d, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("x"), F.col("vec_id").alias("y"), F.col("embedding").alias("v"))
+    return e.select(F.col("vec_id").alias("x"), F.col("embedding").alias("u")).join(b, "x").select("x", "y", F.round(R.cosine("u", "v"), 6).alias("sim"))
+
+
+@query("""SELECT label, pos, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos""")
+def mean_vector(spark, d):
+    e = T.read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
+    return e.groupBy("label", "pos").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
+# -- classes and ranking ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_mktsegment AS class, count(DISTINCT c_custkey) AS members, round(ln((SELECT count(DISTINCT c_custkey) FROM customer)::DOUBLE / count(DISTINCT c_custkey)), 9) AS idf FROM customer GROUP BY 1""")
+def category_counts_idf(spark, d):
+    return M.class_idf(T.read(spark, d, "customer").select(F.col("c_mktsegment").alias("class"), F.col("c_custkey").alias("member")))
+
+
+@query("SELECT count(DISTINCT c_custkey) AS universe, count(DISTINCT c_custkey) FILTER (WHERE c_mktsegment LIKE 'B%') AS filtered FROM customer")
+def idf_universe(spark, d):
+    c = T.read(spark, d, "customer")
+    return c.agg(F.countDistinct("c_custkey").alias("universe"), F.countDistinct(F.when(F.col("c_mktsegment").like("B%"), F.col("c_custkey"))).alias("filtered"))
+
+
+RANKED = """b AS (SELECT n_regionkey AS region, n_nationkey AS nation, count(DISTINCT c_custkey) AS members, coalesce(sum(c_acctbal), 0)::DECIMAL(18,2)::DOUBLE AS balance FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY region) = 1 THEN 1.0 ELSE (rank() OVER (PARTITION BY region ORDER BY members) - 1 + (count(*) OVER (PARTITION BY region, members) - 1) / 2.0) / (count(*) OVER (PARTITION BY region) - 1) END::DOUBLE AS na,
+CASE WHEN count(*) OVER (PARTITION BY region) = 1 THEN 1.0 ELSE (rank() OVER (PARTITION BY region ORDER BY balance) - 1 + (count(*) OVER (PARTITION BY region, balance) - 1) / 2.0) / (count(*) OVER (PARTITION BY region) - 1) END::DOUBLE AS nb FROM b)"""
+
+
+def nation_scores(spark, d):
+    n = T.read(spark, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
+    c = T.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.countDistinct("c_custkey").alias("members"), F.sum("c_acctbal").cast("decimal(18,2)").cast("double").alias("balance"))
+    return n.join(c, "nation", "left").na.fill({"members": 0, "balance": 0.0})
+
+
+@query("WITH " + RANKED + " SELECT region, nation, members, na FROM r")
+def rank_normalize_avg_ties(spark, d):
+    return nation_scores(spark, d).select("region", "nation", "members", R.rank_normalize("members", ["region"]).alias("na"))
+
+
+@query("WITH " + RANKED + ", f AS (SELECT *, 0.7::DOUBLE * na + (1 - 0.7)::DOUBLE * nb AS fused FROM r) SELECT region, nation, round(fused, 9) AS fused, row_number() OVER (PARTITION BY region ORDER BY round(fused, 9) DESC, nation) AS place FROM f")
+def alpha_fusion_ranking(spark, d):
+    f = R.fuse(nation_scores(spark, d), "members", "balance", ["region"], "nation", 0.7)
+    f = f.withColumn("fused", F.round("fused", 9))
+    return f.select("region", "nation", "fused", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("fused"), "nation")).alias("place"))
+
+
+@query("WITH " + RANKED + """, a AS (SELECT x.alpha, region, nation, row_number() OVER (PARTITION BY x.alpha, region ORDER BY round(x.alpha * na + (1 - x.alpha) * nb, 9) DESC, nation) AS place FROM r CROSS JOIN (VALUES (0.0::DOUBLE), (0.5), (1.0)) x(alpha))
+SELECT p.alpha AS alpha_a, q.alpha AS alpha_b, p.region, round(corr(p.place, q.place), 9) AS rho FROM a p JOIN a q ON p.region = q.region AND p.nation = q.nation AND p.alpha < q.alpha GROUP BY 1, 2, 3""")
+def alpha_sweep_spearman(spark, d):
+    base = nation_scores(spark, d).withColumns({"na": R.rank_normalize("members", ["region"]), "nb": R.rank_normalize("balance", ["region"])})
+    a = base.withColumn("alpha", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))))
+    fused = F.round(F.col("alpha") * F.col("na") + (1 - F.col("alpha")) * F.col("nb"), 9)
+    a = a.select("alpha", "region", "nation", F.row_number().over(Window.partitionBy("alpha", "region").orderBy(fused.desc(), "nation")).alias("place"))
+    b = a.select(F.col("alpha").alias("alpha_b"), "region", "nation", F.col("place").alias("other"))
+    pairs = a.withColumnRenamed("alpha", "alpha_a").join(b, ["region", "nation"]).where("alpha_a < alpha_b")
+    return pairs.groupBy("alpha_a", "alpha_b", "region").agg(F.round(F.corr("place", "other"), 9).alias("rho"))
+
+
+GATE = """g AS (SELECT c_nationkey AS class, count(*) AS members, count(*) FILTER (WHERE c_acctbal > 0) AS mapped FROM customer GROUP BY 1),
+w AS (SELECT *, CASE WHEN members < 50 THEN 'TOO_FEW' WHEN members > 70 THEN 'TOO_MANY' WHEN mapped < 0.9 * members THEN 'LOW_MAPPING' END AS code, row_number() OVER (ORDER BY members DESC, class) AS position FROM g)"""
+
+
+def gated(spark, d):
+    g = T.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("class")).agg(F.count("*").alias("members"), F.count_if(F.col("c_acctbal") > 0).alias("mapped"))
+    code = F.when(F.col("members") < 50, "TOO_FEW").when(F.col("members") > 70, "TOO_MANY").when(F.col("mapped") < 0.9 * F.col("members"), "LOW_MAPPING")
+    return g.withColumns({"code": code, "position": F.row_number().over(Window.orderBy(F.desc("members"), "class"))})
+
+
+@query("WITH " + GATE + " SELECT class, members, mapped, code, position FROM w")
+def class_gate_reject_codes(spark, d):
+    return gated(spark, d).select("class", "members", "mapped", "code", "position")
+
+
+@query("WITH " + GATE + """, f AS (SELECT min(position) FILTER (WHERE code IS NULL) AS first FROM w)
+SELECT class, position, CASE WHEN first IS NULL OR position < first THEN 'REJECTED' WHEN position = first THEN 'SELECTED' ELSE 'NOT_ATTEMPTED' END AS outcome FROM w CROSS JOIN f""")
+def first_feasible_class(spark, d):
+    g = gated(spark, d)
+    first = F.min(F.when(F.col("code").isNull(), F.col("position"))).over(Window.partitionBy())
+    return g.withColumn("first", first).select("class", "position", F.when(F.col("first").isNull() | (F.col("position") < F.col("first")), "REJECTED").when(F.col("position") == F.col("first"), "SELECTED").otherwise("NOT_ATTEMPTED").alias("outcome"))
+
+
+@query("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))")
+def reject_histogram_grouping_sets(spark, d):
+    return M.grouping_sets(T.read(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_totalprice"), ["status", "priority"], [F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean")])
+
+
+@query("""SELECT o_custkey AS customer, o_orderkey AS k, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 3""")
+def topk_per_group(spark, d):
+    o = T.read(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    return R.top_k(o, "customer", [F.desc("price"), "k"], 3)
+
+
+@query("""SELECT p_brand AS brand, p_partkey AS k, p_size AS score, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS tie_group, count(*) OVER (PARTITION BY p_brand, p_size) AS tie_size FROM part""")
+def tie_groups(spark, d):
+    return R.tie_groups(T.read(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("k"), F.col("p_size").alias("score")), "brand", "score")
+
+
+VECTORS = """q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0),
+v AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS sim, (q.label = e.label)::INT AS hit FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS rank FROM v)"""
+
+
+def ranked(spark, d):
+    e = T.read(spark, d, "embeddings")
+    return R.ranked_relevance(e, e.where("vec_id % 50 = 0"))
+
+
+@query("WITH " + VECTORS + " SELECT count(*) AS queries, round(avg(1.0 / f), 9) AS mrr FROM (SELECT query, min(rank) AS f FROM ranked WHERE hit = 1 GROUP BY query)")
+def mrr(spark, d):
+    return R.mrr(ranked(spark, d)).select("queries", F.round("mrr", 9).alias("mrr"))
+
+
+@query("WITH " + VECTORS + """, g AS (SELECT query, sum(CASE WHEN hit = 1 AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(hit) AS n FROM ranked GROUP BY query)
+SELECT query, round(dcg / list_sum(list_transform(range(1, least(n, 10)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 9) AS ndcg FROM g WHERE n > 0""")
+def ndcg_at_k(spark, d):
+    return R.ndcg(ranked(spark, d), 10).select("query", F.round("ndcg", 9).alias("ndcg"))
+
+
+@query("WITH " + VECTORS + ", h AS (SELECT rank AS k, sum(hit) AS n FROM ranked WHERE rank <= 10 GROUP BY rank) SELECT k, round(sum(n) OVER (ORDER BY k) / k, 9) AS hits FROM h")
+def precision_at_k(spark, d):
+    return R.precision_at(ranked(spark, d), 10).select("k", F.round("hits", 9).alias("hits"))
+
+
+@query()
+def mmr_select(spark, d):
+    e = T.read(spark, d, "embeddings")
+    best = ranked(spark, d).where("rank <= 20").select(F.col("query").alias("answer"), "id", F.col("sim").alias("relevance"))
+    return R.mmr(best.join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id"))
+
+
+# -- mapping and identity --------------------------------------------------------------------------------------------
+
+#: Redirects by a rule on keys: every seventh customer points to the next one.
+REDIRECTS = "redirects AS (SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer WHERE c_custkey % 7 = 0)"
+
+
+def redirects(spark, d):
+    return T.read(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1).alias("dst"))
+
+
+@query("WITH " + REDIRECTS + """, local AS (SELECT o_custkey AS id FROM orders GROUP BY 1)
+SELECT c_custkey AS member, CASE WHEN a.id IS NOT NULL THEN 'EXACT' WHEN b.id IS NOT NULL THEN 'REDIRECT' ELSE 'UNRESOLVED' END AS way, coalesce(a.id, b.id) AS node
+FROM customer LEFT JOIN local a ON a.id = c_custkey LEFT JOIN redirects r ON r.src = c_custkey LEFT JOIN local b ON b.id = r.dst""")
+def member_mapping_exact_redirect(spark, d):
+    local = T.read(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    return M.map_members(T.read(spark, d, "customer").select(F.col("c_custkey").alias("member")), redirects(spark, d), local)
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation WHERE n_nationkey % 3 <> 0),
+c AS (SELECT src, dst, 1 AS hops FROM e UNION ALL SELECT c.src, e.dst, hops + 1 FROM c JOIN e ON c.dst = e.src WHERE hops < 5) SELECT src, dst, hops FROM c""")
+def redirect_chain_recursive(spark, d):
+    e = T.read(spark, d, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst"))
+    return M.chain(e, 5)
+
+
+@query("SELECT c_custkey AS member FROM customer WHERE c_custkey > 100 ORDER BY 1 LIMIT 50")
+def keyset_page(spark, d):
+    return M.page(T.read(spark, d, "customer").select(F.col("c_custkey").alias("member")), "member", 100, 50)
+
+
+@query("SELECT l_partkey AS node, min(l_orderkey * 10 + l_linenumber) AS first, count(*) AS n FROM lineitem GROUP BY 1")
+def dedup_local_index(spark, d):
+    return T.read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"), F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cohort FROM events""")
+def cohort_fill_forward(spark, d):
+    e = T.read(spark, d, "events")
+    first = e.agg(F.min("event_type").alias("t"))
+    e = e.crossJoin(F.broadcast(first))  # one row
+    return M.fill_forward(e.withColumn("mark", F.when(F.col("event_type") == F.col("t"), F.col("event_id"))), "user_id", "event_id", "mark").select("event_id", "user_id", F.col("mark").alias("cohort"))
+
+
+# -- kernel ----------------------------------------------------------------------------------------------------------
+
+
+@query("WITH " + MASKS + " SELECT answer, i, j, k, key, value, mask FROM masks WHERE lv = 2")
+def coverage_masks(spark, d):
+    return K.masks(K.triples_of(cands(spark, d)), matrix(spark, d), 2)
+
+
+@query("WITH " + MASKS + " SELECT answer, i, j, k, signature, size FROM sizes WHERE lv = 2")
+def min_cover_signature(spark, d):
+    return K.cover_size(K.masks(K.triples_of(cands(spark, d)), matrix(spark, d), 2))
+
+
+@query("WITH " + MASKS + " SELECT c.answer, c.i, c.j, c.k, round(sum_score, 9) AS sum_score, sum_rank, size FROM combos c JOIN sizes s ON c.answer = s.answer AND c.i = s.i AND c.j = s.j AND c.k = s.k WHERE lv = 2 AND size <= 3")
+def feasible_triples(spark, d):
+    t = K.triples_of(cands(spark, d))
+    return t.join(K.cover_size(K.masks(t, matrix(spark, d), 2)).where("size <= 3"), ["answer", "i", "j", "k"]).select("answer", "i", "j", "k", F.round("sum_score", 9).alias("sum_score"), "sum_rank", "size")
+
+
+@query("WITH " + MASKS + """, f AS (SELECT c.*, s.size, s.lv FROM combos c JOIN sizes s ON c.answer = s.answer AND c.i = s.i AND c.j = s.j AND c.k = s.k WHERE size <= 3)
+SELECT answer, CASE lv WHEN 3 THEN 'strict-l2' WHEN 2 THEN 'main-l1' ELSE 'diagnostic-l0' END AS policy, i, j, k, size, round(sum_score, 9) AS sum_score FROM f
+QUALIFY row_number() OVER (PARTITION BY answer ORDER BY lv DESC, sum_score DESC, min_score DESC, size, sum_rank, i, j, k) = 1""")
+def select_distractors(spark, d):
+    return K.select(cands(spark, d), matrix(spark, d)).withColumn("sum_score", F.round("sum_score", 9))
+
+
+@query("WITH " + MASKS + """, n AS (SELECT answer, i, j, k, count(*) FILTER (WHERE mask = 1) AS a, count(*) FILTER (WHERE mask = 2) AS b, count(*) FILTER (WHERE mask = 3) AS c, count(*) FILTER (WHERE mask = 4) AS d,
+count(*) FILTER (WHERE mask = 5) AS e, count(*) FILTER (WHERE mask = 6) AS f, count(*) FILTER (WHERE mask = 7) AS g FROM masks WHERE lv = 2 GROUP BY 1, 2, 3, 4)
+SELECT n.answer, n.i, n.j, n.k, size, CASE size WHEN 1 THEN g WHEN 2 THEN a * f + b * e + d * c + c * e + c * f + e * f ELSE a * b * d END AS n
+FROM n JOIN sizes s ON n.answer = s.answer AND n.i = s.i AND n.j = s.j AND n.k = s.k AND s.lv = 2 WHERE size <= 3""")
+def count_minimum_rationales(spark, d):
+    m = K.masks(K.triples_of(cands(spark, d)), matrix(spark, d), 2)
+    return K.count_minimum(m, K.cover_size(m))
+
+
+@query("WITH " + MATRIX + """, s AS (SELECT c.answer, c.cand, c.pos, c.score, count(*) FILTER (WHERE level = 3) AS l3, count(*) FILTER (WHERE level = 2) AS l2, count(*) FILTER (WHERE level = 1) AS l1
+  FROM cands c LEFT JOIN matrix m ON m.answer = c.answer AND m.cand = c.cand GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY l3 DESC, l2 DESC, l1 DESC, pos, cand) AS turn FROM s WHERE pos > 3)
+SELECT answer, cand, pos, score, 'RANK' AS way FROM s WHERE pos <= 3 UNION ALL SELECT answer, cand, pos, score, 'RESCUE' FROM r WHERE turn <= 1""")
+def pool_exact_rescue(spark, d):
+    return K.pool(cands(spark, d), matrix(spark, d), 4)
+
+
+@query("WITH " + MATRIX + """, ch AS (SELECT answer, key, value FROM (SELECT DISTINCT answer, key, value FROM matrix) QUALIFY row_number() OVER (PARTITION BY answer ORDER BY key, value) <= 2),
+b AS (SELECT m.answer, m.cand, max(level) AS best FROM matrix m JOIN ch ON ch.answer = m.answer AND ch.key = m.key AND ch.value = m.value GROUP BY 1, 2)
+SELECT answer, 1 + count(*) FILTER (WHERE best = 0) AS group_size, (1 + count(*) FILTER (WHERE best = 0))::DOUBLE / (count(*) + 1) AS ratio, count(*) FILTER (WHERE best = 0) = 0 AS identifies FROM b GROUP BY answer""")
+def local_pool_anonymity(spark, d):
+    m = matrix(spark, d)
+    chosen = R.top_k(m.select("answer", "key", "value").distinct(), "answer", ["key", "value"], 2).drop("place")
+    return K.local_anonymity(chosen, m)
+
+
+# -- metrics ---------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderstatus AS grp, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY 1""")
+def describe_stats(spark, d):
+    return M.describe(T.read(spark, d, "orders").select(F.col("o_orderstatus").alias("grp"), F.col("o_totalprice").alias("x")))
+
+
+@query("SELECT l_returnflag AS grp, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1")
+def percentile_rollup(spark, d):
+    return M.percentiles(T.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x")), (0.5, 0.9, 0.95))
+
+
+@query("WITH " + MATRIX + " SELECT key, level, count(*) AS n, count(DISTINCT answer) AS answers FROM matrix GROUP BY GROUPING SETS ((), (key), (level), (key, level))")
+def level_by_cohort_grouping_sets(spark, d):
+    return M.grouping_sets(matrix(spark, d).select("key", "level", "answer"), ["key", "level"], [F.count("*").alias("n"), F.countDistinct("answer").alias("answers")])
+
+
+@query("WITH " + MATRIX + """, m AS (SELECT count(DISTINCT answer) AS answers, count(DISTINCT CASE WHEN level >= 2 THEN answer END) AS covered, count(*) AS cells, count(*) FILTER (WHERE level >= 2) AS covered_cells FROM matrix)
+SELECT 'answers' AS metric, answers::DOUBLE AS value, NULL::BIGINT AS denominator FROM m UNION ALL SELECT 'covered_answers_pct', round(100.0 * covered / answers, 2), answers FROM m UNION ALL SELECT 'covered_cells_pct', round(100.0 * covered_cells / cells, 2), cells FROM m""")
+def batch_coverage_metrics(spark, d):
+    return M.coverage(matrix(spark, d))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_distractors(spark, sf_dir)
