@@ -45,7 +45,7 @@ def leakage(label: Column, answer: Column, soft: int = 4, hard: int = 5) -> Colu
 
 def sentences(c: Column) -> Column:
     """Sentences: the text between full stops, question and exclamation marks or line feeds, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"[.!?\n]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def chunks(c: Column, size: int = 400) -> Column:
