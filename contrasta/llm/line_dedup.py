@@ -1,10 +1,9 @@
 """Fuzzy line dedup by MinHash: one line stays of each component of similar lines.
 
-A line is the set of its 5-character shingles (after trimming and lower-casing A-Z). Signatures of BANDS x ROWS minima are
-banded; lines that share a band (at a similarity of 0.8 with probability 0.997 in one at least) and of whose minima enough
-have equal low bits (0.998) are candidates;
-candidates are verified by their exact Jaccard similarity and joined to components by distributed union-find. Large groups
-are linked without all of their pairs, see linkage.py. Equal lines are one node throughout.
+A line is the set of its 5-character shingles (after trimming and lower-casing). Signatures of BANDS x ROWS minima are
+banded; lines that share a band (at a similarity of 0.8 with probability 0.996 in one at least, at 0.85 with 0.9997) and of
+whose minima enough have equal low bits (0.999) are candidates; candidates are verified by their exact Jaccard similarity and joined to components by distributed union-find. Large groups
+are linked without rows of all of their pairs, see linkage.py; there shingles are known by 64-bit hashes. Equal lines are one node throughout.
 """
 
 from __future__ import annotations
@@ -17,20 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linkage import linked
-from .shared import PIECE_BYTES, arrow_rows, bounded, discard, lower_az, mix, stash
+from .shared import PIECE_BYTES, arrow_rows, bounded, discard, mix, stash
 
 SHINGLE = 5
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 14, 5
 #: Lines are linked at this Jaccard similarity of their shingle sets or more.
 SIMILAR = 0.8
-#: Of the BANDS * ROWS minima of two lines so many must agree in their last two bits: at a similarity of 0.8 20.4 do on average.
-AGREE = 15
+#: Of the first BITS minima of two lines so many must agree in their last bit: at a similarity of 0.8 57.6 do on average.
+BITS, AGREE = 64, 50
+#: Shingles in a matrix at once.
+COLUMNS = 4096
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)).astype(np.uint32)
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """An array of lines x BANDS keys, and the last two bits of all minima of each line in a long. A line of fewer than five characters has one shingle, itself. No line is empty."""
+    """An array of lines x BANDS keys, and the last bits of the first BITS minima of each line in a long. A line of fewer than five characters has one shingle, itself. No line is empty."""
     pad = "\n" * SHINGLE
     codes = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -52,16 +53,15 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 k = b * ROWS + r
                 least = mix(np.minimum.reduceat(h * _A[k] + _B[k], first).astype(np.uint64))
                 key = mix(key * np.uint64(0xD1342543DE82EF95) + least)
-                bits = bits << np.uint64(2) | least & np.uint64(3)
+                if k < BITS:
+                    bits = bits << np.uint64(1) | least & np.uint64(1)
             keys[:, b] = key
     return keys.view(np.int64), bits.view(np.int64)
 
 
 def _agree(a: Column, b: Column) -> Column:
     """A filter of candidates: enough minima with equal low bits."""
-    other = a.bitwiseXOR(b)
-    other = other.bitwiseOR(F.shiftrightunsigned(other, 1)).bitwiseAND(F.lit(0x5555555555555555))
-    return F.lit(BANDS * ROWS) - F.bit_count(other) >= AGREE
+    return F.bit_count(a.bitwiseXOR(b)) <= BITS - AGREE
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +71,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def done() -> pa.RecordBatch:
             keys, bits = band_keys(lines)
-            keys = pa.array(keys.ravel())
-            return pa.RecordBatch.from_arrays([keys, keys, pa.array(np.repeat(np.array(nodes, np.int64), BANDS)), pa.array(np.repeat(bits, BANDS))], names=["key", "slot", "node", "info"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(nodes, np.int64), BANDS)), pa.array(np.repeat(bits, BANDS))], names=["key", "node", "info"])
 
         for node, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if node in seen:
@@ -90,22 +89,82 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done()
 
 
+def shingles(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
 def jaccard(x: str, y: str) -> float:
-    a, b = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (x, y))
+    a, b = shingles(x), shingles(y)
     both = len(a & b)
     return both / (len(a) + len(b) - both)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among pairs; sets of lines that come again, as hubs do, are kept for a while."""
+    kept: dict[str, set[str]] = {}
+    held = 0
+
+    def of(line: str) -> set[str]:
+        nonlocal held
+        found = kept.get(line)
+        if found is None:
+            if held > PIECE_BYTES:
+                kept.clear()
+                held = 0
+            held += len(line)
+            found = kept[line] = shingles(line)
+        return found
+
     for b in batches:
-        keep = [jaccard(x, y) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        keep = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            s, t = of(x), of(y)
+            both = len(s & t) if min(len(s), len(t)) >= SIMILAR * max(len(s), len(t)) else 0
+            keep.append(both / (len(s) + len(t) - both) >= SIMILAR)
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _inside(group: pa.Table) -> pa.Table:
+    """Links between different components of one cell: intersections of all shingle sets by products of 0/1 matrices."""
+    side, node, comp = (group.column(c).to_numpy() for c in ("side", "node", "comp"))
+    sets = [np.unique(_shingle_hashes(x)) for x in group.column("line").to_pylist()]
+    size = np.array([len(s) for s in sets], np.int64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = times > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    both = np.zeros((len(left), len(right)), np.float64)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[row[a:b], column[a:b] - at] = 1
+        both += x[left] @ x[right].T
+    union = size[left][:, None] + size[right][None, :] - both
+    i, j = np.nonzero((both >= SIMILAR * union) & (comp[left][:, None] != comp[right][None, :]))
+    i, j = left[i], right[j]
+    low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+    # one link of two components does
+    first = np.unique(np.column_stack([low, high]), axis=0, return_index=True)[1] if len(i) else i
+    return pa.table({"a": node[i[first]], "b": node[j[first]]})
+
+
+def _shingle_hashes(line: str) -> np.ndarray:
+    codes = np.frombuffer((line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\n")).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h = codes[: len(codes) - SHINGLE + 1].copy()
+        for k in range(1, SHINGLE):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - SHINGLE + 1 + k]
+        return mix(h)
+
+
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, line, node): the lines of each text, trimmed and lower-cased; node is null for a blank line."""
     lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", lower_az(F.trim("line")).alias("line"))
+    lines = lines.select("doc_id", "line_no", F.lower(F.trim("line")).alias("line"))
     return lines.withColumn("node", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
@@ -120,22 +179,31 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     arrow_rows(docs.sparkSession)
     lines = lines_of(docs, doc_id, text).where("node is not null")
 
+    known = lines.select("node", "line")
+
+    def prepare(nodes: DataFrame) -> None:
+        nonlocal known
+        known = stash(known.join(bounded(stash(nodes)), "node", "left_semi").dropDuplicates(["node"]))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        known = stash(lines.select("node", "line").join(bounded(nodes), "node", "left_semi").dropDuplicates(["node"]))
         both = pairs.join(known.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         links = stash(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"))
-        discard(known)
         return links
 
-    entries = lines.select("node", "line").mapInArrow(_entries, "key bigint, slot bigint, node bigint, info bigint")
-    comp = linked(entries, _agree, verify)
+    def inside(rows: DataFrame) -> DataFrame:
+        rows = rows.join(known, "node").select("key", "cell", "side", "node", "comp", "line")
+        return stash(rows.groupBy("key", "cell").applyInArrow(_inside, "a bigint, b bigint"))
+
+    entries = lines.select("node", "line").mapInArrow(_entries, "key bigint, node bigint, info bigint")
+    comp = linked(entries, _agree, verify, prepare, inside)
+    discard(known)
+    lines = stash(lines.select("doc_id", "line_no", "node"))
     place = F.struct("doc_id", "line_no")
     each = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(comp, "node", "left").where("n > 1 or comp is not null")
     each = stash(each.select("node", F.coalesce("comp", "node").alias("comp"), "first"))
     stays = each.groupBy("comp").agg(F.min("first").alias("stays"))
     stays = stash(each.join(stays, "comp").select("node", "stays"))
-    gone = lines.select("doc_id", "line_no", "node").join(bounded(stays), "node").where(~place.eqNullSafe(F.col("stays")))
+    gone = lines.join(bounded(stays), "node").where(~place.eqNullSafe(F.col("stays")))
     return gone.select("doc_id", "line_no", F.col("stays.doc_id").alias("first_doc_id"), F.col("stays.line_no").alias("first_line_no"))
 
 
@@ -146,10 +214,14 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return docs.join(gone, doc_id, "left").withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("__gone")
 
 
+def _n_lines(text: Column) -> Column:
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: its lines, and the numbers of those that go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     gone = dropped_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
-    sizes = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    sizes = docs.select("doc_id", _n_lines(F.coalesce("text", F.lit(""))).alias("n_lines"))
     out = sizes.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped_lines"))
     return out.withColumn("n_kept", F.col("n_lines") - F.size("dropped_lines"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from .shared import discard, stash
 HUB_ROUNDS = 2
 #: Edges of which one task finds the components (16 bytes each); more are contracted by joins.
 TASK_EDGES = 250_000
+#: Groups up to this size are compared as rows of pairs; larger ones in blocks of about BLOCK members.
+PAIRED, BLOCK = 24, 400
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,6 +42,42 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "comp"])
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, info) sorted by key and node: those of keys with several nodes, each once, with the key's first node as hub.
+
+    Between batches only the last row and its hub are kept, so a group may have any size.
+    """
+    held = hub = None  # a hub that is not given yet, as its group may be of one node; the hub of the last row's group
+    last: tuple[int, int] | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        key, node, info = (b.column(k).to_numpy() for k in range(3))
+        before_key, before_node = np.roll(key, 1), np.roll(node, 1)
+        fresh, again = key != before_key, (key == before_key) & (node == before_node)
+        fresh[0], again[0] = last is None or last[0] != key[0], last == (key[0], node[0])
+        at = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+        carried = at < 0
+        h, hi = node[at], info[at]
+        if carried.any():
+            h, hi = np.where(carried, hub[1], h), np.where(carried, hub[2], hi)
+        other = ~fresh & ~again
+        several = np.zeros(len(key), bool)  # hubs whose group goes on with another node in this batch
+        several[at[other & ~carried]] = True
+        keep = other | several
+        out = [key[keep], node[keep], info[keep], h[keep], hi[keep]]
+        if held and (other & carried).any():
+            out = [np.append(x, np.array([y], np.int64)) for x, y in zip(out, (*held, *held[1:]), strict=True)]
+            held = None
+        if fresh.any():
+            k = int(at[-1])
+            hub = (int(key[k]), int(node[k]), int(info[k]))
+            held = None if several[k] else hub
+        last = (int(key[-1]), int(node[-1]))
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "node", "info", "hub", "hub_info"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the undirected `edges` (a, b); comp is the smallest node of its component.
 
@@ -65,28 +104,47 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0) if comp is None else comp
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """Large groups in blocks of about BLOCK rows, and each row in the cells of its block with every block of its group."""
+    blocks = F.ceil(F.col("size") / BLOCK)
+    own = F.pmod(F.xxhash64("node", F.lit(-1)), blocks)
+    rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    cell = F.least("own", "other") * (1 << 20) + F.greatest("own", "other")
+    return rows.select("key", cell.alias("cell"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "info", "comp")
+
+
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None, inside: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 
-    entries: key long, slot long, node long, info long. A slot is a part of a key's group (the key itself unless the
-    group is known to be hot). admits(info, info) is a lossless filter of candidates; verify(pairs a, b) returns the
-    pairs that are links, exactly, as a written table.
+    entries: key long, node long, info long, and slot long where groups may be hot: a slot is a part of a key's group (the
+    key itself unless the group is known to be hot). admits(info, info) is a lossless filter of candidates; verify(pairs a, b) returns the
+    pairs that are links, exactly, as a written table. prepare(node) is called once, before, with all nodes that may be in
+    a pair. inside(key, cell, side, node, info, comp), where given, finds links between components in large groups, whose
+    pairs are then never rows: a cell holds two blocks of a group (sides 0 and 1), or one (side 0).
     """
     order = F.struct(F.xxhash64("node").alias("h"), "node", "info")
-    group = Window.partitionBy("slot")
-    rows = entries.select("key", "slot", "node", "info", F.min(order).over(group).alias("hub"), (F.min("node").over(group) != F.max("node").over(group)).alias("shared"))
-    # rows alone in their slot can matter only where the key has several slots
-    common = stash(rows.where(F.col("shared") | (F.col("slot") != F.col("key"))).select("key", "slot", "node", "info", F.col("hub.node").alias("hub"), F.col("hub.info").alias("hub_info")))
+    slotted = "slot" in entries.columns
+    if slotted:
+        group = Window.partitionBy("slot")
+        rows = entries.withColumns({"hub": F.min(order).over(group), "shared": F.min("node").over(group) != F.max("node").over(group)})
+        # rows alone in their slot can matter only where the key has several slots
+        rows = rows.where(F.col("shared") | (F.col("slot") != F.col("key"))).select(*entries.columns, F.col("hub.node").alias("hub"), F.col("hub.info").alias("hub_info"))
+    else:
+        rows = entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, node bigint, info bigint, hub bigint, hub_info bigint")
+    common = stash(rows)
+    if prepare:
+        prepare(common.select("node").distinct())
 
     first = common.where("node <> hub").where(admits(F.col("info"), F.col("hub_info"))).select(*_pair(F.col("node"), F.col("hub")))
-    hubs = common.where("slot <> key").select("key", F.col("hub").alias("node"), F.col("hub_info").alias("info")).distinct()
-    top = hubs.groupBy("key").agg(F.min(order).alias("top"))
-    across = hubs.join(top, "key").where("node <> top.node").where(admits(F.col("info"), F.col("top.info"))).select(*_pair(F.col("node"), F.col("top.node")))
-    tried = stash(first.union(across).distinct())
+    if slotted:
+        hubs = common.where("slot <> key").select("key", F.col("hub").alias("node"), F.col("hub_info").alias("info")).distinct()
+        top = hubs.groupBy("key").agg(F.min(order).alias("top"))
+        first = first.union(hubs.join(top, "key").where("node <> top.node").where(admits(F.col("info"), F.col("top.info"))).select(*_pair(F.col("node"), F.col("top.node"))))
+    tried = stash(first.distinct())
     edges = verify(tried)
     comp = components(edges)
 
@@ -95,7 +153,16 @@ def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verif
         now = common.select("key", "node", "info").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "info", "comp")).alias("hub")).where("lo <> hi")
         if last:  # every candidate in different components
-            now = stash(now.join(mixed.select("key"), "key").distinct())
+            now = now.join(mixed.select("key"), "key").distinct()
+            if inside:
+                size = now.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > PAIRED)
+                now = stash(now.join(size, "key", "left"))
+                more = inside(_cells(now.where("size is not null")))
+                edges = edges.union(more)
+                now = now.where("size is null").drop("size")
+                comp = components(edges)
+            else:
+                now = stash(now)
             x, y = (now.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "info", "comp")]) for s in "xy")
             pairs = x.join(y, "key").where("node_x < node_y and comp_x <> comp_y").where(admits(F.col("info_x"), F.col("info_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
         else:

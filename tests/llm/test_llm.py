@@ -287,3 +287,52 @@ def test_digests_of_the_codec_query(spark):
     text = duckdb.sql(f"select text from '{SF}/documents.parquet' where doc_id = {row.doc_id}").fetchall()[0][0]
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert row.n_tokens > 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_shared_keys_over_batches(seed):
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    rows = [(k, v, k * 100 + v) for k, v in sorted((rng.randint(0, 8), rng.randint(0, 4)) for _ in range(40))]
+    batches, at = [], 0
+    while at < len(rows):
+        some = rows[at : at + rng.randint(1, 6)]
+        at += len(some)
+        batches.append(pa.RecordBatch.from_arrays([pa.array([x[c] for x in some], pa.int64()) for c in range(3)], names=["key", "node", "info"]))
+    want = []
+    for k in {x[0] for x in rows}:
+        nodes = sorted({x[1] for x in rows if x[0] == k})
+        if len(nodes) > 1:
+            want += [(k, v, k * 100 + v, nodes[0], k * 100 + nodes[0]) for v in nodes]
+    assert sorted(tuple(x.values()) for b in linkage._shared(iter(batches)) for x in b.to_pylist()) == sorted(want)
+
+
+def test_line_dedup_of_a_large_group(spark, monkeypatch):
+    """Lines of one group that differ in up to three places, linked in cells of blocks."""
+    monkeypatch.setattr(linkage, "PAIRED", 4)
+    monkeypatch.setattr(linkage, "BLOCK", 20)
+    rng = random.Random(7)
+    base = "".join(rng.choice("abcdefgh") for _ in range(90))
+    texts = []
+    for _ in range(150):
+        line = list(base)
+        for at in rng.sample(range(90), rng.randint(0, 3)):
+            line[at] = rng.choice("xyz")
+        texts.append("".join(line))
+    texts = list(dict.fromkeys(texts))
+    sets = [line_dedup.shingles(x) for x in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if both / (len(sets[a]) + len(sets[b]) - both) >= line_dedup.SIMILAR:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    want = {i for i in range(len(texts)) if root(i) != i}
+    assert {r.doc_id for r in line_dedup.dropped_lines(frame(spark, texts)).collect()} == want
