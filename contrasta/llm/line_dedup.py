@@ -202,7 +202,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     each = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(comp, "node", "left").where("n > 1 or comp is not null")
     each = stash(each.select("node", F.coalesce("comp", "node").alias("comp"), "first"))
     stays = each.groupBy("comp").agg(F.min("first").alias("stays"))
-    stays = stash(each.join(stays, "comp").select("node", "stays"))
+    stays = stash(each.join(bounded(stash(stays)), "comp").select("node", "stays"))
     gone = lines.join(bounded(stays), "node").where(~place.eqNullSafe(F.col("stays")))
     return gone.select("doc_id", "line_no", F.col("stays.doc_id").alias("first_doc_id"), F.col("stays.line_no").alias("first_line_no"))
 
