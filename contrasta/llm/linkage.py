@@ -1,7 +1,8 @@
 """Components of a similarity graph without its full list of pairs.
 
-Items that share a key are candidates. Each group of a key first links its members to one hub, so a group of n copies
-costs n comparisons; the links that hold are contracted to components. Only candidates that are then in different
+Items that share a key are candidates. Each group of a key has a hub, and each item is first compared with one of its
+hubs, so a group of n copies costs n comparisons; the links that hold are contracted to components, and items are compared
+with their other hubs only across components. Only candidates that are then in different
 components are compared pair by pair, so no link between components is missed and no group is expanded into all pairs.
 """
 
@@ -124,7 +125,7 @@ def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verif
     key itself unless the group is known to be hot). admits(info, info) is a lossless filter of candidates; verify(pairs a, b) returns the
     pairs that are links, exactly, as a written table. prepare(node) is called once, before, with all nodes that may be in
     a pair. inside(key, cell, side, node, info, comp), where given, finds links between components in large groups, whose
-    pairs are then never rows: a cell holds two blocks of a group (sides 0 and 1), or one (side 0).
+    candidates are then never rows: a cell holds two blocks of a group (sides 0 and 1), or one (side 0).
     """
     order = F.struct(F.xxhash64("node").alias("h"), "node", "info")
     slotted = "slot" in entries.columns
@@ -139,15 +140,31 @@ def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verif
     if prepare:
         prepare(common.select("node").distinct())
 
-    first = common.where("node <> hub").where(admits(F.col("info"), F.col("hub_info"))).select(*_pair(F.col("node"), F.col("hub")))
+    first = common.where("node <> hub").where(admits(F.col("info"), F.col("hub_info"))).select("node", "hub")
     if slotted:
         hubs = common.where("slot <> key").select("key", F.col("hub").alias("node"), F.col("hub_info").alias("info")).distinct()
         top = hubs.groupBy("key").agg(F.min(order).alias("top"))
-        first = first.union(hubs.join(top, "key").where("node <> top.node").where(admits(F.col("info"), F.col("top.info"))).select(*_pair(F.col("node"), F.col("top.node"))))
-    tried = stash(first.distinct())
+        first = first.union(hubs.join(top, "key").where("node <> top.node").where(admits(F.col("info"), F.col("top.info"))).select("node", F.col("top.node").alias("hub")))
+    first = stash(first.distinct())
+    one = first.groupBy("node").agg(F.min_by("hub", F.xxhash64("hub")).alias("hub"))
+    tried = stash(one.select(*_pair(F.col("node"), F.col("hub"))).distinct())
     edges = verify(tried)
     comp = components(edges)
 
+    def attempt(pairs: DataFrame) -> None:
+        """Verifies the pairs that haven't been verified."""
+        nonlocal tried, edges, comp
+        fresh = stash(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            more = verify(fresh)
+            if not more.isEmpty():
+                edges = edges.union(more)
+                comp = components(edges)
+            tried = tried.union(fresh)
+
+    x, y = comp.select("node", F.col("comp").alias("cx")), comp.select(F.col("node").alias("hub"), F.col("comp").alias("cy"))
+    attempt(first.join(x, "node", "left").join(y, "hub", "left").where(F.coalesce("cx", "node") != F.coalesce("cy", "hub")).select(*_pair(F.col("node"), F.col("hub"))))
+
     for turn in range(1, HUB_ROUNDS + 1):
         last = turn == HUB_ROUNDS
         now = common.select("key", "node", "info").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -167,12 +184,6 @@ def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verif
             pairs = x.join(y, "key").where("node_x < node_y and comp_x <> comp_y").where(admits(F.col("info_x"), F.col("info_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
         else:
             pairs = now.join(mixed.select("key", "hub"), "key").where("node <> hub.node and comp <> hub.comp").where(admits(F.col("info"), F.col("hub.info"))).select(*_pair(F.col("node"), F.col("hub.node")))
-        fresh = stash(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            more = verify(fresh)
-            if not more.isEmpty():
-                edges = edges.union(more)
-                comp = components(edges)
-            tried = tried.union(fresh)
+        attempt(pairs)
     discard(common)
     return comp

@@ -4,8 +4,8 @@ Each document is the set of its distinct 5-word shingles. Sets are ordered rare
 all documents found frequent come last, by their counts, and the others before them by hash. Any total order is lossless
 for prefix filtering, so the counting may leave out low counts. Two sets with Jaccard 0.75 share a shingle among the
 first n - ceil(0.75 n) + 1 of each; candidates are joined on those, with filters on length, on the position of the shared
-shingle, and on what the remaining suffixes can share at most (counted by hash bucket). Each remaining pair is verified
-once on the whole sets.
+shingle, and on how much the whole sets differ at least: a set is known by the parities of its counts in 1024 hash cells,
+and each shingle in only one of two sets changes one parity. Each remaining pair is verified once on the whole sets.
 
 Documents with equal sets are one node throughout (a 64-bit digest of the set: two different sets among n get the same one
 with probability n^2 / 2^65). See linkage.py for how large groups are linked without all of their pairs.
@@ -29,9 +29,8 @@ PERCENT = 75
 TASK_COUNTS, ALL_COUNTS = 1 << 16, 100_000
 #: Documents in a slot of a hot shingle, about.
 SLOT = 4096
-BUCKETS = 16
-#: Sets up to this size have exact bucket counts of 16 bits.
-COUNTED = 60_000
+#: Longs of 64 parities each.
+PARITIES = 16
 
 
 def _digest(shingles: np.ndarray) -> int:
@@ -40,13 +39,10 @@ def _digest(shingles: np.ndarray) -> int:
         return int(mix(np.array([mix(shingles).sum() + np.uint64(len(shingles))], np.uint64))[0] >> np.uint64(1))
 
 
-def _buckets(shingles: np.ndarray) -> list[int]:
-    """How many shingles each of 16 hash buckets has, four counts of 16 bits in each long."""
-    if len(shingles) > COUNTED:
-        return [0] * (BUCKETS // 4)
-    counts = np.bincount((mix(shingles) >> np.uint64(60)).astype(np.int64), minlength=BUCKETS).astype(np.uint64).reshape(-1, 4)
-    packed = counts[:, 0] | counts[:, 1] << np.uint64(16) | counts[:, 2] << np.uint64(32) | counts[:, 3] << np.uint64(48)
-    return packed.view(np.int64).tolist()
+def _parities(shingles: np.ndarray) -> list[int]:
+    """The parity of the count in each of 1024 hash cells."""
+    counts = np.bincount((mix(shingles) >> np.uint64(54)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +70,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in pieces(batches):
         sets = shingle_sets(texts)
         nodes = [_digest(s) if len(s) else None for s in sets]
-        packed = list(zip(*map(_buckets, sets), strict=True))
-        yield batch({"doc_id": rows.column(0), "node": nodes, "n": [len(s) for s in sets]} | {f"b{i}": list(packed[i]) for i in range(BUCKETS // 4)})
+        packed = list(zip(*map(_parities, sets), strict=True))
+        yield batch({"doc_id": rows.column(0), "node": nodes, "n": [len(s) for s in sets]} | {c: list(packed[i]) for i, c in enumerate(_CELLS)})
         for node, s in zip(nodes, sets, strict=True):
             if node is not None and node not in seen:
                 seen.add(node)
@@ -89,7 +85,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch({"shingle": keys[often].view(np.int64), "count": counts[often]})
 
 
-_SIZES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *[(f"b{i}", pa.int64()) for i in range(BUCKETS // 4)], ("shingle", pa.int64()), ("count", pa.int64())])
+_CELLS = [f"b{i}" for i in range(PARITIES)]
+_SIZES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in _CELLS], ("shingle", pa.int64()), ("count", pa.int64())])
 _SIZES_SQL = ", ".join(f"`{f.name}` bigint" for f in _SIZES)
 
 
@@ -154,16 +151,40 @@ def _admits(a: Column, b: Column) -> Column:
     return (F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)) & (F.least(n - i, m - j) >= _needed(n, m))
 
 
-def _most(a: str, b: str) -> Column:
-    """What two sets can share at most, by their bucket counts."""
-    field = lambda c, i: F.shiftrightunsigned(F.col(c), 16 * i).bitwiseAND(F.lit(0xFFFF))
+def _differ(a: str, b: str) -> Column:
+    """In how many shingles two sets differ at least, by their parities."""
     total = F.lit(0)
-    for k in range(BUCKETS // 4):
-        for i in range(4):
-            total = total + F.least(field(f"{a}b{k}", i), field(f"{b}b{k}", i))
+    for c in _CELLS:
+        total = total + F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c)))
     return total
 
 
+def _close(group: pa.Table) -> pa.Table:
+    """Pairs of one cell of a large group, of different components, that pass all filters."""
+    side, node, info, comp = (group.column(c).to_numpy() for c in ("side", "node", "info", "comp"))
+    cells = np.column_stack([group.column(c).to_numpy() for c in _CELLS]).view(np.uint64)
+    n, at = info >> 32, info & 0xFFFFFFFF
+    left = np.flatnonzero(side == 0)
+    split = (side == 1).any()
+    right = np.flatnonzero(side == 1) if split else left
+    found = [np.zeros((2, 0), np.int64)]
+    for k in range(0, len(left), 64):
+        x, y = left[k : k + 64, None], right[None, :]
+        least, both = np.minimum(n[x], n[y]), n[x] + n[y]
+        need = -(-both * PERCENT // (100 + PERCENT))
+        ok = (comp[x] != comp[y]) & (100 * least >= PERCENT * (both - least)) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need)
+        i, j = np.nonzero(ok if split else ok & (node[x] < node[y]))
+        i, j = left[k + i], right[j]
+        for m in range(0, len(i), 1 << 15):
+            p, q = i[m : m + (1 << 15)], j[m : m + (1 << 15)]
+            apart = np.bitwise_count(cells[p] ^ cells[q]).sum(axis=1, dtype=np.int64)
+            near = apart <= n[p] + n[q] - 2 * (-(-(n[p] + n[q]) * PERCENT // (100 + PERCENT)))
+            p, q = node[p[near]], node[q[near]]
+            found.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row.
 
@@ -183,13 +204,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
 
-    nodes = sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *[f"b{i}" for i in range(BUCKETS // 4)])])
+    nodes = stash(sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *_CELLS)]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in nodes.columns]) for s in "ab")
         near = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
-        suffix = (F.greatest("a_n", "b_n") > COUNTED) | (_most("a_", "b_") >= _needed(F.col("a_n"), F.col("b_n")))
-        near = stash(near.where(suffix).select("a", "b", "a_doc_id", "b_doc_id"))
+        both = F.col("a_n") + F.col("b_n")
+        near = stash(near.where(_differ("a_", "b_") <= both - 2 * _needed(F.col("a_n"), F.col("b_n"))).select("a", "b", "a_doc_id", "b_doc_id"))
         ids = near.select(F.col("a_doc_id").alias("doc_id")).union(near.select("b_doc_id")).distinct()
         sets = docs.join(bounded(ids), "doc_id", "left_semi").mapInArrow(_sets, "node bigint, members binary").dropDuplicates(["node"])
         sets = stash(sets)
@@ -198,8 +219,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         discard(near, sets)
         return links
 
+    def inside(rows: DataFrame) -> DataFrame:
+        rows = rows.join(nodes.select("node", *_CELLS), "node").select("key", "cell", "side", "node", "info", "comp", *_CELLS)
+        return verify(stash(rows.groupBy("key", "cell").applyInArrow(_close, "a bigint, b bigint").distinct()))
+
     entries = docs.mapInArrow(_prefixes(keys, counts), "key bigint, slot bigint, node bigint, info bigint")
-    comp = linked(entries, _admits, verify)
+    comp = linked(entries, _admits, verify, inside=inside)
     ids = nodes.select("node", "doc_id").join(comp, "node")
     first = ids.groupBy("comp").agg(F.min("doc_id").alias("first"))
     ids = ids.join(first, "comp").select("node", "first")

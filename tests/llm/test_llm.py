@@ -336,3 +336,21 @@ def test_line_dedup_of_a_large_group(spark, monkeypatch):
             up[b] = a
     want = {i for i in range(len(texts)) if root(i) != i}
     assert {r.doc_id for r in line_dedup.dropped_lines(frame(spark, texts)).collect()} == want
+
+
+def test_jaccard_in_blocks(spark, monkeypatch):
+    from contrasta.llm import linkage
+
+    monkeypatch.setattr(linkage, "PAIRED", 3)
+    monkeypatch.setattr(linkage, "BLOCK", 5)
+    monkeypatch.setattr(linkage, "HUB_ROUNDS", 1)  # no second hub, so that blocks find what the first ones leave
+    rng = random.Random(23)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        words = list(base) if i % 2 else base[:30] + [f"v{j}" for j in range(30)]
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append(" ".join(words))
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_components(brute_sets(rows))
