@@ -509,5 +509,25 @@ def batch_coverage_metrics(spark, d):
     return M.coverage(matrix(spark, d))
 
 
+@query("WITH " + MATRIX + " SELECT level, count(*) AS n FROM matrix GROUP BY level")
+def evidence_level_histogram(spark, d):
+    return matrix(spark, d).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + MATRIX + """ SELECT answer, cand, max(level) AS best, count(*) FILTER (WHERE level = 3) AS n3, count(*) FILTER (WHERE level = 2) AS n2,
+count(*) FILTER (WHERE level = 1) AS n1, count(*) FILTER (WHERE level = 0) AS n0 FROM matrix GROUP BY answer, cand""")
+def candidate_evidence_summary(spark, d):
+    counts = [F.count_if(F.col("level") == k).alias(f"n{k}") for k in (3, 2, 1, 0)]
+    return matrix(spark, d).groupBy("answer", "cand").agg(F.max("level").alias("best"), *counts)
+
+
+@query("""WITH m AS (SELECT o_orderstatus AS grp, count(*)::DOUBLE AS orders, round(avg(o_totalprice), 4)::DOUBLE AS mean_price, count(DISTINCT o_custkey)::DOUBLE AS customers FROM orders GROUP BY 1)
+SELECT grp, metric, value FROM m UNPIVOT (value FOR metric IN (orders, mean_price, customers))""")
+def metrics_unpivot(spark, d):
+    o = T.read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("grp"))
+    m = o.agg(F.count("*").cast("double").alias("orders"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.countDistinct("o_custkey").cast("double").alias("customers"))
+    return m.unpivot("grp", ["orders", "mean_price", "customers"], "metric", "value")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_distractors(spark, sf_dir)
