@@ -122,7 +122,7 @@ def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], verif
     """(node, comp) of the nodes that have a link.
 
     entries: key long, node long, info long, and slot long where groups may be hot: a slot is a part of a key's group (the
-    key itself unless the group is known to be hot). admits(info, info) is a lossless filter of candidates; verify(pairs a, b) returns the
+    key itself where the group has one slot, and never the key where it has several). admits(info, info) is a lossless filter of candidates; verify(pairs a, b) returns the
     pairs that are links, exactly, as a written table. prepare(node) is called once, before, with all nodes that may be in
     a pair. inside(key, cell, side, node, info, comp), where given, finds links between components in large groups, whose
     candidates are then never rows: a cell holds two blocks of a group (sides 0 and 1), or one (side 0).

@@ -114,7 +114,8 @@ def _prefixes(keys: np.ndarray, counts: np.ndarray):
                 salts = (often[:p] // SLOT).astype(np.uint64) + np.uint64(1)
                 salt = mix(np.array([node], np.uint64))[0] % salts
                 with np.errstate(over="ignore"):
-                    slot = np.where(salt == 0, first, mix(first + salt * np.uint64(0x9E3779B97F4A7C15)))
+                    # no slot of a hot key has the key's own value: linked() takes that to mean that the key has one slot
+                    slot = np.where(salts == 1, first, mix(first + (salt + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
                 for k, x in enumerate((first.view(np.int64), slot.view(np.int64), np.full(p, node, np.int64), np.arange(p, dtype=np.int64) | n << 32)):
                     out[k].append(x)
             if out[0]:

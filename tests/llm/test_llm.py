@@ -354,3 +354,18 @@ def test_jaccard_in_blocks(spark, monkeypatch):
         rows.append(" ".join(words))
     got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(frame(spark, rows)).collect()}
     assert [got[i] for i in range(len(rows))] == brute_components(brute_sets(rows))
+
+
+@pytest.mark.parametrize("slot", [1, 2, 3, 4])
+def test_jaccard_of_a_frequent_passage(spark, monkeypatch, slot):
+    """Short near copies that consist of passages which long documents share, so that few sets have them in their prefix."""
+    monkeypatch.setattr(ngram_jaccard, "SLOT", slot)
+    rng = random.Random(31)
+    texts = []
+    for p in range(8):
+        passage = [f"p{p}w{i}" for i in range(40)]
+        texts += [" ".join([*passage, *(f"d{p}x{k}y{i}" for i in range(150))]) for k in range(9)]
+        texts += [" ".join([*passage, *(f"e{p}x{k}y{i}" for i in range(k))]) for k in range(2 + p % 2)]
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(frame(spark, texts).coalesce(1)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(brute_sets(texts))
