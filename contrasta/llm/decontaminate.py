@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a window of token positions of which a fixed mask reads some and ignores others, so a substituted token at an
-ignored position doesn't hide a match. The hashes of all windows of the benchmark are joined with those of every third
-window of the training texts (any stretch of nine equal tokens holds one of those). Around each hit the item is laid on the
-document at that offset, and the best stretch - matches count 1, substitutions -2 - decides.
+ignored position doesn't hide a match. The hashes of all windows of the benchmark, which is the small side, are joined with
+those of all windows of the training texts. Around each hit the item is laid on the document at that offset, and the best
+stretch - matches count 1, substitutions -2 - decides. Every stretch that is accepted holds a hit of the mask.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from .shared import bounded, stash
 
-#: The positions that each mask reads.
-MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 6))
-SPAN = 7
-#: The training texts are read at every STRIDE-th position, the benchmark at all.
-STRIDE = 3
+#: The positions that the mask reads. However substitutions lie, a stretch that LEAST and PART accept has a
+#: window in which these are equal; of masks of up to 7 tokens, none that reads 5 has this property.
+MASK = (0, 1, 2, 4)
+SPAN = 5
 #: An item leaks with so many matched tokens, or with half of its own, but at least 8 (or all, if it has fewer), where
 #: at least so large a part of the stretch matches.
 ENOUGH, LEAST, PART = 13, 8, 0.75
@@ -29,24 +28,13 @@ def tokens(text: Column) -> Column:
     return F.split(words, " ")
 
 
-def _windows(step: int) -> Column:
-    """Hashes of the windows of column `toks` under each mask in turn, at positions 0, step, 2 step ..."""
+def _hashed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pos, seed): a row for each window of column `toks`."""
     last = F.size("toks") - SPAN
-    at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-
-    def under(k: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(*[F.get("toks", i + j) for j in mask], F.lit(k)))
-
-    hashes = [under(k, mask) for k, mask in enumerate(MASKS)]
-    return F.concat(*hashes)
-
-
-def _hashed(rows: DataFrame, key: str, step: int) -> DataFrame:
-    """(key, pos, seed): a row for each window and mask."""
-    rows = rows.select(key, _windows(step).alias("seeds"))
+    at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select(key, F.transform(at, lambda i: F.xxhash64(*[F.get("toks", i + j) for j in MASK])).alias("seeds"))
     # outer: else a filter on the array's size, with all of its expression, is pushed below and evaluated besides
-    rows = rows.select(key, (F.size("seeds") / len(MASKS)).cast("int").alias("each"), F.posexplode_outer("seeds").alias("k", "seed")).where("seed is not null")
-    return rows.select(key, (F.col("k") % F.col("each") * step).alias("pos"), "seed")
+    return rows.select(key, F.posexplode_outer("seeds").alias("pos", "seed")).where("seed is not null")
 
 
 def _best(same: Column) -> Column:
@@ -66,15 +54,15 @@ def _best(same: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, stretch, item_tokens): a row for each document and item that leaks into it.
 
-    Null and empty texts have no windows and so no leaks, nor have items of fewer than 7 tokens. Rows with a null id are
+    Null and empty texts have no windows and so no leaks, nor have items of fewer than 5 tokens. Rows with a null id are
     compared among null ids as one. Repeated documents and items give one row per pair of ids, with the best stretch and of
     those the longest. Other columns are not read. An empty table on either side gives an empty result.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     items = stash(benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item")))
-    seeds = stash(_hashed(items.select("item_id", F.col("item").alias("toks")), "item_id", 1).select("item_id", F.col("pos").alias("at"), "seed").distinct())
+    seeds = stash(_hashed(items.select("item_id", F.col("item").alias("toks")), "item_id").select("item_id", F.col("pos").alias("at"), "seed").distinct())
     read = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
-    hits = _hashed(read, "doc_id", STRIDE).join(bounded(seeds), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    hits = _hashed(read, "doc_id").join(bounded(seeds), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     hits = stash(hits)
     ids = stash(hits.select("doc_id").distinct())
     texts = docs.join(bounded(ids), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("toks"))

@@ -369,3 +369,26 @@ def test_jaccard_of_a_frequent_passage(spark, monkeypatch, slot):
     rng.shuffle(texts)
     got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(frame(spark, texts).coalesce(1)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(brute_sets(texts))
+
+
+def test_decontamination_at_all_phases(spark):
+    """A 15-token item with every choice of up to 3 substitutions, after 0 to 2 other tokens, and copies of shorter items."""
+    item = [f"t{i}" for i in range(15)]
+    texts, want = [], set()
+    for n in range(4):
+        for gone in itertools.combinations(range(15), n):
+            same = [i not in gone for i in range(15)]
+            stretches = [(sum(1 if x else -2 for x in same[a:b]), sum(same[a:b]), b - a) for a in range(15) for b in range(a + 1, 16)]
+            top = max(x[0] for x in stretches)
+            if min(matched for score, matched, _ in stretches if score == top) >= 8:
+                want |= {(len(texts) + phase, 0) for phase in range(3)}
+            texts += [" ".join([*(f"a{i}" for i in range(phase)), *(t if x else "other" for t, x in zip(item, same, strict=True)), "z"]) for phase in range(3)]
+    bench = [(0, " ".join(item))]
+    for size in (5, 6, 7):
+        short = " ".join(f"s{size}x{i}" for i in range(size))
+        want |= {(len(texts) + phase, size) for phase in range(3)}
+        texts += ["b " * phase + short + " c" for phase in range(3)]
+        bench.append((size, short))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert want <= got
+    assert all(item == 0 for _, item in got - want) and len(want) > 1000
