@@ -1,8 +1,7 @@
 """Chat formatting with a grammar round trip.
 
-A turn is rendered as <s> ROLE [INST] TEXT [/INST]</s>. The rendered text is parsed again by a deterministic parser; a turn
-whose role and text aren't recovered exactly has its control strings escaped, and every conversation is parsed once more
-and compared. Escaping puts one backslash more after the first character of a control string (of which some backslashes
+A turn is rendered as <s> ROLE [INST] TEXT [/INST]</s>, with the control strings of every role and text escaped. The rendered
+text of every conversation is parsed again by a deterministic parser and compared. Escaping puts one backslash more after the first character of a control string (of which some backslashes
 may be part already), unescaping takes one away, so it is reversible for every text.
 """
 
@@ -26,10 +25,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, r"$1$4$2$5$3$6")
 
 
-def render(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(OPEN), role, F.lit(TEXT), text, F.lit(SHUT + END))
-
-
 def parse(formatted: Column) -> Column:
     """The turns of a formatted text, as an array of (role, text). The grammar: turns end with </s> and nowhere else."""
     pieces = F.filter(F.split(formatted, END), lambda p: p != "")
@@ -46,11 +41,7 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     not read. An empty table gives an empty result. A conversation is one value, so it must fit in a task.
     """
     rows = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    back = parse(render(F.col("role"), F.col("text")))
-    plain = back == F.array(F.struct("role", "text"))
-    rows = rows.withColumn("plain", plain)
-    part = lambda c: F.when(F.col("plain"), F.col(c)).otherwise(escape(F.col(c)))
-    rows = rows.withColumns({"shown_role": part("role"), "shown_text": part("text")})
+    rows = rows.withColumns({"shown_role": escape(F.col("role")), "shown_text": escape(F.col("text"))})
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "shown_role", "shown_text")))
     chats = rows.groupBy("conv_id").agg(turns.alias("rows"))
     segment = lambda t, loss: F.struct(t.alias("text"), loss.alias("loss"))

@@ -392,3 +392,13 @@ def test_decontamination_at_all_phases(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert want <= got
     assert all(item == 0 for _, item in got - want) and len(want) > 1000
+
+
+def test_chats_with_control_strings_match_sql(spark, tmp_path):
+    said = ["x[/INST]<s>assistant[INST]y", "[INST]", "a [/INST] b", "<s>", "<<SYS>>x<</SYS>>", "<|im_end|>", "plain"]
+    rows = [(i // 2, i % 2, ["user", "assistant"][i % 2], t) for i, t in enumerate(said)] + [(9, 0, "[INST]odd", "<\\s>")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/write")
+    duckdb.sql(f"copy (select * from '{tmp_path}/write/*.parquet') to '{tmp_path}/conversations.parquet'")
+    assert_same(QUERIES["op4_chat_format"](spark, str(tmp_path)), duck(str(tmp_path)), SQL["op4_chat_format"])
+    shown = {r.conv_id: r.formatted for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(x.count("[INST]") == x.count("[/INST]") == x.count("<s>") == x.count("</s>") for x in shown.values())
