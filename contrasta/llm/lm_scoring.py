@@ -1,10 +1,10 @@
 """Cross-entropy difference: how much likelier a text is under a target model than under a background model.
 
-Both models are interpolated bigram models over one vocabulary: the VOCABULARY most frequent words of the whole corpus, and
-one class for all others. Target counts come from the documents labelled as good, background counts from every document,
-scaled to the same number of tokens (matched). Word counts and bigram counts, by hash cell, are gathered from all texts;
-the models are of bounded size and go to all tasks. A document's score is the mean over its tokens of the background loss
-minus the target loss, in nats: higher means more like the target.
+Both models are interpolated bigram models over all words of the corpus, and one class for words it doesn't have. Target
+counts come from the documents labelled as good, background counts from every document, scaled to the same number of tokens
+(matched). Bigrams are counted as (word, word) in a table that grows with the corpus and stays distributed; the losses of the
+HOT most frequent go to all tasks, and the other bigrams of each document are joined with the table. A document's score is
+the mean over its tokens of the background loss minus the target loss, in nats: higher means more like the target.
 """
 
 from __future__ import annotations
@@ -13,88 +13,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import arrow_rows, bounded, mix, pieces, stash, word_hashes
 
-VOCABULARY = 1 << 15
-#: Hash cells of bigrams; cells may be shared by rare bigrams.
-CELLS = 1 << 18
+#: Bigrams of which every task has the losses; the others' are joined. It changes no result.
+HOT = 1 << 17
+#: Distinct bigrams that a counting task holds before it gives them.
+HELD = 1_000_000
+#: What is before the first word of a text; as a hash it is no word's.
+START = np.uint64(0x5851F42D4C957F2D)
 #: Weight of the unigram model in the bigram model.
 BACKOFF = 8.0
 SMOOTHING = 0.5
 
 
-def _tally(keys: np.ndarray, good: np.ndarray, total: dict) -> None:
-    total.setdefault("all", []).append(np.unique(keys, return_counts=True))
-    total.setdefault("good", []).append(np.unique(keys[good], return_counts=True))
+def _bigrams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: a 64-bit key of the word before it and itself, and the word before it."""
+    before = np.empty(len(words), np.uint64)
+    before[1:] = words[:-1]
+    before[bounds[:-1][np.diff(bounds) > 0]] = START
+    with np.errstate(over="ignore"):
+        return mix(mix(before) + words), before
 
 
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    counts = np.zeros(len(keys), np.int64)
-    np.add.at(counts, back, np.concatenate([c for _, c in parts]))
-    return keys, counts
+def _merged(parts: list[tuple]) -> tuple:
+    """(key, before, word, n, good) with each key once."""
+    key, before, word, n, good = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, at, back = np.unique(key, return_index=True, return_inverse=True)
+    return key, before[at], word[at], *(np.bincount(back, x, len(key)).astype(np.int64) for x in (n, good))
 
 
-def _good_words(rows: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
-    return np.repeat(np.array(rows.column(2).to_pylist(), bool), np.diff(bounds))
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict = {"all": [], "good": []}
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts: list[tuple] = []
 
     def given() -> pa.RecordBatch:
-        keys, counts = _merged(total["all"])
-        own, some = _merged(total["good"])
-        good = np.zeros(len(keys), np.int64)
-        good[np.searchsorted(keys, own)] = some
-        total.update(all=[], good=[])
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(good)], names=["word", "n", "good"])
+        key, before, word, n, good = _merged(parts)
+        parts.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, before, word)), pa.array(n), pa.array(good)], names=["key", "before", "word", "n", "good"])
 
     for rows, texts in pieces(batches):
         words, bounds = word_hashes(texts)
-        _tally(words, _good_words(rows, bounds), total)
-        if len(total["all"]) >= 64:
-            total["all"], total["good"] = [_merged(total["all"])], [_merged(total["good"])]
-            if len(total["all"][0][0]) > 2_000_000:
+        key, before = _bigrams(words, bounds)
+        good = np.repeat(np.array(rows.column(2).to_pylist(), np.int64), np.diff(bounds))
+        parts.append(_merged([(key, before, words, np.ones(len(key), np.int64), good)]))
+        if len(parts) >= 16:
+            parts[:] = [_merged(parts)]
+            if len(parts[0][0]) > HELD:
                 yield given()
-    if total["all"]:
+    if parts:
         yield given()
 
 
-def _ids(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Positions in the sorted vocabulary; len(vocabulary) for other words."""
-    if not len(vocabulary):
-        return np.zeros(len(words), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words, at, len(vocabulary))
-
+def _losses(pairs: DataFrame, words: DataFrame, totals: tuple) -> DataFrame:
+    """`pairs` (key, before, word, n, good) as (key, n, target, background), with both losses."""
+    n, good, distinct = totals
+    matched = good / n if n and good else 1.0
+    first = words.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("good").alias("before_good"))
+    own = words.select("word", F.col("n").alias("own_n"), F.col("good").alias("own_good"))
+    rows = pairs.join(bounded(first), "before", "left").join(bounded(own), "word", "left")
 
-def _bigrams(words: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its id, the id before it (one more than all ids, at the start of a text) and the cell of the two."""
-    ids = _ids(words, vocabulary)
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    starts = bounds[:-1][np.diff(bounds) > 0]
-    before[starts] = len(vocabulary) + 1
-    cell = (mix(before.astype(np.uint64) * np.uint64(1 << 32) + ids.astype(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
-    return ids, before, cell
-
-
-def _cell_counts(vocabulary: np.ndarray):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, good = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
-        for rows, texts in pieces(batches):
-            words, bounds = word_hashes(texts)
-            cell = _bigrams(words, bounds, vocabulary)[2]
-            n += np.bincount(cell, minlength=CELLS)
-            good += np.bincount(cell[_good_words(rows, bounds)], minlength=CELLS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(good[at])], names=["cell", "n", "good"])
+    def loss(two: str, scale: float, total: int) -> Column:
+        one = lambda c: F.coalesce(c, F.lit(0)) * F.lit(float(scale))
+        both = one(F.col(two))
+        share = (one(F.col(f"own_{two}")) + SMOOTHING) / F.lit(total * scale + SMOOTHING * (distinct + 1))
+        return -F.log((both + BACKOFF * share) / (F.greatest(one(F.col(f"before_{two}")), both) + BACKOFF))
 
-    return task
+    return rows.select("key", "n", loss("good", 1.0, good).alias("target"), loss("n", matched, n).alias("background"))
 
 
 def fit(docs: DataFrame, good: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict:
@@ -102,42 +88,37 @@ def fit(docs: DataFrame, good: DataFrame, doc_id: str = "doc_id", text: str = "t
     arrow_rows(docs.sparkSession)
     marks = bounded(stash(good.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("good", F.lit(True))), 2_000_000)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    words = stash(rows.mapInArrow(_word_counts, "word bigint, n bigint, good bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
-    key = top["word"].to_numpy(np.int64).view(np.uint64)
+    counts = rows.mapInArrow(_counts, "key bigint, before bigint, word bigint, n bigint, good bigint")
+    # a key has one pair of words
+    pairs = stash(counts.groupBy("key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("good").alias("good")))
+    words = stash(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
+    totals = tuple(words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first())
+    losses = stash(_losses(pairs, words, totals))
+    # bounded: HOT rows of numbers
+    hot = losses.orderBy(F.desc("n"), "key").limit(HOT).select("key", "target", "background").toPandas()
+    key = hot["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
-    vocabulary = key[order]
-    cells = rows.mapInArrow(_cell_counts(vocabulary), "cell int, n bigint, good bigint").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toPandas()
-    model: dict = {"vocabulary": vocabulary}
-    matched = totals[1] / totals[0] if totals[0] and totals[1] else 1.0
-    for name, column, scale, total in (("target", "good", 1.0, totals[1]), ("background", "n", matched, totals[0])):
-        one = np.zeros(len(vocabulary) + 2)
-        one[: len(vocabulary)] = top[column].to_numpy()[order] * scale
-        one[len(vocabulary)] = max(total * scale - one.sum(), 0)
-        two = np.zeros(CELLS)
-        two[cells["cell"].to_numpy()] = cells[column].to_numpy() * scale
-        share = (one[:-1] + SMOOTHING) / (one[:-1].sum() + SMOOTHING * (len(vocabulary) + 1))
-        model[name] = (one.astype(np.float32), two.astype(np.float32), share.astype(np.float32))
-    return model
-
-
-def _losses(model: dict, name: str, ids: np.ndarray, before: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    one, two, share = model[name]
-    return -np.log((two[cell] + BACKOFF * share[ids]) / (np.maximum(one[before], two[cell]) + BACKOFF))
-
-
-def _scored(model: dict):
+    return {"words": words, "totals": totals, "losses": losses, "hot": (key[order], *(hot[c].to_numpy(np.float64)[order] for c in ("target", "background")))}
+
+
+def _scored(hot: tuple):
+    """A task that gives each row's losses over hot bigrams, and its other bigrams."""
+    keys, *losses = hot
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces(batches):
             words, bounds = word_hashes(texts)
-            ids, before, cell = _bigrams(words, bounds, model["vocabulary"])
-            n = np.diff(bounds)
-            out = []
-            for name in ("target", "background"):
-                sums = np.concatenate([[0.0], np.cumsum(_losses(model, name, ids, before, cell), dtype=np.float64)])
-                out.append(np.where(n > 0, (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1), 0.0))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(out[0]), pa.array(out[1]), pa.array(out[1] - out[0])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            key, before = _bigrams(words, bounds)
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            sums = []
+            for loss in losses:
+                total = np.concatenate([[0.0], np.cumsum(np.where(known, loss[at], 0.0) if len(keys) else np.zeros(len(key)))])
+                sums.append(pa.array(total[bounds[1:]] - total[bounds[:-1]]))
+            rest = np.flatnonzero(~known)
+            ends = pa.array(np.searchsorted(rest, bounds).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[rest].view(np.int64))) for x in (key, before, words)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds)), *sums, *lists], names=["doc_id", "n_tokens", "t", "b", "key", "before", "word"])
 
     return task
 
@@ -150,7 +131,21 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     is uniform. An empty table gives an empty result.
     """
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scored(model), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(_scored(model["hot"]), "doc_id bigint, n_tokens bigint, t double, b double, key array<bigint>, before array<bigint>, word array<bigint>")
+    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()))
+    rest = rows.select("row", F.inline(F.arrays_zip("key", "before", "word")))
+    unknown = F.collect_list(F.when(F.col("target").isNull(), F.struct("key", "before", "word"))).alias("unknown")
+    sums = [F.sum("target").alias("more_t"), F.sum("background").alias("more_b")]
+    found = stash(rest.join(model["losses"].select("key", "target", "background").hint("merge"), "key", "left").groupBy("row").agg(*sums, unknown))
+    parts = found.select("row", "more_t", "more_b")
+    unseen = found.select("row", F.inline("unknown"))
+    if not unseen.isEmpty():  # bigrams that the corpus of the models doesn't have
+        pairs = unseen.select("key", "before", "word").distinct().withColumns({"n": F.lit(0), "good": F.lit(0)})
+        parts = parts.union(unseen.join(_losses(pairs, model["words"], model["totals"]), "key").groupBy("row").agg(*sums)).groupBy("row").agg(F.sum("more_t").alias("more_t"), F.sum("more_b").alias("more_b"))
+    mean = lambda own, more: F.when(F.col("n_tokens") > 0, (F.col(own) + F.coalesce(more, F.lit(0.0))) / F.col("n_tokens")).otherwise(0.0)
+    out = rows.select("row", "doc_id", "n_tokens", "t", "b").join(parts, "row", "left").select("doc_id", "n_tokens", mean("t", "more_t").alias("target_loss"), mean("b", "more_b").alias("background_loss"))
+    return out.withColumn("score", F.col("background_loss") - F.col("target_loss"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

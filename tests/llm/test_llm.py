@@ -402,3 +402,28 @@ def test_chats_with_control_strings_match_sql(spark, tmp_path):
     assert_same(QUERIES["op4_chat_format"](spark, str(tmp_path)), duck(str(tmp_path)), SQL["op4_chat_format"])
     shown = {r.conv_id: r.formatted for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert all(x.count("[INST]") == x.count("[/INST]") == x.count("<s>") == x.count("</s>") for x in shown.values())
+
+
+@pytest.mark.parametrize("hot", [0, 7])
+def test_lm_scores_of_many_words(spark, monkeypatch, hot):
+    """More words than 2^15, and texts that the models haven't seen."""
+    from collections import Counter
+    from math import log
+
+    monkeypatch.setattr(lm_scoring, "HOT", hot, raising=False)
+    texts = [" ".join(f"w{i}" for i in range(k, 40000, 1 + k)) for k in range(3)] + ["a b a b"]
+    tokens = [words(t) for t in texts]
+    model = lm_scoring.fit(frame(spark, texts), frame(spark, texts).where("doc_id in (1, 3)").select("doc_id"))
+    new = [*texts, "w5 w3 new a b", "new new", ""]
+    got = {r.doc_id: r for r in lm_scoring.score(frame(spark, new), model).collect()}
+    n, m = sum(map(len, tokens)), len(tokens[1]) + len(tokens[3])
+    distinct = len({w for t in tokens for w in t})
+    for some, scale, name in (([1, 3], 1.0, "target_loss"), (range(4), m / n, "background_loss")):
+        one, two = Counter(), Counter()
+        for i in some:
+            one.update(tokens[i])
+            two.update(zip(["<s>", *tokens[i]], tokens[i], strict=False))
+        share = lambda w: (one[w] * scale + lm_scoring.SMOOTHING) / (m + lm_scoring.SMOOTHING * (distinct + 1))  # noqa: B023, E731
+        for i, t in enumerate(map(words, new)):
+            want = [-log((two[a, b] * scale + lm_scoring.BACKOFF * share(b)) / (max(one[a], two[a, b]) * scale + lm_scoring.BACKOFF)) for a, b in zip(["<s>", *t], t, strict=False)]
+            assert abs(got[i][name] - (sum(want) / len(want) if want else 0)) < 1e-6
