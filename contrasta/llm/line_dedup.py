@@ -4,6 +4,7 @@ A line is the set of its 5-character shingles (after trimming and lower-casing).
 banded; lines that share a band (at a similarity of 0.8 with probability 0.996 in one at least, at 0.85 with 0.9997) and of
 whose minima enough have equal low bits (0.999) are candidates; candidates are verified by their exact Jaccard similarity and joined to components by distributed union-find. Large groups
 are linked without rows of all of their pairs, see linkage.py; there shingles are known by 64-bit hashes. Equal lines are one node throughout.
+A band key that many lines of a task have is salted, so no task gets all lines of a hot key.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linkage import linked
-from .shared import PIECE_BYTES, arrow_rows, bounded, discard, mix, stash
+from .linkage import SLOTTED, compare, linked
+from .shared import PIECE_BYTES, arrow_rows, bounded, discard, lean, mix, row_key, stash, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 14, 5
 #: Lines are linked at this Jaccard similarity of their shingle sets or more.
 SIMILAR = 0.8
-#: Of the first BITS minima of two lines so many must agree in their last bit: at a similarity of 0.8 57.6 do on average.
-BITS, AGREE = 64, 50
+#: Of the first BITS minima of two lines so many must agree in their last bit: at a similarity of 0.8 56.7 do on average.
+BITS, AGREE = 63, 49
 #: Shingles in a matrix at once.
-COLUMNS = 4096
+COLUMNS = 2048
+#: A key that so many of the lines have which a task works on at once is dealt to SALTS slots.
+HOT, SALTS = 12, 64
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)).astype(np.uint32)
 
@@ -45,18 +48,21 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(1, SHINGLE):
             h = h * np.uint64(0x9E3779B97F4A7C15) + wide[k : len(wide) - SHINGLE + 1 + k]
         h = (mix(h[at]) >> np.uint64(32)).astype(np.uint32)
-        keys = np.empty((len(lines), BANDS), np.uint64)
+        least = np.empty((BANDS * ROWS, len(lines)), np.uint32)
+        other = np.empty_like(h)
+        for k in range(BANDS * ROWS):
+            np.multiply(h, _A[k], out=other)
+            np.add(other, _B[k], out=other)
+            np.minimum.reduceat(other, first, out=least[k])
+        least = mix(least.astype(np.uint64))
         bits = np.zeros(len(lines), np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(lines), b + 1, np.uint64)
-            for r in range(ROWS):
-                k = b * ROWS + r
-                least = mix(np.minimum.reduceat(h * _A[k] + _B[k], first).astype(np.uint64))
-                key = mix(key * np.uint64(0xD1342543DE82EF95) + least)
-                if k < BITS:
-                    bits = bits << np.uint64(1) | least & np.uint64(1)
-            keys[:, b] = key
-    return keys.view(np.int64), bits.view(np.int64)
+        for k in range(BITS):
+            bits = bits << np.uint64(1) | least[k] & np.uint64(1)
+        least = least.reshape(BANDS, ROWS, len(lines))
+        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], (BANDS, len(lines)))
+        for r in range(ROWS):
+            keys = mix(keys * np.uint64(0xD1342543DE82EF95) + least[:, r])
+    return np.ascontiguousarray(keys.T).view(np.int64), bits.view(np.int64)
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -64,6 +70,25 @@ def _agree(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= BITS - AGREE
 
 
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same in numpy."""
+    return np.bitwise_count(a ^ b) <= BITS - AGREE
+
+
+def slots(keys: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    """Rows (key, slot, node, info) of lines x BANDS keys; a hot key's rows are dealt out by node, and one of them is in the key's own slot too."""
+    key, node, info = keys.ravel(), np.repeat(nodes, BANDS), np.repeat(bits, BANDS)
+    _, first, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    hot = count[back] >= HOT
+    if not hot.any():
+        return [key, key, node, info]
+    with np.errstate(over="ignore"):
+        salted = mix(key.view(np.uint64) + (mix(node.view(np.uint64)) % np.uint64(SALTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    more = first[count >= HOT]
+    rows = [key, np.where(hot, salted, key), node, info]
+    return [np.append(x, y[more]) for x, y in zip(rows, (key, key, node, info | SLOTTED), strict=True)]
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
@@ -71,18 +96,19 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def done() -> pa.RecordBatch:
             keys, bits = band_keys(lines)
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(nodes, np.int64), BANDS)), pa.array(np.repeat(bits, BANDS))], names=["key", "node", "info"])
+            key, *rest = slots(keys, np.array(nodes, np.int64), bits)
+            return pa.RecordBatch.from_arrays([pa.array(key, mask=key == rest[0]), *map(pa.array, rest)], names=["key", "slot", "node", "info"])
 
         for node, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if node in seen:
                 continue
-            if len(seen) >= 1_000_000:  # it only saves work: a line that is given twice is one node
+            if len(seen) >= 500_000:  # it only saves work: a line that is given twice is one node
                 seen.clear()
             seen.add(node)
             nodes.append(node)
             lines.append(line)
             size += len(line)
-            if size > PIECE_BYTES // 8:
+            if size > PIECE_BYTES // 4:
                 yield done()
                 nodes, lines, size = [], [], 0
         if lines:
@@ -99,29 +125,18 @@ def jaccard(x: str, y: str) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among pairs; sets of lines that come again, as hubs do, are kept for a while."""
-    kept: dict[str, set[str]] = {}
-    held = 0
+def _linked_to(line: str):
+    """A test of other lines against this one."""
+    own = shingles(line)
 
-    def of(line: str) -> set[str]:
-        nonlocal held
-        found = kept.get(line)
-        if found is None:
-            if held > PIECE_BYTES:
-                kept.clear()
-                held = 0
-            held += len(line)
-            found = kept[line] = shingles(line)
-        return found
+    def test(other: str) -> bool:
+        if min(len(line), len(other)) + SHINGLE < SIMILAR * len(own):  # a set has no more shingles than its line has places
+            return False
+        its = shingles(other)
+        both = len(own & its)
+        return both / (len(own) + len(its) - both) >= SIMILAR
 
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            s, t = of(x), of(y)
-            both = len(s & t) if min(len(s), len(t)) >= SIMILAR * max(len(s), len(t)) else 0
-            keep.append(both / (len(s) + len(t) - both) >= SIMILAR)
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    return test
 
 
 def _inside(group: pa.Table) -> pa.Table:
@@ -162,56 +177,76 @@ def _shingle_hashes(line: str) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line, node): the lines of each text, trimmed and lower-cased; node is null for a blank line."""
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.lower(F.trim("line")).alias("line"))
+    """(doc_id, row, line_no, line, node): the lines of each text, trimmed and lower-cased; node is null for a blank line. row is known by id and text."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    lines = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", "row", "line_no", F.lower(F.trim("line")).alias("line"))
     return lines.withColumn("node", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, first_doc_id, first_line_no): the lines that go, and the line of the same component that stays.
+    """(doc_id, row, line_no, first_doc_id, first_line_no): the lines that go, and the line of the same component that stays.
 
-    The line with the smallest (doc_id, line_no) of a component stays; of repeated rows one stays and the others' lines go
-    as if they followed it, except that rows which repeat a doc_id share its first lines. Blank lines, null and empty
-    texts have nothing to drop. Null ids come first. Lines of any length are whole. Other columns are not read. An empty
-    table gives an empty result.
+    The line with the smallest (doc_id, row, line_no) of a component stays; row is a digest of id and text, so rows with
+    a null id, which come first, are told apart by their texts. Rows equal in id and text are one document: the same lines go
+    from each. Blank lines, null and empty texts have nothing to drop. Lines of any length are whole. Other columns are not
+    read. An empty table gives an empty result.
     """
-    arrow_rows(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_rows(spark)
     lines = lines_of(docs, doc_id, text).where("node is not null")
 
-    known = lines.select("node", "line")
+    def content(nodes: DataFrame) -> DataFrame:
+        return lines.join(bounded(nodes), "node", "left_semi").select("node", F.col("line").alias("load")).dropDuplicates(["node"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return compare(pairs, kept, _linked_to)
+
+    known = None
+
+    def kept(nodes: DataFrame) -> DataFrame:
+        return known.join(bounded(nodes), "node", "left_semi")
 
     def prepare(nodes: DataFrame) -> None:
         nonlocal known
-        known = stash(known.join(bounded(stash(nodes)), "node", "left_semi").dropDuplicates(["node"]))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(known.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-        links = stash(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"))
-        return links
+        known = stash(content(stash(nodes)))
+        tidy(spark)
 
     def inside(rows: DataFrame) -> DataFrame:
-        rows = rows.join(known, "node").select("key", "cell", "side", "node", "comp", "line")
+        rows = rows.join(known, "node").select("key", "cell", "side", "node", "comp", F.col("load").alias("line"))
         return stash(rows.groupBy("key", "cell").applyInArrow(_inside, "a bigint, b bigint"))
 
-    entries = lines.select("node", "line").mapInArrow(_entries, "key bigint, node bigint, info bigint")
-    comp = linked(entries, _agree, verify, prepare, inside)
+    entries = lines.select("node", "line").mapInArrow(lean(_entries), "key bigint, slot bigint, node bigint, info bigint")
+    comp = linked(entries, _agree, near, verify, prepare, inside)
     discard(known)
-    lines = stash(lines.select("doc_id", "line_no", "node"))
-    place = F.struct("doc_id", "line_no")
-    each = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(comp, "node", "left").where("n > 1 or comp is not null")
+    lines = stash(lines.select("doc_id", "row", "line_no", "node"))
+    place = F.struct("doc_id", "row", "line_no")
+    each = lines.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")).join(bounded(comp), "node", "left").where(~F.col("first").eqNullSafe(F.col("last")) | F.col("comp").isNotNull())
     each = stash(each.select("node", F.coalesce("comp", "node").alias("comp"), "first"))
     stays = each.groupBy("comp").agg(F.min("first").alias("stays"))
     stays = stash(each.join(bounded(stash(stays)), "comp").select("node", "stays"))
     gone = lines.join(bounded(stays), "node").where(~place.eqNullSafe(F.col("stays")))
-    return gone.select("doc_id", "line_no", F.col("stays.doc_id").alias("first_doc_id"), F.col("stays.line_no").alias("first_line_no"))
+    return gone.select("doc_id", "row", "line_no", F.col("stays.doc_id").alias("first_doc_id"), F.col("stays.line_no").alias("first_line_no"))
+
+
+def _per_row(gone: DataFrame) -> DataFrame:
+    """(row, dropped): the numbers of the lines that go, in order."""
+    return gone.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the lines that dropped_lines() names; documents stay, if with an empty text."""
-    gone = stash(dropped_lines(docs, doc_id, text).groupBy(F.col("doc_id").alias(doc_id)).agg(F.collect_set("line_no").alias("__gone")))
-    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    return docs.join(gone, doc_id, "left").withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("__gone")
+    """`docs` without the lines that dropped_lines() names; documents stay, if with an empty text, as null texts do.
+
+    All columns stay as they are, whatever their names. An empty table gives an empty result.
+    """
+    gone = stash(_per_row(dropped_lines(docs, doc_id, text)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"))
+    own = F.struct(F.col(f"rec.`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"rec.`{text}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("own", own).select("rec", F.xxhash64("own.doc_id", "own.text").alias("row")).join(gone, "row", "left")
+    parts = F.split(F.col(f"rec.`{text}`"), "\n")
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped")))
+    new = F.when(F.col("dropped").isNull(), F.col(f"rec.`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    return rows.select(*[new.alias(c) if c == text else F.col(f"rec.`{c}`").alias(c) for c in docs.columns])
 
 
 def _n_lines(text: Column) -> Column:
@@ -220,8 +255,8 @@ def _n_lines(text: Column) -> Column:
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: its lines, and the numbers of those that go."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    gone = dropped_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
-    sizes = docs.select("doc_id", _n_lines(F.coalesce("text", F.lit(""))).alias("n_lines"))
-    out = sizes.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped_lines"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    gone = _per_row(dropped_lines(docs))
+    sizes = docs.select("doc_id", row_key("doc_id", "text").alias("row"), _n_lines(F.col("text")).alias("n_lines"))
+    out = sizes.join(gone, "row", "left").select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped_lines"))
     return out.withColumn("n_kept", F.col("n_lines") - F.size("dropped_lines"))

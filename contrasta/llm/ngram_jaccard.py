@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linkage import linked
-from .shared import arrow_rows, bounded, discard, mix, pieces, shingle_sets, stash
+from .linkage import compare, linked
+from .shared import arrow_rows, bounded, lean, mix, pieces, row_key, shingle_sets, stash, without_rows
 
 #: Similarity in percent: 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -71,7 +71,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(texts)
         nodes = [_digest(s) if len(s) else None for s in sets]
         packed = list(zip(*map(_parities, sets), strict=True))
-        yield batch({"doc_id": rows.column(0), "node": nodes, "n": [len(s) for s in sets]} | {c: list(packed[i]) for i, c in enumerate(_CELLS)})
+        yield batch({"doc_id": rows.column(0), "row": rows.column(2), "node": nodes, "n": [len(s) for s in sets]} | {c: list(packed[i]) for i, c in enumerate(_CELLS)})
         for node, s in zip(nodes, sets, strict=True):
             if node is not None and node not in seen:
                 seen.add(node)
@@ -86,7 +86,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _CELLS = [f"b{i}" for i in range(PARITIES)]
-_SIZES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in _CELLS], ("shingle", pa.int64()), ("count", pa.int64())])
+_SIZES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in _CELLS], ("shingle", pa.int64()), ("count", pa.int64())])
 _SIZES_SQL = ", ".join(f"`{f.name}` bigint" for f in _SIZES)
 
 
@@ -114,12 +114,13 @@ def _prefixes(keys: np.ndarray, counts: np.ndarray):
                 salts = (often[:p] // SLOT).astype(np.uint64) + np.uint64(1)
                 salt = mix(np.array([node], np.uint64))[0] % salts
                 with np.errstate(over="ignore"):
-                    # no slot of a hot key has the key's own value: linked() takes that to mean that the key has one slot
+                    # no slot of a hot key has the key's own value: that means that the key has one slot
                     slot = np.where(salts == 1, first, mix(first + (salt + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
                 for k, x in enumerate((first.view(np.int64), slot.view(np.int64), np.full(p, node, np.int64), np.arange(p, dtype=np.int64) | n << 32)):
                     out[k].append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+                key, *rest = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([pa.array(key, mask=key == rest[0]), *map(pa.array, rest)], names=names)
 
     return task
 
@@ -127,17 +128,20 @@ def _prefixes(keys: np.ndarray, counts: np.ndarray):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in pieces(batches):
         sets = [s for s in shingle_sets(texts) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "load"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _linked_to(members: bytes):
+    """A test of other sets against this one."""
+    own = np.frombuffer(members, np.uint64)
+
+    def test(other: bytes) -> bool:
+        its = np.frombuffer(other, np.uint64)
+        at = np.minimum(np.searchsorted(own, its), len(own) - 1)
+        both = int((own[at] == its).sum())
+        return 100 * both >= PERCENT * (len(own) + len(its) - both)
+
+    return test
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -152,6 +156,13 @@ def _admits(a: Column, b: Column) -> Column:
     return (F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)) & (F.least(n - i, m - j) >= _needed(n, m))
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same in numpy."""
+    n, m, low = a >> 32, b >> 32, np.int64(0xFFFFFFFF)
+    need = -(-(n + m) * PERCENT // (100 + PERCENT))
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(n - (a & low), m - (b & low)) >= need)
+
+
 def _differ(a: str, b: str) -> Column:
     """In how many shingles two sets differ at least, by their parities."""
     total = F.lit(0)
@@ -186,60 +197,65 @@ def _close(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per input row.
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id[, row, stays]): one row per input row.
 
     A null or empty text, or one without words, has no shingles and is linked with nothing. With fewer than five words the
     whole sequence is the one shingle. Repeated rows and ties are rows of the same set. component_id is the smallest
-    doc_id of the component; a null doc_id counts as no id, so a component of such rows only has null. Other columns,
-    whatever their names, are not read. An empty table gives an empty result.
+    doc_id of the component; a row with a null doc_id links like any other, but a component of such rows only has null. Other
+    columns, whatever their names, are not read. An empty table gives an empty result. rows: with a digest of id and text,
+    and whether the row is the one that stays of its component: the one with the smallest id and then digest.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sizes = stash(docs.mapInArrow(_sizes, _SIZES_SQL))
-    rows = sizes.where("shingle is null").select("doc_id", "node", "n")
+    docs = docs.select("doc_id", "text", row_key("doc_id", "text").alias("row"))
+    sizes = stash(docs.mapInArrow(lean(_sizes), _SIZES_SQL))
+    known = sizes.where("shingle is null").select("doc_id", "row", "node", "n")
     # bounded: at most ALL_COUNTS pairs of numbers
     often = sizes.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "shingle").limit(ALL_COUNTS).toPandas()
     keys, counts = often["shingle"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64)
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
 
-    nodes = stash(sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *_CELLS)]))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = stash(sizes.where("node is not null").groupBy("node").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("n", *_CELLS)]).select("node", "place.doc_id", "place.row", "n", *_CELLS))
+
+    def content(wanted: DataFrame) -> DataFrame:
+        """The sets of some nodes, from the row that stands for each."""
+        found = stash(nodes.select("node", "row").join(bounded(wanted), "node", "left_semi"))
+        texts = docs.join(bounded(found.select("row")), "row", "left_semi").dropDuplicates(["row"]).select("doc_id", "text")
+        return texts.mapInArrow(lean(_sets), "node bigint, load binary")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in nodes.columns]) for s in "ab")
-        near = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
-        both = F.col("a_n") + F.col("b_n")
-        near = stash(near.where(_differ("a_", "b_") <= both - 2 * _needed(F.col("a_n"), F.col("b_n"))).select("a", "b", "a_doc_id", "b_doc_id"))
-        ids = near.select(F.col("a_doc_id").alias("doc_id")).union(near.select("b_doc_id")).distinct()
-        sets = docs.join(bounded(ids), "doc_id", "left_semi").mapInArrow(_sets, "node bigint, members binary").dropDuplicates(["node"])
-        sets = stash(sets)
-        both = near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-        links = stash(both.select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"))
-        discard(near, sets)
-        return links
-
-    def inside(rows: DataFrame) -> DataFrame:
-        rows = rows.join(nodes.select("node", *_CELLS), "node").select("key", "cell", "side", "node", "info", "comp", *_CELLS)
-        return verify(stash(rows.groupBy("key", "cell").applyInArrow(_close, "a bigint, b bigint").distinct()))
-
-    entries = docs.mapInArrow(_prefixes(keys, counts), "key bigint, slot bigint, node bigint, info bigint")
-    comp = linked(entries, _admits, verify, inside=inside)
-    ids = nodes.select("node", "doc_id").join(comp, "node")
-    first = ids.groupBy("comp").agg(F.min("doc_id").alias("first"))
-    ids = ids.join(first, "comp").select("node", "first")
-    alone = nodes.select("node", F.col("doc_id").alias("own"))
-    found = rows.where("node is not null").join(alone, "node").join(ids, "node", "left").select("doc_id", "n", F.coalesce("first", "own").alias("component_id"))
-    without = rows.where("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return found.union(without).select(F.col("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+        ends = bounded(stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+        some = stash(nodes.select("node", "n", *_CELLS).join(ends, "node", "left_semi"))
+        a, b = (bounded(some.select(*[F.col(c).alias(f"{s}_{c}") for c in some.columns]), 100_000) for s in "ab")
+        close = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
+        close = stash(close.where(_differ("a_", "b_") <= F.col("a_n") + F.col("b_n") - 2 * _needed(F.col("a_n"), F.col("b_n"))).select("a", "b"))
+        return compare(close, content, _linked_to)
+
+    def inside(members: DataFrame) -> DataFrame:
+        members = members.join(nodes.select("node", *_CELLS), "node").select("key", "cell", "side", "node", "info", "comp", *_CELLS)
+        return verify(stash(members.groupBy("key", "cell").applyInArrow(_close, "a bigint, b bigint").distinct()))
+
+    entries = docs.mapInArrow(lean(_prefixes(keys, counts)), "key bigint, slot bigint, node bigint, info bigint")
+    comp = linked(entries, _admits, _near, verify, inside=inside)
+    own = nodes.select("node", "doc_id", "row").join(bounded(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = stash(own.where("comp is not null").groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1").select("comp", "first"))
+    own = own.join(bounded(first), "comp", "left").select("node", F.coalesce("first", place).alias("first"))
+    out = known.join(own, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "row", (F.col("node").isNull() | (F.col("row") == F.col("first.row"))).alias("stays"))
+    return out if rows else out.select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of their component; rows with a null doc_id stay."""
-    comp = jaccard_components(docs, doc_id, text)
-    gone = stash(comp.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    return docs.join(bounded(gone), doc_id, "left_anti")
+    """The rows of `docs` of which jaccard_components() says that they stay: of each component that with the smallest doc_id.
+
+    Null ids come last, so a row without an id stays only where its component has no row with one. Rows equal in id and text
+    stay together. Texts without words stay. All columns stay as they are. An empty table gives an empty result.
+    """
+    gone = stash(jaccard_components(docs, doc_id, text, rows=True).where("not stays").select("row").distinct())
+    return without_rows(docs, gone, doc_id, text)
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of at most 32 bytes that a broadcast may hold; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: Bytes of text that numpy works on at once; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,9 +31,11 @@ def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one only where none is named (tests)."""
+    """The folder that all executors share, as the cluster names it. Where none is named, a temporary one in local mode, which has one machine; elsewhere an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="contrasta-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -54,6 +58,37 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files and broadcasts of plans that have run: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def lean(task: Callable) -> Callable:
+    """`task`, after which an idle Python worker gives its memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def row_key(*columns: str | Column) -> Column:
+    """A 64-bit digest by which a row is found again, also one without an id; rows that repeat all of `columns` share it."""
+    return F.xxhash64(*columns)
+
+
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`small` with a broadcast hint if a count shows that it's small enough, else with a hint for a shuffled join.
 
@@ -62,6 +97,13 @@ def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small.hint("merge")
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` without the rows of which `gone` has the row_key() of id and text; all columns stay as they are, whatever their names."""
+    key = row_key(F.col(doc_id).cast("long"), F.col(text))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), key.alias("row"))
+    return rows.join(bounded(gone), "row", "left_anti").select(*[F.col(f"rec.`{c}`").alias(c) for c in docs.columns])
+
+
 def lower_az(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as empty. All-ASCII texts take the faster path."""
     t = F.coalesce(text, F.lit(""))

@@ -289,23 +289,31 @@ def test_digests_of_the_codec_query(spark):
     assert row.n_tokens > 0
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_shared_keys_over_batches(seed):
+@pytest.mark.parametrize("held", [3, 1000])
+@pytest.mark.parametrize("seed", range(12))
+def test_shared_keys_over_batches(seed, held, monkeypatch):
+    """Slots over the bounds of batches, with null keys, and with keys that have several slots."""
     import pyarrow as pa
 
+    monkeypatch.setattr(linkage, "HELD_ROWS", held)
     rng = random.Random(seed)
-    rows = [(k, v, k * 100 + v) for k, v in sorted((rng.randint(0, 8), rng.randint(0, 4)) for _ in range(40))]
+    rows = sorted((s, None if s < 6 else -1, v, s * 100 + v) for s, v in ((rng.randint(0, 8), rng.randint(0, 4)) for _ in range(40)))
     batches, at = [], 0
     while at < len(rows):
         some = rows[at : at + rng.randint(1, 6)]
         at += len(some)
-        batches.append(pa.RecordBatch.from_arrays([pa.array([x[c] for x in some], pa.int64()) for c in range(3)], names=["key", "node", "info"]))
-    want = []
-    for k in {x[0] for x in rows}:
-        nodes = sorted({x[1] for x in rows if x[0] == k})
-        if len(nodes) > 1:
-            want += [(k, v, k * 100 + v, nodes[0], k * 100 + nodes[0]) for v in nodes]
-    assert sorted(tuple(x.values()) for b in linkage._shared(iter(batches)) for x in b.to_pylist()) == sorted(want)
+        batches.append(pa.RecordBatch.from_arrays([pa.array([x[c] for x in some], pa.int64()) for c in (1, 0, 2, 3)], names=["key", "slot", "node", "info"]))
+    want = set()
+    for s in {x[0] for x in rows}:
+        nodes = {x[2] for x in rows if x[0] == s}
+        if len(nodes) > 1 or s >= 6:
+            want |= {(s if s < 6 else -1, s, v, s * 100 + v) for v in nodes}
+    got = [tuple(x.values()) for b in linkage.shared_keys()(iter(batches)) for x in b.to_pylist()]
+    assert {x[:4] for x in got} == want and all(x[5] == x[1] * 100 + x[4] for x in got)
+    assert all(len({x[4] for x in got if x[1] == s}) == 1 for s in {x[1] for x in got})
+    pruned = {x[:4] for b in linkage.shared_keys(lambda a, b: abs(a - b) == 1)(iter(batches)) for x in (tuple(y.values()) for y in b.to_pylist())}
+    near = {x for x in want if x[1] >= 6 or any(x[1] == y[1] and abs(x[3] - y[3]) == 1 for y in want)}
+    assert near <= pruned <= want and (held == 3 or pruned == near)
 
 
 def test_line_dedup_of_a_large_group(spark, monkeypatch):
@@ -427,3 +435,28 @@ def test_lm_scores_of_many_words(spark, monkeypatch, hot):
         for i, t in enumerate(map(words, new)):
             want = [-log((two[a, b] * scale + lm_scoring.BACKOFF * share(b)) / (max(one[a], two[a, b]) * scale + lm_scoring.BACKOFF)) for a, b in zip(["<s>", *t], t, strict=False)]
             assert abs(got[i][name] - (sum(want) / len(want) if want else 0)) < 1e-6
+
+
+def test_null_ids(spark):
+    """Rows without an id link, go and stay like others."""
+    base = [f"w{i}" for i in range(40)]
+    first, middle, last = base[:40], [*base[3:], "a", "b", "c"], [*base[6:], "a", "b", "c", "d", "e", "f"]
+    assert brute_components(brute_sets([" ".join(x) for x in (first, middle, last)])) == [0, 0, 0]
+    assert brute_components(brute_sets([" ".join(x) for x in (first, last)])) == [0, 1]
+    docs = spark.createDataFrame([(1, " ".join(first)), (None, " ".join(middle)), (3, " ".join(last)), (None, "alone here")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in ngram_jaccard.jaccard_components(docs).collect() if r.n_shingles > 1) == [(0, 1), (1, 1), (3, 1)]
+    assert sorted((r.doc_id or 0, r.text) for r in ngram_jaccard.keep_one(docs).collect()) == [(0, "alone here"), (1, " ".join(first))]
+    lines = spark.createDataFrame([(None, "same line here\nand one"), (None, "same line here\nand another text"), (5, "same line here")], "doc_id long, text string")
+    left = line_dedup.drop_lines(lines.withColumn("row", F.lit("clash")).withColumn("__gone", F.lit(1))).collect()
+    assert sum("same line here" in r.text for r in left) == 1 and all(r.row == "clash" for r in left)
+    assert {r.text for r in left if r.doc_id == 5} == {""} and sum("and" in r.text for r in left) == 2
+
+
+def test_hot_band_keys(spark, monkeypatch):
+    """A band key that most lines have, dealt to many slots."""
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh") for _ in range(120))
+    texts = [base[:k] + "Z" + base[k + 1 :] for k in range(0, 120, 2)] + ["another line", "and others that stand alone"]
+    gone = {r.doc_id for r in line_dedup.dropped_lines(frame(spark, texts).repartition(7)).collect()}
+    assert gone == set(range(1, 60))
