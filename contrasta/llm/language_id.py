@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, held_out
+from .shared import arrow_rows, held_out, lean
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -79,7 +79,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     """
     arrow_rows(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = rows.mapInArrow(_counts, "lang string, bucket int, count bigint").groupBy("lang", "bucket").agg(F.sum("count").alias("count")).toPandas()
+    counts = rows.mapInArrow(lean(_counts), "lang string, bucket int, count bigint").groupBy("lang", "bucket").agg(F.sum("count").alias("count")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((BUCKETS, len(langs)))
     prior = np.zeros(len(langs))
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, model: tuple, doc_id: str = "doc_id", text: str = "
     read, of any length. Repeated rows and null ids each give a row; other columns are not read.
     """
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scored(*model), "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(_scored(*model)), "doc_id bigint, lang_pred string, score double")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, bounded, mix, pieces, stash, word_hashes
+from .shared import arrow_rows, bounded, lean, mix, pieces, stash, tidy, word_hashes
 
 #: Bigrams of which every task has the losses; the others' are joined. It changes no result.
 HOT = 1 << 17
@@ -88,11 +88,14 @@ def fit(docs: DataFrame, good: DataFrame, doc_id: str = "doc_id", text: str = "t
     arrow_rows(docs.sparkSession)
     marks = bounded(stash(good.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("good", F.lit(True))), 2_000_000)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = rows.mapInArrow(_counts, "key bigint, before bigint, word bigint, n bigint, good bigint")
+    counts = rows.mapInArrow(lean(_counts), "key bigint, before bigint, word bigint, n bigint, good bigint")
     # a key has one pair of words
     pairs = stash(counts.groupBy("key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("good").alias("good")))
-    words = stash(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
-    totals = tuple(words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first())
+    # the start of a text is before its first word; as a word it has no count, so it has none in the totals
+    starts = pairs.where(F.col("before") == int(START.view(np.int64))).select("before", "n", "good").withColumnRenamed("before", "word").groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    words = stash(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).union(starts))
+    totals = tuple(words.where(F.col("word") != int(START.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first())
+    tidy(docs.sparkSession)
     losses = stash(_losses(pairs, words, totals))
     # bounded: HOT rows of numbers
     hot = losses.orderBy(F.desc("n"), "key").limit(HOT).select("key", "target", "background").toPandas()
@@ -132,7 +135,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     """
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(_scored(model["hot"]), "doc_id bigint, n_tokens bigint, t double, b double, key array<bigint>, before array<bigint>, word array<bigint>")
+    rows = rows.mapInArrow(lean(_scored(model["hot"])), "doc_id bigint, n_tokens bigint, t double, b double, key array<bigint>, before array<bigint>, word array<bigint>")
     rows = stash(rows.withColumn("row", F.monotonically_increasing_id()))
     rest = rows.select("row", F.inline(F.arrays_zip("key", "before", "word")))
     unknown = F.collect_list(F.when(F.col("target").isNull(), F.struct("key", "before", "word"))).alias("unknown")

@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows
+from .shared import arrow_rows, lean
 
 MARK = "▁"
 #: Distinct chunks that a task keeps; when there are more, the table is built anew. It changes no result.
@@ -125,7 +125,7 @@ def encode_decode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
             spark.sparkContext.addFile(model)
             _SHIPPED[spark.sparkContext.applicationId].add(model)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_codec(model, name), "doc_id bigint, ids array<int>, decoded string")
+    return rows.mapInArrow(lean(_codec(model, name)), "doc_id bigint, ids array<int>, decoded string")
 
 
 _SHIPPED: dict[str, set[str]] = {}

@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as symbols: insult, threat, target, negation, report, or other. Four letter-to-letter transducers - negation,
-reported speech, target and threat - are composed to one machine that reads a clause and marks each insult as plain,
-aimed at somebody, negated or reported, and threats that have a target. Weighted counts of the marks give a document's
-score; clauses without insult or threat give nothing. Insults are a short fixed list and stems learned from labelled
-rows; the weights are learned from the same rows.
+Words are read as symbols: insult, doubtful insult, threat, target, negation, report, mention, or other. Five
+letter-to-letter transducers - negation, reported speech, mention, target and threat - are composed to one machine that
+reads a clause and marks each insult as plain, aimed at somebody, or negated or reported, and threats that have a target.
+Only these marks of matched clauses make a document's score. Insults are a short fixed list and words and stems learned
+from labelled rows; stems that are only somewhat likelier in toxic rows are doubtful insults, a weaker symbol that goes
+through the same transducers. The weights are learned from the same rows under an order: a threat weighs more than an aimed
+insult, that more than a plain one, and a negated or reported one a fixed part of a plain one.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, bounded, held_out, mix, pieces, shingle_sets, stash
+from .shared import arrow_rows, held_out, lean, mix, pieces, row_key, shingle_sets, stash, without_rows
 
 # Word lists in English, German, French and Spanish.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool imbecile bastard jerk".split()
@@ -26,17 +28,24 @@ THREATS = "kill hurt destroy burn attack beat shoot stab crush töten verletzen
 TARGETS = "you your yours yourself he she they them him her du dich ihr euch sie ihn tu te toi vous lui eux tú ti usted ustedes ellos él ella".split()
 NEGATIONS = "not no never none without isn't aren't nicht kein keine nie niemals ne pas jamais sans nunca jamás sin".split()
 REPORTS = "said says say told tells quote quoted wrote writes claimed called sagte sagt schrieb dit écrit disait dijo dice escribió".split()
-MARKS = "IJQAKWL"  # plain, negated, reported, aimed insult; threat with a target; doubtful insults; words
+MENTIONS = "word words term terms wort wörter begriff mot mots terme palabra palabras término".split()
+MARKS = "IJQAKDE"  # plain, negated, reported, aimed insult; threat with a target; doubtful insult, the same negated or reported
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
 TRAINING_ROWS = 20_000
-#: Words and prefixes that are counted, at most: those in most toxic documents.
-CANDIDATES = 50_000
-PREFIXES = range(3, 9)
-#: A stem is in at least so many toxic documents, and so many times likelier in toxic documents than in others.
-SUPPORT, RATIO = 8, 20.0
-#: Stems that are only so many times likelier are doubtful insults: they are counted, wherever they stand.
-DOUBTFUL = 4.0
+PREFIXES = range(4, 9)
+#: A form is in at least so many toxic documents, and in so large a part of them.
+SUPPORT, PART = 8, 0.002
+#: A form is an insult if it is so many times likelier in toxic documents than in others, and a doubtful one from DOUBTFUL on.
+RATIO, DOUBTFUL = 20.0, 4.0
+#: A stem of which one word makes up so large a part is no stem: the word alone counts, not others that begin like it.
+ONE_WORD = 0.7
+#: What a negated or reported insult counts of a plain one.
+DISCOUNT = 0.3
+#: How fast evidence saturates: one insult counts about half as much as ten.
+SHARP = 8.0
+#: The least by which an aimed insult weighs more than a plain one, and a threat more than that.
+STEPS = (0.4, 0.2)
 MEMORY = 200_000
 
 _WORD = re.compile(r"[\w']+")
@@ -77,24 +86,24 @@ class Transducer:
         return "".join(out)
 
 
-def _near(trigger: str, hit: str, mark: str, reach: int, symbols: str) -> Transducer:
-    """Rewrites `hit` to `mark` within `reach` symbols after `trigger`."""
+def _near(trigger: str, marks: dict[str, str], reach: int, symbols: str) -> Transducer:
+    """Rewrites a symbol to its mark within `reach` symbols after `trigger`."""
     delta: Delta = {}
     for k in range(reach + 1):
         for a in symbols:
-            left = reach if a == trigger else max(0, k - 1)
-            delta[k, a] = (left, mark if a == hit and k else a)
+            delta[k, a] = (reach if a == trigger else max(0, k - 1), marks.get(a, a) if k else a)
     return Transducer(0, delta)
 
 
 def grammar() -> Transducer:
-    read = ".ITNRHW"
-    every = read + "JQAK"
-    negation = _near("N", "I", "J", 3, every)
-    report = Transducer(0, {(0, "R"): (1, "R"), (1, "I"): (1, "Q")})
-    before = _near("T", "I", "A", 4, every)
-    threat = _near("H", "T", "K", 4, every)
-    return negation.then(report, read).then(before, read).then(threat, read)
+    read = ".ITNRHDM"
+    every = read + "JQAKE"
+    negation = _near("N", {"I": "J", "D": "E"}, 3, every)
+    report = Transducer(0, {(0, "R"): (1, "R"), (1, "I"): (1, "Q"), (1, "D"): (1, "E")})
+    mention = _near("M", {"I": "Q", "D": "E"}, 2, every)
+    before = _near("T", {"I": "A"}, 4, every)
+    threat = _near("H", {"T": "K"}, 4, every)
+    return negation.then(report, read).then(mention, read).then(before, read).then(threat, read)
 
 
 class Reader(dict):
@@ -103,28 +112,26 @@ class Reader(dict):
     def __init__(self, stems: Iterable[str], words: Iterable[str], doubtful: Iterable[str]) -> None:
         super().__init__()
         self.stems, self.words, self.doubtful = frozenset(stems), frozenset(words), frozenset(doubtful)
-        self.lengths = sorted({len(s) for s in self.stems})
-        self.fixed = {w: s for s, own in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("H", THREATS), ("I", INSULTS)) for w in own}
+        self.fixed = {w: s for s, own in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("M", MENTIONS), ("H", THREATS), ("I", INSULTS)) for w in own}
 
     def __missing__(self, word: str) -> str:
         if len(self) > MEMORY:
             self.clear()
-        found = self.fixed.get(word) or ("I" if word in self.words or any(word[:n] in self.stems for n in self.lengths) else "W" if any(word[:n] in self.doubtful for n in PREFIXES) else ".")
+        begins = {word[:n] for n in PREFIXES}
+        found = self.fixed.get(word) or ("I" if word in self.words or begins & self.stems else "D" if begins & self.doubtful else ".")
         self[word] = found
         return found
 
 
 def marks(text: str, reader: Reader, machine: Transducer) -> list[int]:
-    """How often each mark stands in the text's clauses."""
+    """How often each mark stands in the text's matched clauses: those with an insult, a doubtful one or a threat."""
     text = text.lower()
-    symbols = list(map(reader.__getitem__, _WORD.findall(text)))
-    count: Counter = Counter(W=symbols.count("W"), L=len(symbols))
-    if "I" not in symbols and "H" not in symbols:
-        return [count[m] for m in MARKS]
-    for clause in _CLAUSE.split(text):
-        read = list(map(reader.__getitem__, _WORD.findall(clause)))
-        if "I" in read or "H" in read:
-            count.update(x for x in machine.read(read) if x not in ".WL")
+    count: Counter = Counter()
+    if not {"I", "D", "H"}.isdisjoint(map(reader.__getitem__, _WORD.findall(text))):
+        for clause in _CLAUSE.split(text):
+            read = list(map(reader.__getitem__, _WORD.findall(clause)))
+            if "I" in read or "D" in read or "H" in read:
+                count.update(machine.read(read))
     return [count[m] for m in MARKS]
 
 
@@ -164,9 +171,9 @@ def _marked(reader: tuple):
 
 
 def count_marks(docs: DataFrame, reader: tuple, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, I, J, Q, A, K): how often each mark of the grammar stands in each whole text."""
+    """(doc_id, I, J, Q, A, K, D, E): how often each mark of the grammar stands in each whole text."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_marked(reader), "doc_id bigint, " + ", ".join(f"`{m}` int" for m in MARKS))
+    return rows.mapInArrow(lean(_marked(reader)), "doc_id bigint, " + ", ".join(f"`{m}` int" for m in MARKS))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -184,8 +191,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
+def evidence(counts: np.ndarray) -> np.ndarray:
+    """Of counts of MARKS: insults and threats of any kind, those that are aimed or threats, threats, doubtful insults."""
+    plain, negated, reported, aimed, threats, doubtful, weak = np.asarray(counts, float).T
+    return np.log1p(SHARP * np.column_stack([plain + aimed + threats + DISCOUNT * (negated + reported), aimed + threats, threats, doubtful + DISCOUNT * weak]))
+
+
+def ordered_logistic(x: np.ndarray, y: np.ndarray, least: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Weights, the intercept last, of a ridge logistic regression whose weights are not below `least`, by Newton steps on those that aren't at their bound."""
+    x = np.column_stack([x, np.ones(len(x))])
+    low = np.append(least, -np.inf)
+    w = np.append(least, 0.0)
+    penalty = np.append(np.full(len(least), ridge), 1e-3)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        down = x.T @ (y - p) - penalty * w
+        free = (w > low) | (down > 0)
+        own = x[:, free]
+        change = np.zeros(len(w))
+        change[free] = np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + np.diag(penalty[free]), down[free])
+        new = np.maximum(w + np.clip(change, -2, 2), low)
+        if np.abs(new - w).max() < 1e-6:
+            break
+        w = new
+    return w
+
+
 #: Weights where there is nothing to learn from.
-DEFAULT = {"reader": ((), (), ()), "weights": [3.0, 0.5, 0.5, 4.0, 4.0, 0.0, 0.0, -2.0]}
+DEFAULT = {"reader": ((), (), ()), "weights": [2.0, 0.4, 0.2, 0.3, -4.0]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict:
@@ -199,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = stash(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
     seen: set[tuple] = set()
     label: dict[int, int] = {}
-    for i, toxic, *low in sorted(map(tuple, rows.mapInArrow(_sketches, "doc_id bigint, toxic int, x bigint, y bigint, z bigint").collect())):
+    for i, toxic, *low in sorted(map(tuple, rows.mapInArrow(lean(_sketches), "doc_id bigint, toxic int, x bigint, y bigint, z bigint").collect())):
         own = {(k, x) for k, x in enumerate(low) if x is not None}
         if not own & seen:
             label[i] = toxic
@@ -208,23 +241,45 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     bad, fine = sum(label.values()), len(label) - sum(label.values())
     if not bad or not fine:
         return DEFAULT
-    tally = lambda toxic, only: rows.mapInArrow(_form_counts(ids, toxic, only), "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
-    common = {r.form: r.n for r in tally(1, None).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "form").limit(CANDIDATES).collect()}
+    tally = lambda toxic, only: rows.mapInArrow(lean(_form_counts(ids, toxic, only)), "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
+    least = max(SUPPORT, int(PART * bad))
+    common = {r.form: r.n for r in tally(1, None).where(F.col("n") >= least).collect()}  # bounded by the forms of TRAINING_ROWS rows over `least`
     clean = {r.form: r.n for r in tally(0, frozenset(common)).collect()}
-    strong = {f for f, n in common.items() if (n + 0.5) / (bad + 1) >= RATIO * (clean.get(f, 0) + 0.5) / (fine + 1)}
-    stems: set[str] = set()
-    for form in sorted((f for f in strong if f[-1] != "$"), key=lambda f: (len(f), f)):
-        if not any(form[:n] in stems for n in range(1, len(form))):
-            stems.add(form)
-    doubtful: set[str] = set()
-    for form in sorted((f for f, n in common.items() if f[-1] != "$" and (n + 0.5) / (bad + 1) >= DOUBTFUL * (clean.get(f, 0) + 0.5) / (fine + 1)), key=lambda f: (len(f), f)):
-        if not any(form[:n] in doubtful for n in range(1, len(form))):
-            doubtful.add(form)
-    words = {f[:-1] for f in strong if f[-1] == "$" and not any(f[:n] in stems for n in PREFIXES)}
+    odds = {f: (n + 0.5) / (bad + 1) / ((clean.get(f, 0) + 0.5) / (fine + 1)) for f, n in common.items()}
+    top: dict[str, int] = {}
+    for form, n in common.items():
+        for k in PREFIXES if form[-1] == "$" else ():
+            if k < len(form):
+                top[form[:k]] = max(top.get(form[:k], 0), n)
+    stems = _shortest(f for f in common if f[-1] != "$" and odds[f] >= RATIO and top.get(f, 0) < ONE_WORD * common[f])
+    doubtful = _shortest(f for f in common if f[-1] != "$" and odds[f] >= DOUBTFUL and top.get(f, 0) < ONE_WORD * common[f])
+    words = {f[:-1] for f in common if f[-1] == "$" and odds[f] >= RATIO and not any(f[:n] in stems for n in PREFIXES)}
     reader = (tuple(sorted(stems)), tuple(sorted(words)), tuple(sorted(doubtful)))
     known = [r for r in count_marks(rows, reader).collect() if r.doc_id in label]
-    x = np.log1p(np.array([[r[m] for m in MARKS] for r in known], float).reshape(-1, len(MARKS)))
-    return {"reader": reader, "weights": logistic(x, np.array([label[r.doc_id] for r in known], float)).tolist()}
+    x = evidence([[r[m] for m in MARKS] for r in known])
+    return {"reader": reader, "weights": ordered_logistic(x, np.array([label[r.doc_id] for r in known], float), np.array([0.0, *STEPS, 0.0])).tolist()}
+
+
+def _shortest(forms: Iterable[str]) -> set[str]:
+    """Of forms those of which no shorter one is a prefix."""
+    found: set[str] = set()
+    for form in sorted(forms, key=lambda f: (len(f), f)):
+        if not any(form[:n] in found for n in range(1, len(form))):
+            found.add(form)
+    return found
+
+
+def _scores(model: dict):
+    weights = np.array(model["weights"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, machine = Reader(*model["reader"]), grammar()
+        for b in batches:
+            found = [marks(x or "", read, machine) for x in b.column(1).to_pylist()]
+            logit = evidence(np.array(found).reshape(-1, len(MARKS))) @ weights[:-1] + weights[-1]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], names=[b.schema.names[0], "score"])
+
+    return task
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,11 +290,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     of both kinds the fixed list and fixed weights hold.
     """
     arrow_rows(docs.sparkSession)
-    *weights, bias = model["weights"]
-    total = F.lit(bias)
-    for m, w in zip(MARKS, weights, strict=True):
-        total = total + F.log1p(F.col(m).cast("double")) * F.lit(w)
-    out = count_marks(docs, model["reader"], doc_id, text).select("doc_id", (1 / (1 + F.exp(-total))).alias("score"))
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(_scores(model)), "doc_id bigint, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
 
 
@@ -251,10 +302,14 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
 def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that aren't predicted to be toxic, by the model that is fitted on them and `labels`.
 
-    Rows are dropped by id, so rows that share the doc_id of a toxic one go with it; rows with a null id stay.
+    Each row is judged by its own text, also one with a null or repeated id; null and empty texts stay. All columns stay as they
+    are, whatever their names. An empty table gives an empty result.
     """
-    gone = stash(score(docs, fitted(docs, labels), doc_id, text).where("predicted = 1").select(F.col("doc_id").alias(doc_id)).distinct())
-    return docs.join(bounded(gone), doc_id, "left_anti")
+    arrow_rows(docs.sparkSession)
+    model = fitted(docs, labels)
+    rows = docs.select(row_key(F.col(doc_id).cast("long"), F.col(text)).alias("row"), F.col(text).alias("text"))
+    gone = stash(rows.mapInArrow(lean(_scores(model)), "row bigint, score double").where("score >= 0.5").select("row").distinct())
+    return without_rows(docs, gone, doc_id, text)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_odd_rows(spark, odd):
     assert toxicity.score(odd, toxicity.fit(odd, labels)).count() == n
     rows = quality_cotraining.features(odd)
     assert quality_cotraining.score(rows, quality_cotraining.fit(rows, labels)).count() == n
-    assert decontaminate.leaks(odd, spark.createDataFrame([(1, None), (2, ""), (3, "a b c")], "item_id long, text string")).count() == 0
+    assert decontaminate.leaks(odd, spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (4, "b a")], "item_id long, text string")).collect() == [(10, 3, 3, 3, 3)]
 
 
 def test_empty_tables(spark):
@@ -210,13 +210,28 @@ def test_language_id_held_out(spark):
 def test_grammar_marks():
     reader = toxicity.Reader((), (), ())
     machine = toxicity.grammar()
-    mark = lambda t: "".join(m for m, n in zip(toxicity.MARKS, toxicity.marks(t, reader, machine), strict=True) if n and m not in "WL")
+    mark = lambda t: "".join(m for m, n in zip(toxicity.MARKS, toxicity.marks(t, reader, machine), strict=True) if n)
     assert mark("what an idiot") == "I"
     assert mark("You are an idiot") == "A"
     assert mark("this is not stupid") == "J"
     assert mark("he said: the clown fell") == "Q"
     assert mark("I will hurt you") == "K"
     assert mark("a fine day. not bad") == ""
+    assert mark("the word idiot is in the dictionary") == "Q"
+    doubtful = toxicity.Reader((), (), ("blor",))
+    assert [toxicity.marks(x, doubtful, machine)[5:] for x in ("a blorgle", "not a blorgle", "he said blorgle", "blo")] == [[1, 0], [0, 1], [0, 1], [0, 0]]
+
+
+def test_toxicity_orders_clauses(spark):
+    """A threat before an aimed insult before a plain one before negated and reported ones, in the fitted model."""
+    sf = "/root/testdata/sf0.1"
+    model = toxicity.fitted(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    said = ["I will kill you.", "You are an idiot.", "What an idiot.", "You are not an idiot.", "He said you are an idiot.", "The word idiot is in the dictionary.", "A fine day.", None]
+    score = {r.doc_id: r.score for r in toxicity.score(frame(spark, said), model).collect()}
+    assert score[0] > score[1] > score[2] > max(score[3], score[4], score[5]) > score[6] == score[7]
+    assert score[1] >= 0.5 > max(score[3], score[4], score[5])
+    ordinary = ["the dishes are disposed of", "clothes and clocks", "a tradition of travel", "los lunes y las lunas", "lower and lost"]
+    assert all(r.predicted == 0 for r in toxicity.score(frame(spark, ordinary), model).collect())
 
 
 def test_toxicity_held_out(spark):
@@ -245,6 +260,7 @@ def test_lm_scores_match_brute_force(spark):
     def model(rows, scale):
         one, two = Counter(), Counter()
         for r in rows:
+            one["<s>"] += scale * bool(r)
             for a, b in zip(["<s>", *r], r, strict=False):
                 one[b] += scale
                 two[a, b] += scale
@@ -255,7 +271,7 @@ def test_lm_scores_match_brute_force(spark):
     vocabulary = {w for t in tokens for w in t}
     for i, t in enumerate(tokens):
         for (one, two), value in ((model([tokens[0]], 1.0), got[i].target_loss), (model(tokens, m / n), got[i].background_loss)):
-            total = sum(one.values())
+            total = sum(one.values()) - one["<s>"]
             share = lambda w: (one[w] + lm_scoring.SMOOTHING) / (total + lm_scoring.SMOOTHING * (len(vocabulary) + 1))  # noqa: B023, E731
             want = [-log((two[a, b] + lm_scoring.BACKOFF * share(b)) / (max(one[a], two[a, b]) + lm_scoring.BACKOFF)) for a, b in zip(["<s>", *t], t, strict=False)]
             assert abs(value - (sum(want) / len(want) if want else 0)) < 1e-4
@@ -429,7 +445,7 @@ def test_lm_scores_of_many_words(spark, monkeypatch, hot):
     for some, scale, name in (([1, 3], 1.0, "target_loss"), (range(4), m / n, "background_loss")):
         one, two = Counter(), Counter()
         for i in some:
-            one.update(tokens[i])
+            one.update(["<s>", *tokens[i]])
             two.update(zip(["<s>", *tokens[i]], tokens[i], strict=False))
         share = lambda w: (one[w] * scale + lm_scoring.SMOOTHING) / (m + lm_scoring.SMOOTHING * (distinct + 1))  # noqa: B023, E731
         for i, t in enumerate(map(words, new)):
@@ -460,3 +476,68 @@ def test_hot_band_keys(spark, monkeypatch):
     texts = [base[:k] + "Z" + base[k + 1 :] for k in range(0, 120, 2)] + ["another line", "and others that stand alone"]
     gone = {r.doc_id for r in line_dedup.dropped_lines(frame(spark, texts).repartition(7)).collect()}
     assert gone == set(range(1, 60))
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every alignment of every item, also of 1 to 7 tokens, with substitutions; null ids."""
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3)
+    items = [[word() for _ in range(n)] for n in (3, 4, 5, 6, 7, 8, 9, 11, 14, 20, 30)]
+    texts = []
+    for k in range(400):
+        item = list(items[k % len(items)])
+        for at in rng.sample(range(len(item)), min(len(item), rng.choice([0, 0, 1, 2, 3, 5]))):
+            item[at] = "zzzz"
+        cut = rng.choice([0, 0, 0, 2])
+        texts.append([*(word() for _ in range(rng.randint(0, 6))), *item[cut:], *(word() for _ in range(rng.randint(0, 6)))])
+
+    def leaks(text, item):
+        for shift in range(-len(item) + 1, len(text)):
+            same = [item[i] == text[i + shift] for i in range(len(item)) if 0 <= i + shift < len(text)]
+            best = max(((sum(1 if x else -2 for x in same[a:b]), sum(same[a:b]), b - a) for a in range(len(same)) for b in range(a + 1, len(same) + 1)), default=(0, 0, 0))
+            enough = min(13, max(min(8, len(item)), -(-len(item) // 2)))
+            if best[0] > 0 and best[1] >= enough and best[1] >= 0.75 * best[2]:
+                return True
+        return False
+
+    ids = [None if k % 50 == 7 else k for k in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string").withColumn("row", F.lit("x"))
+    bench = spark.createDataFrame([(i, " ".join(x).upper(), "clash") for i, x in enumerate(items)] + [(None, "", "clash")], "item_id long, text string, doc_id string")
+    pairs = {(k, i) for k, t in enumerate(texts) for i, x in enumerate(items) if leaks(t, x)}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    want = {(ids[k], i) for k, i in pairs}
+    assert got <= want and len(got) >= 0.995 * len(want), (want - got, got - want)
+    bad = {k for k, _ in pairs}
+    assert sorted(r.text for r in decontaminate.drop_leaks(docs, bench).collect()) == sorted(" ".join(t) for k, t in enumerate(texts) if k not in bad)
+
+
+def test_repeated_rows_and_null_ids_of_exact_dedup(spark):
+    docs = spark.createDataFrame([(1, "A b"), (3, "a B"), (3, "a B"), (None, "a b"), (None, None), (None, ""), (5, "c")], "doc_id long, text string").withColumn("row", F.lit("clash"))
+    left = sorted((r.doc_id or 0, r.text or "", r.row) for r in exact_dedup.keep_last(docs).collect())
+    assert left == [(0, "", "clash"), (3, "a B", "clash"), (5, "c", "clash")]
+
+
+def test_quality_order_and_repeats(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.union(docs.where("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" more"))))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    found = []
+    for some in (docs, docs.orderBy(F.desc("doc_id")), docs.repartition(5)):
+        rows = quality_cotraining.features(some)
+        found.append(sorted((r.doc_id, round(r.score, 6)) for r in quality_cotraining.score(rows, quality_cotraining.fit(rows, labels)).collect()))
+    assert found[0] == found[1] == found[2]
+
+
+def test_empty_tables_of_models_and_filters(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert toxicity.score(none, toxicity.fit(none, labels)).isEmpty()
+    assert toxicity.keep_clean(none, labels).isEmpty()
+    assert quality_cotraining.score(quality_cotraining.features(none), None).isEmpty()
+    assert sentencepiece_codec.encode_decode(none, sentencepiece_codec.default_model()).isEmpty()
+    assert line_dedup.drop_lines(none).isEmpty() and exact_dedup.keep_last(none).isEmpty()
+    assert ngram_jaccard.keep_one(none).isEmpty() and decontaminate.drop_leaks(none, bench).isEmpty()
+    some = frame(spark, TEXTS)
+    assert decontaminate.drop_leaks(some, bench).count() == len(TEXTS)
