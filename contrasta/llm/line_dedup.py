@@ -108,7 +108,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(node)
             lines.append(line)
             size += len(line)
-            if size > PIECE_BYTES // 4:
+            if size > PIECE_BYTES // 2:
                 yield done()
                 nodes, lines, size = [], [], 0
         if lines:

@@ -4,8 +4,9 @@ Each document is the set of its distinct 5-word shingles. Sets are ordered rare
 all documents found frequent come last, by their counts, and the others before them by hash. Any total order is lossless
 for prefix filtering, so the counting may leave out low counts. Two sets with Jaccard 0.75 share a shingle among the
 first n - ceil(0.75 n) + 1 of each; candidates are joined on those, with filters on length, on the position of the shared
-shingle, and on how much the whole sets differ at least: a set is known by the parities of its counts in 1024 hash cells,
-and each shingle in only one of two sets changes one parity. Each remaining pair is verified once on the whole sets.
+shingle, and, in place of a suffix filter, on how much the whole sets differ at least: a sketch of a set has the parities of
+its counts in hash cells, twice as many as it has shingles or more, and each shingle in only one of two sets changes one
+parity. Only pairs that pass move their sets; each is verified once on the whole sets.
 
 Documents with equal sets are one node throughout (a 64-bit digest of the set: two different sets among n get the same one
 with probability n^2 / 2^65). See linkage.py for how large groups are linked without all of their pairs.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linkage import compare, linked
-from .shared import arrow_rows, bounded, lean, mix, pieces, row_key, shingle_sets, stash, without_rows
+from .shared import arrow_rows, bounded, discard, lean, mix, pieces, row_key, shingle_sets, stash, without_rows
 
 #: Similarity in percent: 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -29,7 +30,7 @@ PERCENT = 75
 TASK_COUNTS, ALL_COUNTS = 1 << 16, 100_000
 #: Documents in a slot of a hot shingle, about.
 SLOT = 4096
-#: Longs of 64 parities each.
+#: Longs of 64 parities that each sketch can be folded to.
 PARITIES = 16
 
 
@@ -39,10 +40,31 @@ def _digest(shingles: np.ndarray) -> int:
         return int(mix(np.array([mix(shingles).sum() + np.uint64(len(shingles))], np.uint64))[0] >> np.uint64(1))
 
 
-def _parities(shingles: np.ndarray) -> list[int]:
-    """The parity of the count in each of 1024 hash cells."""
-    counts = np.bincount((mix(shingles) >> np.uint64(54)).astype(np.int64), minlength=64 * PARITIES)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+def sketch(shingles: np.ndarray) -> bytes:
+    """The parities of the counts in 2^k hash cells, at least twice as many as shingles."""
+    cells = 64 * PARITIES
+    while cells < 2 * len(shingles):
+        cells *= 2
+    counts = np.bincount((mix(shingles) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def folded(cells: bytes, size: int) -> np.ndarray:
+    """A sketch as longs, with `size` bytes: cells of which the numbers agree in their low bits count together."""
+    return np.bitwise_xor.reduce(np.frombuffer(cells, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def _may_link(load: bytes):
+    """A lossless test of other sketches, each after the eight bytes of its set's size, against this one."""
+    n, own = int.from_bytes(load[:8], "big"), load[8:]
+
+    def test(other: bytes) -> bool:
+        m, its = int.from_bytes(other[:8], "big"), other[8:]
+        size = min(len(own), len(its))
+        apart = int(np.bitwise_count(folded(own, size) ^ folded(its, size)).sum())
+        return apart <= n + m - 2 * -(-(n + m) * PERCENT // (100 + PERCENT))
+
+    return test
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,8 +92,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in pieces(batches):
         sets = shingle_sets(texts)
         nodes = [_digest(s) if len(s) else None for s in sets]
-        packed = list(zip(*map(_parities, sets), strict=True))
-        yield batch({"doc_id": rows.column(0), "row": rows.column(2), "node": nodes, "n": [len(s) for s in sets]} | {c: list(packed[i]) for i, c in enumerate(_CELLS)})
+        yield batch({"doc_id": rows.column(0), "row": rows.column(2), "node": nodes, "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets]})
         for node, s in zip(nodes, sets, strict=True):
             if node is not None and node not in seen:
                 seen.add(node)
@@ -85,9 +106,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch({"shingle": keys[often].view(np.int64), "count": counts[often]})
 
 
-_CELLS = [f"b{i}" for i in range(PARITIES)]
-_SIZES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in _CELLS], ("shingle", pa.int64()), ("count", pa.int64())])
-_SIZES_SQL = ", ".join(f"`{f.name}` bigint" for f in _SIZES)
+_SIZES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("count", pa.int64())])
+_SIZES_SQL = ", ".join(f"`{f.name}` {'binary' if f.name == 'sketch' else 'bigint'}" for f in _SIZES)
 
 
 def _prefixes(keys: np.ndarray, counts: np.ndarray):
@@ -163,18 +183,10 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(n - (a & low), m - (b & low)) >= need)
 
 
-def _differ(a: str, b: str) -> Column:
-    """In how many shingles two sets differ at least, by their parities."""
-    total = F.lit(0)
-    for c in _CELLS:
-        total = total + F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c)))
-    return total
-
-
 def _close(group: pa.Table) -> pa.Table:
     """Pairs of one cell of a large group, of different components, that pass all filters."""
     side, node, info, comp = (group.column(c).to_numpy() for c in ("side", "node", "info", "comp"))
-    cells = np.column_stack([group.column(c).to_numpy() for c in _CELLS]).view(np.uint64)
+    cells = np.stack([folded(x, 8 * PARITIES) for x in group.column("sketch").to_pylist()])
     n, at = info >> 32, info & 0xFFFFFFFF
     left = np.flatnonzero(side == 0)
     split = (side == 1).any()
@@ -219,7 +231,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     keys, counts = keys[order], counts[order]
 
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    nodes = stash(sizes.where("node is not null").groupBy("node").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("n", *_CELLS)]).select("node", "place.doc_id", "place.row", "n", *_CELLS))
+    nodes = stash(sizes.where("node is not null").groupBy("node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "place.doc_id", "place.row", "n", "sketch"))
 
     def content(wanted: DataFrame) -> DataFrame:
         """The sets of some nodes, from the row that stands for each."""
@@ -227,16 +239,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         texts = docs.join(bounded(found.select("row")), "row", "left_semi").dropDuplicates(["row"]).select("doc_id", "text")
         return texts.mapInArrow(lean(_sets), "node bigint, load binary")
 
+    def sketches(wanted: DataFrame) -> DataFrame:
+        size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
+        return nodes.join(bounded(wanted), "node", "left_semi").select("node", F.concat(size, "sketch").alias("load"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = bounded(stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-        some = stash(nodes.select("node", "n", *_CELLS).join(ends, "node", "left_semi"))
-        a, b = (bounded(some.select(*[F.col(c).alias(f"{s}_{c}") for c in some.columns]), 100_000) for s in "ab")
-        close = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
-        close = stash(close.where(_differ("a_", "b_") <= F.col("a_n") + F.col("b_n") - 2 * _needed(F.col("a_n"), F.col("b_n"))).select("a", "b"))
-        return compare(close, content, _linked_to)
+        close = compare(pairs, sketches, _may_link)
+        links = compare(close, content, _linked_to)
+        discard(close)
+        return links
 
     def inside(members: DataFrame) -> DataFrame:
-        members = members.join(nodes.select("node", *_CELLS), "node").select("key", "cell", "side", "node", "info", "comp", *_CELLS)
+        members = members.join(nodes.select("node", "sketch"), "node").select("key", "cell", "side", "node", "info", "comp", "sketch")
         return verify(stash(members.groupBy("key", "cell").applyInArrow(_close, "a bigint, b bigint").distinct()))
 
     entries = docs.mapInArrow(lean(_prefixes(keys, counts)), "key bigint, slot bigint, node bigint, info bigint")

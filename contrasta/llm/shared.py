@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of at most 32 bytes that a broadcast may hold; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: Bytes of text that numpy works on at once; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 18
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the Arrow batches of this session, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
