@@ -19,7 +19,7 @@ def directed_facts(triples: DataFrame) -> DataFrame:
 def one_hop_profile(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree, neighbours): degrees count repeated edges, neighbours are distinct and not the node."""
     ends = triples.select(F.col("s").alias("node"), F.col("o").alias("other"), F.lit(1).alias("out")).union(triples.select("o", "s", F.lit(0)))
-    ends = ends.join(F.broadcast(nodes), "node")
+    ends = ends.join(nodes, "node")
     agg = ends.groupBy("node").agg(F.sum("out").alias("out_degree"), F.sum(1 - F.col("out")).alias("in_degree"), F.countDistinct(F.when(F.col("other") != F.col("node"), F.col("other"))).alias("neighbours"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return nodes.join(agg, "node", "left").select("node", zero("out_degree"), zero("in_degree"), zero("neighbours"))
@@ -27,14 +27,14 @@ def one_hop_profile(triples: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def induced_edges(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges with both ends among `nodes`, as often as they are there."""
-    keep = F.broadcast(nodes)
+    keep = nodes
     return triples.join(keep.select(F.col("node").alias("s")), "s", "left_semi").join(keep.select(F.col("node").alias("o")), "o", "left_semi").select("s", "p", "o")
 
 
 def coverage_ratio(triples: DataFrame, seeds: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, full, retained, ratio): the share of a seed's distinct neighbours that `nodes` retain; 1.0 without neighbours."""
     n = triples.select(F.col("s").alias("node"), F.col("o").alias("other")).union(triples.select("o", "s")).where("node <> other")
-    n = n.join(F.broadcast(seeds), "node").distinct().join(F.broadcast(nodes.select(F.col("node").alias("other"), F.lit(1).alias("kept"))), "other", "left")
+    n = n.join(seeds, "node").distinct().join(nodes.select(F.col("node").alias("other"), F.lit(1).alias("kept")), "other", "left")
     agg = n.groupBy("node").agg(F.count("*").alias("full"), F.count("kept").alias("retained"))
     out = seeds.join(agg, "node", "left").select("node", F.coalesce("full", F.lit(0)).alias("full"), F.coalesce("retained", F.lit(0)).alias("retained"))
     return out.withColumn("ratio", F.when(F.col("full") == 0, 1.0).otherwise(F.col("retained") / F.col("full")))
@@ -45,12 +45,12 @@ def predicate_census(triples: DataFrame, top: int = 3) -> DataFrame:
     per = triples.groupBy("p", "o").agg(F.count("*").alias("n"))
     best = per.withColumn("rank", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("n"), "o"))).where(F.col("rank") <= top)
     whole = triples.groupBy("p").agg(F.count("*").alias("edges"), F.countDistinct("s").alias("subjects"), F.countDistinct("o").alias("objects"))
-    return best.join(F.broadcast(whole), "p").select("p", "edges", "subjects", "objects", "rank", "o", "n")
+    return best.join(whole, "p").select("p", "edges", "subjects", "objects", "rank", "o", "n")
 
 
 def edge_rarity(triples: DataFrame, facts: DataFrame) -> DataFrame:
     """facts with the number of other distinct subjects of the same (p, o)."""
-    near = triples.join(F.broadcast(facts.select("p", "o").distinct()), ["p", "o"], "left_semi")
+    near = triples.join(facts.select("p", "o").distinct(), ["p", "o"], "left_semi")
     count = near.groupBy("p", "o").agg(F.countDistinct("s").alias("holders"))
     return facts.join(count, ["p", "o"], "left").select("s", "p", "o", (F.coalesce("holders", F.lit(0)) - 1).alias("others"))
 

@@ -48,20 +48,36 @@ def ranked_relevance(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id")))
 
 
+def specificity(n: Column, total: Column) -> Column:
+    """1 for a class of one member, 0 for one of all, by logarithms; an unknown count gives 0."""
+    most = F.greatest(total, n, F.lit(2.0))
+    return F.when(n.isNull(), 0.0).otherwise(F.log(most / F.greatest(n, F.lit(1.0))) / F.log(most))
+
+
 def mrr(ranked: DataFrame) -> DataFrame:
-    first = ranked.where("hit = 1").groupBy("query").agg(F.min("rank").alias("first"))
-    return first.agg(F.count("*").alias("queries"), F.avg(1 / F.col("first")).alias("mrr"))
+    """(queries, mrr): the mean over all queries of the inverse rank of the first hit, 0 where there is none."""
+    first = ranked.groupBy("query").agg(F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
+    return first.agg(F.count("*").alias("queries"), F.coalesce(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
 
 
 def ndcg(ranked: DataFrame, k: int) -> DataFrame:
+    """(query, ndcg): of each query with a relevant item; where there is none it is undefined and left out."""
     gain = F.when((F.col("hit") == 1) & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     per = ranked.groupBy("query").agg(F.sum(gain).alias("dcg"), F.sum("hit").cast("int").alias("relevant")).where("relevant > 0")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("relevant", F.lit(k))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return per.select("query", (F.col("dcg") / ideal).alias("ndcg"))
 
 
+def mean_ndcg(ranked: DataFrame, k: int) -> DataFrame:
+    return ndcg(ranked, k).agg(F.count("*").alias("queries"), F.coalesce(F.avg("ndcg"), F.lit(0.0)).alias("ndcg"))
+
+
 def precision_at(ranked: DataFrame, k: int) -> DataFrame:
-    return ranked.where(F.col("rank") <= k).groupBy("rank").agg(F.sum("hit").alias("h")).select("rank", (F.sum("h").over(Window.orderBy("rank")) / F.col("rank")).alias("hits")).select(F.col("rank").alias("k"), "hits")
+    """(k, precision) for 1 to k: hits up to there over k and over all queries; ranks beyond a list's end add nothing."""
+    n = ranked.agg(F.countDistinct("query").alias("queries"))
+    per = ranked.where(F.col("rank") <= k).groupBy("rank").agg(F.sum("hit").alias("h"))
+    up_to = F.sum("h").over(Window.orderBy("rank"))  # k rows at most
+    return per.crossJoin(n).select(F.col("rank").alias("k"), (up_to / F.col("rank") / F.col("queries")).alias("precision"))
 
 
 def mmr(rows: DataFrame, k: int = 3, weight: float = 0.7, limit: float = 0.9) -> DataFrame:

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import kernel as K
 from ..operators import metrics as M
 from ..operators import ranking as R
+from ..operators import rationale as P
 from ..operators import relations as L
 from ..sources import tables as T
+from ..sources.stash import stash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,17 +45,36 @@ TRIPLES = """triples AS (
 FACTS = """facts AS (
   SELECT DISTINCT o_custkey AS entity, 'priority' AS key, o_orderpriority AS value FROM orders
   UNION SELECT o_custkey, 'status', o_orderstatus FROM orders
-  UNION SELECT o_custkey, 'year', CAST(year(o_orderdate) AS VARCHAR) FROM orders)"""
+  UNION SELECT o_custkey, 'year', CAST(year(o_orderdate) AS VARCHAR) FROM orders
+  UNION SELECT o_custkey, 'period', CASE o_orderkey % 3 WHEN 0 THEN year(o_orderdate) || 'Q' || quarter(o_orderdate) WHEN 1 THEN year(o_orderdate) || 'H' || CAST(ceil(quarter(o_orderdate) / 2.0) AS INT) ELSE CAST(year(o_orderdate) AS VARCHAR) END FROM orders)"""
 CANDS = """cands AS (
   SELECT answer, cand, pos, 1 - pos / 100.0::DOUBLE AS score FROM (
     SELECT a.c_custkey AS answer, c.c_custkey AS cand, row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(c.c_acctbal - a.c_acctbal), c.c_custkey) AS pos
-    FROM customer a JOIN customer c ON a.c_nationkey = c.c_nationkey AND a.c_custkey <> c.c_custkey WHERE a.c_custkey <= 12) WHERE pos <= 8)"""
+    FROM customer a JOIN customer c ON a.c_nationkey = c.c_nationkey AND a.c_custkey <> c.c_custkey) WHERE pos <= 8)"""
 SETS = FACTS + ", " + CANDS + """, sets AS (SELECT entity, key, list_sort(list(value)) AS vs FROM facts GROUP BY entity, key),
 grid AS (SELECT c.answer, c.cand, c.pos, c.score, a.key, a.vs AS aset, coalesce(b.vs, []) AS cset
   FROM cands c JOIN sets a ON a.entity = c.answer LEFT JOIN sets b ON b.entity = c.cand AND b.key = a.key)"""
-MATRIX = SETS + """, matrix AS (SELECT answer, cand, pos, score, key, value,
-  CASE WHEN list_contains(cset, value) THEN 0 WHEN len(cset) = 0 THEN 1 WHEN len(cset) = 1 THEN 3 ELSE 2 END AS level
-  FROM (SELECT *, unnest(aset) AS value FROM grid))"""
+EVIDENCE = SETS + """, parents AS (SELECT DISTINCT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS child, year(o_orderdate) || 'H' || CAST(ceil(quarter(o_orderdate) / 2.0) AS INT) AS parent FROM orders
+  UNION SELECT DISTINCT year(o_orderdate) || 'H' || CAST(ceil(quarter(o_orderdate) / 2.0) AS INT), CAST(year(o_orderdate) AS VARCHAR) FROM orders),
+up AS (SELECT child AS node, parent AS ancestor FROM parents UNION SELECT a.child, b.parent FROM parents a JOIN parents b ON a.parent = b.child),
+inside AS (SELECT child AS node FROM parents UNION SELECT parent FROM parents),
+objs AS (SELECT c.answer, c.cand, c.pos, c.score, f.key, f.value, o.value AS obj, CASE f.value WHEN '5-LOW' THEN '4-NOT SPECIFIED' ELSE f.value END AS a, CASE o.value WHEN '5-LOW' THEN '4-NOT SPECIFIED' ELSE o.value END AS b
+  FROM cands c JOIN facts f ON f.entity = c.answer LEFT JOIN facts o ON o.entity = c.cand AND o.key = f.key),
+rel AS (SELECT *, CASE WHEN value = obj THEN 'EXACT_EQUAL' WHEN a = b THEN 'CANONICALLY_EQUIVALENT' WHEN key = 'priority' AND ((a = '1-URGENT' AND b = '2-HIGH') OR (a = '2-HIGH' AND b = '1-URGENT')) THEN 'SCOPED_VALUE_EQUIVALENT'
+  WHEN key = 'period' AND (b, a) IN (SELECT (node, ancestor) FROM up) THEN 'CANDIDATE_UNDER_CLAIM' WHEN key = 'period' AND (a, b) IN (SELECT (node, ancestor) FROM up) THEN 'CLAIM_UNDER_CANDIDATE'
+  WHEN (a = 'F' AND b = 'P') OR (a = 'P' AND b = 'F') THEN 'PROVEN_DISJOINT' WHEN key IN ('period', 'year') AND (a NOT IN (SELECT node FROM inside) OR b NOT IN (SELECT node FROM inside)) THEN 'HIERARCHY_NOT_MODELLED'
+  ELSE 'UNRELATED_OR_UNKNOWN' END AS relation FROM (SELECT DISTINCT key, value, obj, a, b FROM objs WHERE obj IS NOT NULL)),
+agg AS (SELECT answer, cand, pos, score, o.key, o.value, count(o.obj) AS n, coalesce(bool_or(relation IN ('EXACT_EQUAL', 'CANONICALLY_EQUIVALENT', 'SCOPED_VALUE_EQUIVALENT', 'CANDIDATE_UNDER_CLAIM')), false) AS supported,
+  coalesce(bool_or(relation = 'CLAIM_UNDER_CANDIDATE'), false) AS over_, coalesce(bool_or(relation = 'HIERARCHY_NOT_MODELLED'), false) AS unmodelled,
+  coalesce(bool_or(o.key = 'status' AND o.value IN ('F', 'O') AND o.obj IN ('F', 'O') AND o.value <> o.obj), false) AS excluded
+  FROM objs o LEFT JOIN rel r ON r.key = o.key AND r.value = o.value AND r.obj = o.obj GROUP BY ALL),
+lev AS (SELECT *, CASE WHEN n = 0 THEN 1 WHEN supported THEN 0 WHEN excluded THEN 3 ELSE 2 END AS level FROM agg),
+card AS (SELECT c_nationkey AS scope, key, count(*) AS support, max(n) AS most, count(*) FILTER (WHERE n > 1) AS violations FROM (SELECT entity, key, count(DISTINCT value) AS n FROM facts GROUP BY 1, 2) JOIN customer ON c_custkey = entity GROUP BY 1, 2),
+evidence AS (SELECT l.answer, l.cand, l.pos, l.score, l.key, l.value, level, CASE level WHEN 1 THEN 'ABSENCE_ONLY' WHEN 0 THEN 'SUPPORTED' WHEN 3 THEN 'FORMAL_CONFLICT' ELSE 'POSITIVE_VALUE_CONTRAST' END AS reason,
+  CASE WHEN level = 3 THEN 'FORMAL_PROOF' WHEN level = 2 AND card.most IS NOT NULL AND n <= card.most THEN 'SCOPED_EMPIRICAL' ELSE 'NONE' END AS basis,
+  CASE WHEN level <= 1 THEN 'NONE' WHEN over_ THEN 'PRESENT' WHEN unmodelled THEN 'HIERARCHY_UNMODELLED' ELSE 'NONE' END AS risk
+  FROM lev l JOIN customer ON c_custkey = l.answer LEFT JOIN card ON card.scope = c_nationkey AND card.key = l.key AND violations = 0 AND support >= 5)"""
+MATRIX = EVIDENCE + ", matrix AS (SELECT answer, cand, pos, score, key, value, level FROM evidence)"
 COMBOS = MATRIX + """, combos AS (SELECT a.answer, a.pos AS i, b.pos AS j, c.pos AS k, a.score + b.score + c.score AS sum_score,
   least(a.score, b.score, c.score) AS min_score, a.pos + b.pos + c.pos AS sum_rank
   FROM cands a JOIN cands b ON a.answer = b.answer AND a.pos < b.pos JOIN cands c ON b.answer = c.answer AND b.pos < c.pos)"""
@@ -73,8 +95,27 @@ def cands(spark: SparkSession, d: str) -> DataFrame:
     return T.candidates(spark, d)
 
 
+#: What is declared of the values: periods nest, some priorities mean the same, an order status excludes another.
+POLICY = E.Policy(hierarchical=("period",), covered=("period", "year"), equivalent=(("5-LOW", "4-NOT SPECIFIED"),), scoped=(("priority", "1-URGENT", "2-HIGH"),), disjoint=(("F", "P"),), exclusive=(("status", ("F", "O")),))
+
+
+def period_edges(spark, d):
+    return E.index_edges(T.periods(spark, d), POLICY)
+
+
+def scope_rules(spark, d):
+    """(answer, key, support, most, violations, status): the rules of the scope of each answer, its nation."""
+    scope = T.read(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("scope"))
+    rules = L.single_valued_rules(L.scope_cardinalities(facts(spark, d), scope))
+    return scope.withColumnRenamed("entity", "answer").join(rules, "scope").drop("scope")
+
+
+def evidence(spark: SparkSession, d: str) -> DataFrame:
+    return E.evidence(cands(spark, d), facts(spark, d), period_edges(spark, d), POLICY, scope_rules(spark, d))
+
+
 def matrix(spark: SparkSession, d: str) -> DataFrame:
-    return L.levels(L.grid(cands(spark, d), facts(spark, d)))
+    return evidence(spark, d).select("answer", "cand", "pos", "score", "key", "value", "level")
 
 
 def region_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +192,7 @@ def seeded_admission_order(spark, d):
 
 @query()
 def graph_budget_admission(spark, d):
-    t = T.triples(spark, d).where("p = 'inNation'").join(F.broadcast(region_nodes(spark, d)), F.col("s") == F.col("node"), "left_semi")
+    t = T.triples(spark, d).where("p = 'inNation'").join(region_nodes(spark, d), F.col("s") == F.col("node"), "left_semi")
     rows = t.select(F.col("o").alias("answer"), F.col("s").alias("cand"))
     parts = T.triples(spark, d).where("p = 'suppliedBy'").groupBy(F.col("o").alias("cand")).agg(F.array_sort(F.collect_set("s")).alias("others"))
     rows = rows.join(parts, "cand")
@@ -220,40 +261,50 @@ def empirical_single_valued_rules(spark, d):
 # -- scalars ---------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT page_id, regexp_extract(u, '([^/#]*)$', 1) AS name, trim(translate(regexp_extract(u, '([^/#]*)$', 1), '_-', '  ')) AS label,
-coalesce(regexp_matches(url, '^https?://[^\s<>"{}|\\^`\x00-\x1f]+$'), false) AS safe FROM (SELECT *, regexp_replace(regexp_replace(trim(url), '^<|>$', '', 'g'), '/$', '') AS u FROM pages)""")
+URL = r"""u AS (SELECT page_id, trim(url) AS url, regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)', 1) AS host, regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)', 2) AS path FROM pages),
+n AS (SELECT page_id, url, host, path, CASE WHEN regexp_extract(path, '([^/]*)$', 1) <> '' THEN regexp_extract(path, '([^/]*)$', 1) WHEN host <> '' THEN host ELSE url END AS name FROM u)"""
+
+
+@query("WITH " + URL + r""" SELECT page_id, url_decode(name) AS name, trim(replace(url_decode(name), '_', ' ')) AS label, regexp_matches(url, '^https?://') AND NOT regexp_matches(url, '[\s<>"{}|\\^`]') AS safe FROM n""")
 def local_name_display_label(spark, d):
     return T.read(spark, d, "pages").select("page_id", X.local_name(F.col("url")).alias("name"), X.display_label(F.col("url")).alias("label"), X.is_safe_uri(F.col("url")).alias("safe"))
 
 
-@query(r"""SELECT page_id, unnest(['<' || u || '>', u, u || '/']) AS spelling, unnest([0, 1, 2]) AS turn FROM (SELECT page_id, regexp_replace(regexp_replace(trim(url), '^<|>$', '', 'g'), '/$', '') AS u FROM pages)""")
+@query(r"""WITH f AS (SELECT page_id, list_distinct(['<' || trim(url) || '>', trim(url), '<' || url_decode(trim(url)) || '>', url_decode(trim(url))]) AS x FROM pages) SELECT page_id, unnest(x) AS spelling FROM f""")
 def uri_spelling_ladder(spark, d):
-    return T.read(spark, d, "pages").select("page_id", F.posexplode(X.spelling_ladder(F.col("url"))).alias("turn", "spelling"))
+    return T.read(spark, d, "pages").select("page_id", F.explode(X.spelling_ladder(F.col("url"), ascii_only=True)).alias("spelling"))
+
+
+@query(r"""SELECT item_id, len(ts) AS n, list_aggregate(ts, 'string_agg', ' ') AS tokens FROM (SELECT item_id, list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+'), lambda t: len(t) >= 4) AS ts FROM benchmark)""")
+def leakage_tokens(spark, d):
+    t = T.read(spark, d, "benchmark").select("item_id", X.tokens(F.replace("text", F.lit("/"), F.lit(" ")), 4).alias("ts"))
+    return t.select("item_id", F.size("ts").cast("long").alias("n"), F.array_join("ts", " ").alias("tokens"))
 
 
-@query("""WITH t AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 4))) AS ts FROM benchmark)
-SELECT item_id, len(ts) AS n, array_to_string(ts, ' ') AS tokens FROM t""")
-def leakage_tokens_ascii(spark, d):
-    t = T.read(spark, d, "benchmark").select("item_id", X.ascii_tokens(F.col("text"), 4).alias("ts"))
-    return t.select("item_id", F.size("ts").alias("n"), F.array_join("ts", " ").alias("tokens"))
+LEAKS = r"""w AS (SELECT p_partkey, unnest(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: len(x) >= 4)) AS a, p_type, p_name, p_partkey AS k FROM part),
+o AS (SELECT p_partkey, unnest(list_filter(regexp_extract_all(lower(p_type || 's ' || replace(p_name, 'ring', 'rings')), '[a-z0-9]+'), lambda x: len(x) >= 4)) AS b FROM part),
+st AS (SELECT w.p_partkey, a, b, CASE WHEN a LIKE '%es' AND len(a) >= 6 THEN a[:-3] WHEN a LIKE '%s' AND len(a) >= 5 THEN a[:-2] ELSE a END AS sa, CASE WHEN b LIKE '%es' AND len(b) >= 6 THEN b[:-3] WHEN b LIKE '%s' AND len(b) >= 5 THEN b[:-2] ELSE b END AS sb FROM w JOIN o ON w.p_partkey = o.p_partkey),
+r AS (SELECT *, CASE WHEN a = b THEN 'WHOLE_TOKEN' WHEN sa = sb THEN 'PLURAL_STEM' WHEN (starts_with(a, b) AND len(b) >= 5) OR (starts_with(b, a) AND len(a) >= 5) THEN 'LONG_PREFIX' WHEN substr(a, 1, 4) = substr(b, 1, 4) THEN 'SHORT_PREFIX' END AS rule FROM st)"""
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, p_type FROM part), t AS (SELECT *, list_intersect(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+'))) AS x FROM p)
-SELECT p_partkey, CASE WHEN m >= 5 THEN 'HARD' WHEN m >= 4 THEN 'SOFT' ELSE 'NONE' END AS verdict FROM (SELECT p_partkey, coalesce(list_max(list_transform(x, lambda y: length(y))), 0) AS m FROM t)""")
+@query("WITH " + LEAKS + """ SELECT p.p_partkey, CASE WHEN count(*) FILTER (WHERE rule <> 'SHORT_PREFIX') > 0 THEN 'HARD' WHEN count(rule) > 0 THEN 'SOFT' ELSE 'NONE' END AS verdict,
+CASE WHEN count(*) FILTER (WHERE rule <> 'SHORT_PREFIX') > 0 THEN count(*) FILTER (WHERE rule <> 'SHORT_PREFIX') ELSE count(rule) END AS n FROM part p LEFT JOIN r ON r.p_partkey = p.p_partkey GROUP BY 1""")
 def leakage_verdict(spark, d):
-    return T.read(spark, d, "part").select("p_partkey", X.leakage(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name")).alias("verdict"))
+    other = F.concat(F.col("p_type"), F.lit("s "), F.replace("p_name", F.lit("ring"), F.lit("rings")))
+    x = T.read(spark, d, "part").select("p_partkey", X.leakage(F.col("p_name"), other, ascii_only=True).alias("x"))
+    return x.select("p_partkey", "x.verdict", F.size("x.evidence").cast("long").alias("n"))
 
 
-@query(r"""WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM benchmark)
+@query(r"""WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM benchmark)
 SELECT item_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM s""")
 def sentence_split(spark, d):
     return T.read(spark, d, "benchmark").select("item_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("""SELECT doc_id, len(text) AS chars, CAST(ceil(len(text) / 400.0) AS INT) AS n_chunks, md5(substr(text, 1, 400)) AS first_md5, md5(substr(text, CAST(ceil(len(text) / 400.0) - 1 AS INT) * 400 + 1, 400)) AS last_md5 FROM documents WHERE len(text) > 0""")
+@query()
 def chunk_text(spark, d):
-    t = T.read(spark, d, "documents").where("char_length(text) > 0").select("doc_id", F.char_length("text").alias("chars"), X.chunks(F.col("text")).alias("c"))
-    return t.select("doc_id", "chars", F.size("c").alias("n_chunks"), F.md5(F.get("c", F.lit(0)).cast("binary")).alias("first_md5"), F.md5(F.element_at("c", -1).cast("binary")).alias("last_md5"))
+    """(doc_id, chunk_no, chunk): sentences packed into a budget of tokens; tests hold it against a plain loop."""
+    return T.read(spark, d, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
 
 @query("""SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
@@ -367,7 +418,7 @@ def ranked(spark, d):
     return R.ranked_relevance(e, e.where("vec_id % 50 = 0"))
 
 
-@query("WITH " + VECTORS + " SELECT count(*) AS queries, round(avg(1.0 / f), 9) AS mrr FROM (SELECT query, min(rank) AS f FROM ranked WHERE hit = 1 GROUP BY query)")
+@query("WITH " + VECTORS + " SELECT count(*) AS queries, round(avg(coalesce(1.0 / f, 0)), 9) AS mrr FROM (SELECT query, min(rank) FILTER (WHERE hit = 1) AS f FROM ranked GROUP BY query)")
 def mrr(spark, d):
     return R.mrr(ranked(spark, d)).select("queries", F.round("mrr", 9).alias("mrr"))
 
@@ -378,9 +429,9 @@ def ndcg_at_k(spark, d):
     return R.ndcg(ranked(spark, d), 10).select("query", F.round("ndcg", 9).alias("ndcg"))
 
 
-@query("WITH " + VECTORS + ", h AS (SELECT rank AS k, sum(hit) AS n FROM ranked WHERE rank <= 10 GROUP BY rank) SELECT k, round(sum(n) OVER (ORDER BY k) / k, 9) AS hits FROM h")
+@query("WITH " + VECTORS + ", h AS (SELECT rank AS k, sum(hit) AS n FROM ranked WHERE rank <= 10 GROUP BY rank) SELECT k, round(sum(n) OVER (ORDER BY k) / k / (SELECT count(DISTINCT query) FROM ranked), 9) AS p_at_k FROM h")
 def precision_at_k(spark, d):
-    return R.precision_at(ranked(spark, d), 10).select("k", F.round("hits", 9).alias("hits"))
+    return R.precision_at(ranked(spark, d), 10).select("k", F.round("precision", 9).alias("p_at_k"))
 
 
 @query()
@@ -452,11 +503,32 @@ def feasible_triples(spark, d):
     return t.join(K.cover_size(K.masks(t, matrix(spark, d), 2)).where("size <= 3"), ["answer", "i", "j", "k"]).select("answer", "i", "j", "k", F.round("sum_score", 9).alias("sum_score"), "sum_rank", "size")
 
 
-@query("WITH " + MASKS + """, f AS (SELECT c.*, s.size, s.lv FROM combos c JOIN sizes s ON c.answer = s.answer AND c.i = s.i AND c.j = s.j AND c.k = s.k WHERE size <= 3)
-SELECT answer, CASE lv WHEN 3 THEN 'strict-l2' WHEN 2 THEN 'main-l1' ELSE 'diagnostic-l0' END AS policy, i, j, k, size, round(sum_score, 9) AS sum_score FROM f
-QUALIFY row_number() OVER (PARTITION BY answer ORDER BY lv DESC, sum_score DESC, min_score DESC, size, sum_rank, i, j, k) = 1""")
+TIERS = {"priority": 1, "status": 2, "year": 3, "period": 2}
+#: The best prefix of each answer under its first policy, the least rationales of the combinations that tie on it, and all fields of their keys.
+RATIONALES = MASKS + """, f AS (SELECT c.answer, c.i, c.j, c.k, round(sum_score, 9) AS sum_score, round(min_score, 9) AS min_score, sum_rank, s.size, s.lv FROM combos c JOIN sizes s ON c.answer = s.answer AND c.i = s.i AND c.j = s.j AND c.k = s.k WHERE size <= 3),
+p AS (SELECT * FROM f QUALIFY rank() OVER (PARTITION BY answer ORDER BY lv DESC, sum_score DESC, min_score DESC, size) = 1),
+cov AS (SELECT p.answer, p.i, p.j, p.k, p.size, p.lv, m.key || '|' || m.value AS fact, m.mask FROM p JOIN masks m ON m.answer = p.answer AND m.i = p.i AND m.j = p.j AND m.k = p.k AND m.lv = p.lv),
+rat AS (SELECT answer, i, j, k, size, lv, [fact] AS facts FROM cov WHERE size = 1 AND mask = 7
+  UNION ALL SELECT x.answer, x.i, x.j, x.k, x.size, x.lv, [x.fact, y.fact] FROM cov x JOIN cov y USING (answer, i, j, k) WHERE x.size = 2 AND x.fact < y.fact AND x.mask | y.mask = 7
+  UNION ALL SELECT x.answer, x.i, x.j, x.k, x.size, x.lv, [x.fact, y.fact, z.fact] FROM cov x JOIN cov y USING (answer, i, j, k) JOIN cov z USING (answer, i, j, k) WHERE x.size = 3 AND x.fact < y.fact AND y.fact < z.fact AND x.mask | y.mask | z.mask = 7),
+mem AS (SELECT *, unnest(facts) AS fact FROM rat),
+cell AS (SELECT r.answer, r.i, r.j, r.k, r.size, r.lv, r.facts, e.cand, e.pos IN (r.i, r.j, r.k) AS chosen, e.level, e.basis, e.risk FROM mem r JOIN (SELECT *, key || '|' || value AS fact FROM evidence) e ON e.answer = r.answer AND e.fact = r.fact),
+per AS (SELECT answer, i, j, k, size, lv, facts, cand, any_value(chosen) AS chosen, max(level) AS best, count(*) FILTER (WHERE chosen AND level = 1 AND level >= lv) AS l0, count(*) FILTER (WHERE chosen AND level = 2 AND level >= lv) AS l1, count(*) FILTER (WHERE chosen AND level = 3) AS l2,
+  count(*) FILTER (WHERE chosen AND level >= lv AND basis = 'SCOPED_EMPIRICAL') AS scoped, count(*) FILTER (WHERE chosen AND level >= lv AND risk <> 'NONE') AS risk FROM cell GROUP BY ALL),
+sums AS (SELECT answer, i, j, k, size, lv, facts, min(best) FILTER (WHERE chosen) AS min_level, sum(l2)::BIGINT AS l2, sum(l1)::BIGINT AS l1, sum(l0)::BIGINT AS l0, sum(scoped)::BIGINT AS scoped, sum(risk)::BIGINT AS risk, 1 + count(*) FILTER (WHERE best = 0) AS anonymity FROM per GROUP BY ALL),
+qual AS (SELECT answer, i, j, k, facts, sum(CASE split_part(fact, '|', 1) WHEN 'priority' THEN 1 WHEN 'year' THEN 3 ELSE 2 END)::BIGINT AS tier, count(*) FILTER (WHERE split_part(fact, '|', 1) = 'status') AS unverbal,
+  sum(len(split_part(fact, '|', 2)))::BIGINT AS label_length, sum(len(regexp_extract_all(lower(split_part(fact, '|', 2)), '[a-z0-9]+')))::BIGINT AS tokens, count(*) - count(DISTINCT split_part(fact, '|', 1)) AS extra, max(c) AS top
+  FROM (SELECT *, count(*) OVER (PARTITION BY answer, i, j, k, facts, split_part(fact, '|', 1)) AS c FROM mem) GROUP BY ALL),
+built AS (SELECT s.*, 0 AS conflicts, 0 AS soft, tier, unverbal, label_length, tokens, CASE top WHEN 3 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS repeats, (anonymity = 1)::INT AS direct FROM sums s JOIN qual q ON q.answer = s.answer AND q.i = s.i AND q.j = s.j AND q.k = s.k AND q.facts = s.facts)"""
+
+
+@query("WITH " + RATIONALES + """, b AS (SELECT b.*, p.sum_score, p.sum_rank FROM built b JOIN p ON p.answer = b.answer AND p.i = b.i AND p.j = b.j AND p.k = b.k)
+SELECT answer, CASE lv WHEN 3 THEN 'strict-l2' WHEN 2 THEN 'main-l1' ELSE 'diagnostic-l0' END AS policy, i, j, k, size, sum_score, list_aggregate(facts, 'string_agg', ';') AS facts FROM b
+QUALIFY row_number() OVER (PARTITION BY answer ORDER BY -min_level, -l2, -l1, l0, -scoped, risk, soft, tier, unverbal, label_length, tokens, repeats, direct, facts, sum_rank, i, j, k) = 1""")
 def select_distractors(spark, d):
-    return K.select(cands(spark, d), matrix(spark, d)).withColumn("sum_score", F.round("sum_score", 9))
+    """The whole objective: score sum, least score, cover size, rationale key, rank sum, positions."""
+    e = stash(evidence(spark, d))
+    return P.select(cands(spark, d), e, P.qualities(e, TIERS, ("status",))).select("answer", "policy", "i", "j", "k", "size", "sum_score", F.array_join("facts", ";").alias("facts"))
 
 
 @query("WITH " + MASKS + """, n AS (SELECT answer, i, j, k, count(*) FILTER (WHERE mask = 1) AS a, count(*) FILTER (WHERE mask = 2) AS b, count(*) FILTER (WHERE mask = 3) AS c, count(*) FILTER (WHERE mask = 4) AS d,
@@ -529,5 +601,8 @@ def metrics_unpivot(spark, d):
     return m.unpivot("grp", ["orders", "mean_price", "customers"], "metric", "value")
 
 
+from . import inventory  # noqa: E402, F401  registers further queries
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_distractors(spark, sf_dir)

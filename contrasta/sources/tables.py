@@ -32,17 +32,34 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _period() -> dict:
+    year, quarter = F.year("o_orderdate").cast("string"), F.quarter("o_orderdate")
+    return {"year": year, "quarter": F.concat(year, F.lit("Q"), quarter.cast("string")), "half": F.concat(year, F.lit("H"), F.ceil(quarter / 2).cast("string"))}
+
+
+def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(child, parent): quarters in half years in years."""
+    o = read(spark, sf_dir, "orders").select(*[c.alias(n) for n, c in _period().items()]).distinct()
+    return o.select(F.col("quarter").alias("child"), F.col("half").alias("parent")).union(o.select("half", "year")).distinct()
+
+
 def object_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, key, value): distinct facts of customers, from their orders."""
-    o = read(spark, sf_dir, "orders").select("o_custkey", F.stack(F.lit(3), F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"), F.lit("year"), F.year("o_orderdate").cast("string")).alias("key", "value"))
+    o = read(spark, sf_dir, "orders").withColumns(_period())
+    period = F.when(F.col("o_orderkey") % 3 == 0, F.col("quarter")).when(F.col("o_orderkey") % 3 == 1, F.col("half")).otherwise(F.col("year"))
+    o = o.select("o_custkey", F.stack(F.lit(4), F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"), F.lit("year"), F.col("year"), F.lit("period"), period).alias("key", "value"))
     return o.select(F.col("o_custkey").alias("entity"), "key", "value").distinct()
 
 
-def candidates(spark: SparkSession, sf_dir: str, answers: int = 12, most: int = 8) -> DataFrame:
-    """(answer, cand, pos, score): the members of the answer's class that are nearest to it, ranked 1..n."""
+def candidates(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
+    """(answer, cand, pos, score): of every customer the `most` members of its class that are nearest to it, ranked 1..n, as a ranker's list.
+
+    The nearest by one number stand within `most` places of it in its order, so no pairs of a class are formed.
+    """
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    a = c.where(F.col("c_custkey") <= answers).select(F.col("c_custkey").alias("answer"), F.col("c_nationkey"), F.col("c_acctbal").alias("own"))
-    pairs = c.join(F.broadcast(a), "c_nationkey").where("c_custkey <> answer")
-    pos = F.row_number().over(Window.partitionBy("answer").orderBy(F.abs(F.col("c_acctbal") - F.col("own")), "c_custkey"))
-    ranked = pairs.select("answer", F.col("c_custkey").alias("cand"), pos.alias("pos")).where(F.col("pos") <= most)
+    order = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
+    near = F.array(*[f(F.struct("c_custkey", "c_acctbal"), k).over(order) for f in (F.lag, F.lead) for k in range(1, most + 1)])
+    pairs = c.withColumn("near", near).select(F.col("c_custkey").alias("answer"), "c_acctbal", F.explode("near").alias("x")).where("x is not null")
+    pos = F.row_number().over(Window.partitionBy("answer").orderBy(F.abs(F.col("x.c_acctbal") - F.col("c_acctbal")), "x.c_custkey"))
+    ranked = pairs.select("answer", F.col("x.c_custkey").alias("cand"), pos.alias("pos")).where(F.col("pos") <= most)
     return ranked.withColumn("score", 1 - F.col("pos") / 100)

@@ -6,6 +6,7 @@ import numbers
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,7 +20,9 @@ def duck(sf_dir):
 
 
 def plain(x):
-    if x is None or isinstance(x, bool):
+    if x is None or x is pd.NA or x is pd.NaT:
+        return None
+    if isinstance(x, bool):
         return x
     if isinstance(x, (numbers.Number, decimal.Decimal)) or type(x).__module__ == "numpy" and not hasattr(x, "__len__"):
         return None if math.isnan(float(x)) else round(float(x), 6)
@@ -32,4 +35,9 @@ def rows(df):
 
 
 def assert_same(spark_df, con, sql):
-    assert rows(spark_df.toPandas()) == rows(con.execute(sql).df())
+    (names, got), (wanted_names, want) = rows(spark_df.toPandas()), rows(con.execute(sql).df())
+    assert names == wanted_names
+    same = got == want  # a plain value: a report on long lists takes minutes
+    if not same:
+        more, less = set(got) - set(want), set(want) - set(got)
+        raise AssertionError(f"{len(got)} rows and {len(want)} by SQL; not in SQL {sorted(more, key=str)[:2]}, only in SQL {sorted(less, key=str)[:2]}")
