@@ -155,7 +155,9 @@ def leakage(answer: Column, other: Column, least: int = 4, long: int = 5, short:
             .when((n >= long) & (a.startswith(b) | b.startswith(a)), pair(a, b, "LONG_PREFIX")).when(n >= short, pair(a, b, "SHORT_PREFIX"))
         )
 
-    found = F.flatten(F.transform(tokens(answer, least, ascii_only), lambda a: F.transform(tokens(other, least, ascii_only), lambda b: rule(a, b))))
+    # in an array of one, as a function of Python can't stand inside of another's
+    both = F.array(F.struct(tokens(answer, least, ascii_only).alias("x"), tokens(other, least, ascii_only).alias("y")))
+    found = F.flatten(F.flatten(F.transform(both, lambda p: F.transform(p.x, lambda a: F.transform(p.y, lambda b: rule(a, b))))))
     found = F.filter(found, lambda x: x.isNotNull())
     hard = F.filter(found, lambda x: x.rule != "SHORT_PREFIX")
     verdict = F.when(F.size(hard) > 0, "HARD").when(F.size(found) > 0, "SOFT").otherwise("NONE")
@@ -187,10 +189,14 @@ def without_parenthetical(c: Column) -> Column:
 
 def name_inside(answer: Column, candidate: Column, ascii_only: bool = False) -> Column:
     """Where in the longer name of a candidate the whole name of the answer stands, counted in words from 0; null if nowhere."""
-    a, b = tokens(answer, 1, ascii_only), tokens(candidate, 1, ascii_only)
-    last = F.size(b) - F.size(a)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(b, i + 1, F.greatest(F.size(a), F.lit(1))) == a)
-    return F.when((F.size(a) > 0) & (last > 0), F.get(at, F.lit(0)))
+    both = F.array(F.struct(tokens(answer, 1, ascii_only).alias("x"), tokens(candidate, 1, ascii_only).alias("y")))
+
+    def place(p: Column) -> Column:
+        last = F.size(p.y) - F.size(p.x)
+        at = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(p.y, i + 1, F.greatest(F.size(p.x), F.lit(1))) == p.x)
+        return F.when((F.size(p.x) > 0) & (last > 0), F.get(at, F.lit(0)))
+
+    return F.get(F.transform(both, place), F.lit(0))
 
 
 def edit_distance(limit: int):
