@@ -29,8 +29,8 @@ BITS, AGREE = 63, 49
 COLUMNS = 2048
 #: A key that so many of the lines have which a task works on at once is dealt to SALTS slots.
 HOT, SALTS = 12, 64
+# A hash times an odd number is a permutation; the least of the products is one minimum.
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-_B = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)).astype(np.uint32)
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +52,6 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         other = np.empty_like(h)
         for k in range(BANDS * ROWS):
             np.multiply(h, _A[k], out=other)
-            np.add(other, _B[k], out=other)
             np.minimum.reduceat(other, first, out=least[k])
         least = mix(least.astype(np.uint64))
         bits = np.zeros(len(lines), np.uint64)
@@ -108,7 +107,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(node)
             lines.append(line)
             size += len(line)
-            if size > PIECE_BYTES // 2:
+            if size > PIECE_BYTES:
                 yield done()
                 nodes, lines, size = [], [], 0
         if lines:
