@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from oracle import assert_same, duck
 from pyspark.sql import functions as F
@@ -428,13 +429,13 @@ def test_chats_with_control_strings_match_sql(spark, tmp_path):
     assert all(x.count("[INST]") == x.count("[/INST]") == x.count("<s>") == x.count("</s>") for x in shown.values())
 
 
-@pytest.mark.parametrize("hot", [0, 7])
-def test_lm_scores_of_many_words(spark, monkeypatch, hot):
+@pytest.mark.parametrize("part", [20_000, 1 << 30])
+def test_lm_scores_of_many_words(spark, monkeypatch, part):
     """More words than 2^15, and texts that the models haven't seen."""
     from collections import Counter
     from math import log
 
-    monkeypatch.setattr(lm_scoring, "HOT", hot, raising=False)
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", part)
     texts = [" ".join(f"w{i}" for i in range(k, 40000, 1 + k)) for k in range(3)] + ["a b a b"]
     tokens = [words(t) for t in texts]
     model = lm_scoring.fit(frame(spark, texts), frame(spark, texts).where("doc_id in (1, 3)").select("doc_id"))
@@ -453,6 +454,14 @@ def test_lm_scores_of_many_words(spark, monkeypatch, hot):
             assert abs(got[i][name] - (sum(want) / len(want) if want else 0)) < 1e-6
 
 
+def test_lm_packed_arrays():
+    for x in ([], [0, 0], [3, 1, 1 << 63], list(range(1000))):
+        x = np.array(x, np.uint64)
+        assert (lm_scoring._unpack(lm_scoring._pack(x)) == x).all()
+        x.sort()
+        assert (lm_scoring._unpack_sorted(lm_scoring._pack_sorted(x)) == x).all()
+
+
 def test_null_ids(spark):
     """Rows without an id link, go and stay like others."""
     base = [f"w{i}" for i in range(40)]
