@@ -23,6 +23,8 @@ from .shared import arrow_rows, bounded, lean, mix, pieces, stash, tidy, word_ha
 BLOCK = 1_000_000
 #: Bytes of text whose grams share a part of the key space: at most a million or two of them, which a task holds.
 PART_BYTES = 8 << 20
+#: Shuffle partitions of the parts at most; a task then takes several parts, one after the other.
+TASKS = 20_000
 #: Bits of a key beyond those that number all bytes of text: two grams share a key with a probability of 2^-24.
 SPARE_BITS = 24
 #: What is before the first word of a text; as a hash it is no word's.
@@ -218,7 +220,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     if not own:
         rows = rows.union(grams(blocks).withColumns({"counts": F.lit(False), "asks": F.lit(True)}))
     # one part has the grams of PART_BYTES of text, each from a block once, however frequent it is
-    answers = stash(rows.repartition(2 * parts, "part").groupBy("part").applyInArrow(_answered(parts), "part bigint, block bigint, distinct bigint, n binary, good binary"))
+    answers = stash(rows.repartition(min(2 * parts, TASKS), "part").groupBy("part").applyInArrow(_answered(parts), "part bigint, block bigint, distinct bigint, n binary, good binary"))
     distinct = answers.where("block is null").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     tidy(spark)
     start = 1 if model["totals"][0] else 0  # START is counted among the words and is none
