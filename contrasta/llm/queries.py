@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import op2_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .language_id import op5_language_id
 from .line_dedup import op1_line_dedup
 from .lm_scoring import op3_lm_scoring
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quality_cotraining": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
 }
-SQL = {"op4_chat_format": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op4_chat_format": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}
