@@ -10,6 +10,8 @@ from .language_id import op5_language_id
 from .line_dedup import op1_line_dedup
 from .lm_scoring import op3_lm_scoring
 from .ngram_jaccard import op10_ngram_jaccard_join
+from .packing import op12_packing
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality_cotraining import op8_quality
 from .sentencepiece_codec import op7_sentencepiece
 from .toxicity import op6_toxicity
@@ -26,5 +28,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_filter_audit": op11_filter_audit,
+    "op12_packing": op12_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-SQL = {"op4_chat_format": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}
+SQL = {"op4_chat_format": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op13_prefix_trie": OP13_SQL}
