@@ -1,9 +1,7 @@
-"""Graph operators: directed facts, degrees, induced subgraphs, budgets, closure, role similarity."""
+"""Graph operators: directed facts, degrees, induced subgraphs, budgets, closure."""
 
 from __future__ import annotations
 
-import itertools
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,84 +68,3 @@ def admission_order(rows: DataFrame, seed: str) -> DataFrame:
     """(answer, cand, position): candidates in the order of SHA-256(seed NUL answer NUL cand), then by name."""
     digest = F.sha2(F.concat_ws("\0", F.lit(seed), F.col("answer").cast("string"), F.col("cand").cast("string")), 256)
     return rows.select("answer", "cand", F.row_number().over(Window.partitionBy("answer").orderBy(digest, "cand")).alias("position"))
-
-
-def admit_within_budget(rows: DataFrame, budget: int) -> DataFrame:
-    """(answer, cand, position, admitted, nodes): candidates are admitted in order while their neighbours fit a node budget.
-
-    rows: answer, cand, position, others array<string>. The fold depends on its order, so each answer is one group.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, have, out = pdf.sort_values("position"), set(), []
-        for r in pdf.itertuples():
-            new = have | {r.cand, *r.others}
-            fits = len(new) <= budget
-            have = new if fits else have
-            out.append((r.answer, r.cand, r.position, fits, len(have)))
-        return pd.DataFrame(out, columns=["answer", "cand", "position", "admitted", "nodes"])
-
-    return rows.groupBy("answer").applyInPandas(fold, "answer string, cand string, position int, admitted boolean, nodes long")
-
-
-def _assignment(weights: list[list[float]]) -> float:
-    """The largest total of a one-to-one assignment of rows to columns, by shortest augmenting paths."""
-    if len(weights) > len(weights[0]):
-        weights = [list(x) for x in zip(*weights, strict=True)]
-    n, m = len(weights), len(weights[0])
-    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, used, way = [float("inf")] * (m + 1), [False] * (m + 1), [0] * (m + 1)
-        while match[j0]:
-            used[j0] = True
-            i0, delta, j1 = match[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    cost = -weights[i0 - 1][j - 1] - u[i0] - v[j]
-                    if cost < least[j]:
-                        least[j], way[j] = cost, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    return sum(weights[match[j] - 1][j - 1] for j in range(1, m + 1) if match[j])
-
-
-def role_similarity(edges: DataFrame, beta: float = 0.2, iterations: int = 3) -> DataFrame:
-    """(a, b, sim): structural role similarity of node pairs a < b after a fixed number of iterations.
-
-    Neighbours are grouped by (predicate, direction); a pair's similarity is the best one-to-one assignment of neighbours
-    within shared groups over the larger group sizes, damped by beta: (1 - beta) * share + beta. Pairs of isolated nodes
-    are 1.0, pairs without a shared group exactly beta. Pairs are one task's, so the subgraph must be small (budgeted).
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, dict[tuple, list[str]]] = {}
-        for r in pdf.itertuples():
-            near.setdefault(r.s, {}).setdefault((r.p, "OUT"), []).append(r.o)
-            near.setdefault(r.o, {}).setdefault((r.p, "IN"), []).append(r.s)
-        nodes = sorted(near)
-        sim = {(a, b): 1.0 for a, b in itertools.combinations(nodes, 2)}
-        get = lambda old, a, b: 1.0 if a == b else old[min(a, b), max(a, b)]
-        for _ in range(iterations):
-            old, sim = sim, {}
-            for a, b in old:
-                shared = near[a].keys() & near[b].keys()
-                if not shared:
-                    sim[a, b] = beta
-                    continue
-                won = sum(_assignment([[get(old, x, y) for y in near[b][k]] for x in near[a][k]]) for k in sorted(shared))
-                most = sum(max(len(near[a].get(k, ())), len(near[b].get(k, ()))) for k in near[a].keys() | near[b].keys())
-                sim[a, b] = (1 - beta) * won / most + beta
-        return pd.DataFrame([(a, b, x) for (a, b), x in sim.items()], columns=["a", "b", "sim"])
-
-    return edges.select("s", "p", "o").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: run(pdf), "a string, b string, sim double")

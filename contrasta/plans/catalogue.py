@@ -190,21 +190,6 @@ def seeded_admission_order(spark, d):
     return G.admission_order(cands(spark, d), "seed")
 
 
-@query()
-def graph_budget_admission(spark, d):
-    t = T.triples(spark, d).where("p = 'inNation'").join(region_nodes(spark, d), F.col("s") == F.col("node"), "left_semi")
-    rows = t.select(F.col("o").alias("answer"), F.col("s").alias("cand"))
-    parts = T.triples(spark, d).where("p = 'suppliedBy'").groupBy(F.col("o").alias("cand")).agg(F.array_sort(F.collect_set("s")).alias("others"))
-    rows = rows.join(parts, "cand")
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("answer").orderBy("cand")))
-    return G.admit_within_budget(rows, 200)
-
-
-@query()
-def lrolesim_fixed3(spark, d):
-    return G.role_similarity(T.triples(spark, d).where("p = 'inRegion'"))
-
-
 # -- set relations and evidence --------------------------------------------------------------------------------------
 
 

@@ -1,33 +1,9 @@
 import itertools
 import random
 
-from contrasta.operators import graph as G
 from contrasta.operators import kernel as K
 
 
-def test_assignment_is_optimal():
-    rng = random.Random(7)
-    for _ in range(60):
-        n, m = rng.randint(1, 4), rng.randint(1, 5)
-        w = [[rng.random() for _ in range(m)] for _ in range(n)]
-        small = w if n <= m else [list(x) for x in zip(*w)]
-        best = max(sum(small[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(len(small[0])), len(small)))
-        assert abs(G._assignment(w) - best) < 1e-9
-
-
-def test_role_similarity_of_a_star(spark):
-    edges = spark.createDataFrame([("a", "p", "x"), ("b", "p", "x"), ("c", "q", "x")], "s string, p string, o string")
-    sim = {(r.a, r.b): r.sim for r in G.role_similarity(edges).collect()}
-    assert sim["a", "b"] == 1.0
-    assert sim["a", "c"] == 0.2  # no shared group: exactly beta
-
-
-def test_budget_admission_keeps_order(spark):
-    rows = spark.createDataFrame([("x", "a", 1, ["u", "v"]), ("x", "b", 2, ["w", "y", "z"]), ("x", "c", 3, ["u"])], "answer string, cand string, position int, others array<string>")
-    out = {r.cand: r.admitted for r in G.admit_within_budget(rows, 5).collect()}
-    assert out == {"a": True, "b": False, "c": True}
-
-
 def test_least_cover_matches_search(spark):
     rng = random.Random(3)
     data, want = [], {}
