@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ CARRIED = 8
 #: Sweeps of exchanges over all bins of a block at most; in practice two or three find nothing more.
 SWEEPS = 8
 #: Chunks and words whose ids a task keeps; beyond, the table is begun anew. It changes no result.
-TABLE_ENTRIES = 250_000
+TABLE_ENTRIES = 400_000
 TABLE_CHARS = 48
 #: Characters of a text that are split at once.
 SLICE_CHARS = 1 << 20
@@ -104,6 +105,12 @@ class WordIds(dict):
         return b"".join(b"".join(map(self.__getitem__, _chunks(part))) for part in _slices(text))
 
 
+@lru_cache(maxsize=1)
+def word_ids(file: str) -> WordIds:
+    """One table per Python worker, which serves several tasks."""
+    return WordIds(file)
+
+
 def _chunks(text: str) -> list[str]:
     if any(c in text for c in _SEPARATORS):
         return [x for x in _ASCII_BLANKS.split(text) if x]
@@ -123,7 +130,7 @@ def _slices(text: str) -> Iterator[str]:
 
 def _cutter(file: str, shipped: str, capacity: int, end_id: int) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(SparkFiles.get(shipped) if shipped else file)
+        ids = word_ids(SparkFiles.get(shipped) if shipped else file)
         uid, end = TaskContext.get().partitionId() << 33, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
