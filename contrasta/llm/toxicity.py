@@ -1,8 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as symbols: insult, doubtful insult, threat, target, negation, report, mention, or other. Five
-letter-to-letter transducers - negation, reported speech, mention, target and threat - are composed to one machine that
-reads a clause and marks each insult as plain, aimed at somebody, or negated or reported, and threats that have a target.
+Words are read as symbols: insult, doubtful insult, violent verb, target, negation, report, mention, exclamation, speaker,
+intent, or other. Letter-to-letter transducers - negation, reported speech, mention, target, exclamation, intent and
+threat - are composed to one machine that reads a clause and marks each insult as plain, aimed at somebody, or negated or
+reported, and threats. A violent verb is a threat if a speaker intends it and it has a target, and it's neither negated
+nor reported: "I will hurt you", but not "the team will beat him" or "burn them".
 Only these marks of matched clauses make a document's score. Insults are a short fixed list and words and stems learned
 from labelled rows; stems that are only somewhat likelier in toxic rows are doubtful insults, a weaker symbol that goes
 through the same transducers. The weights are learned from the same rows under an order: a threat weighs more than an aimed
@@ -29,6 +31,10 @@ TARGETS = "you your yours yourself he she they them him her du dich ihr euch sie
 NEGATIONS = "not no never none without isn't aren't nicht kein keine nie niemals ne pas jamais sans nunca jamás sin".split()
 REPORTS = "said says say told tells quote quoted wrote writes claimed called sagte sagt schrieb dit écrit disait dijo dice escribió".split()
 MENTIONS = "word words term terms wort wörter begriff mot mots terme palabra palabras término".split()
+EXCLAMATIONS = "what such was'n quel quelle qué".split()
+SPEAKERS = "i we ich wir je j nous yo nosotros".split()
+INTENTS = "will gonna going shall want wanna werde werden will wollen vais allons voy vamos quiero".split()
+INTENDED = "i'll we'll".split()
 MARKS = "IJQAKDE"  # plain, negated, reported, aimed insult; threat with a target; doubtful insult, the same negated or reported
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
@@ -96,14 +102,19 @@ def _near(trigger: str, marks: dict[str, str], reach: int, symbols: str) -> Tran
 
 
 def grammar() -> Transducer:
-    read = ".ITNRHDM"
-    every = read + "JQAKE"
-    negation = _near("N", {"I": "J", "D": "E"}, 3, every)
-    report = Transducer(0, {(0, "R"): (1, "R"), (1, "I"): (1, "Q"), (1, "D"): (1, "E")})
-    mention = _near("M", {"I": "Q", "D": "E"}, 2, every)
+    read = ".ITNRHDMWSFG"
+    every = read + "JQAKEL"
+    negation = _near("N", {"I": "J", "D": "E", "H": "."}, 3, every)
+    report = Transducer(0, {(0, "R"): (1, "R"), (1, "I"): (1, "Q"), (1, "D"): (1, "E"), (1, "H"): (1, ".")})
+    mention = _near("M", {"I": "Q", "D": "E", "H": "."}, 2, every)
     before = _near("T", {"I": "A"}, 4, every)
-    threat = _near("H", {"T": "K"}, 4, every)
-    return negation.then(report, read).then(mention, read).then(before, read).then(threat, read)
+    exclaimed = _near("W", {"I": "A"}, 2, every)
+    intent = _near("S", {"F": "G"}, 2, every).then(_near("G", {"H": "L"}, 4, every), every)
+    threat = _near("L", {"T": "K"}, 4, every).then(_near("T", {"L": "K"}, 2, every), every)
+    out = negation
+    for other in (report, mention, before, exclaimed, intent, threat):
+        out = out.then(other, read)
+    return out
 
 
 class Reader(dict):
@@ -112,7 +123,7 @@ class Reader(dict):
     def __init__(self, stems: Iterable[str], words: Iterable[str], doubtful: Iterable[str]) -> None:
         super().__init__()
         self.stems, self.words, self.doubtful = frozenset(stems), frozenset(words), frozenset(doubtful)
-        self.fixed = {w: s for s, own in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("M", MENTIONS), ("H", THREATS), ("I", INSULTS)) for w in own}
+        self.fixed = {w: s for s, own in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("M", MENTIONS), ("W", EXCLAMATIONS), ("S", SPEAKERS), ("F", INTENTS), ("G", INTENDED), ("H", THREATS), ("I", INSULTS)) for w in own}
 
     def __missing__(self, word: str) -> str:
         if len(self) > MEMORY:

@@ -212,11 +212,13 @@ def test_grammar_marks():
     reader = toxicity.Reader((), (), ())
     machine = toxicity.grammar()
     mark = lambda t: "".join(m for m, n in zip(toxicity.MARKS, toxicity.marks(t, reader, machine), strict=True) if n)
-    assert mark("what an idiot") == "I"
+    assert mark("an idiot fell") == "I"
+    assert mark("what an idiot") == "A"
     assert mark("You are an idiot") == "A"
     assert mark("this is not stupid") == "J"
     assert mark("he said: the clown fell") == "Q"
-    assert mark("I will hurt you") == "K"
+    assert all(mark(x) == "K" for x in ("I will hurt you", "we're sure we will burn your house", "I'll kill you", "ich werde dich töten", "je vais te tuer"))
+    assert all(mark(x) == "" for x in ("The team will beat him at chess", "I will not kill you", "He said he will kill you", "fry the onions and burn them", "beat the eggs for them", "the word kill, I will tell you", "will you attack"))
     assert mark("a fine day. not bad") == ""
     assert mark("the word idiot is in the dictionary") == "Q"
     doubtful = toxicity.Reader((), (), ("blor",))
@@ -227,10 +229,14 @@ def test_toxicity_orders_clauses(spark):
     """A threat before an aimed insult before a plain one before negated and reported ones, in the fitted model."""
     sf = "/root/testdata/sf0.1"
     model = toxicity.fitted(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
-    said = ["I will kill you.", "You are an idiot.", "What an idiot.", "You are not an idiot.", "He said you are an idiot.", "The word idiot is in the dictionary.", "A fine day.", None]
+    said = ["I will kill you.", "You are an idiot.", "An idiot was there.", "You are not an idiot.", "He said you are an idiot.", "The word idiot is in the dictionary.", "A fine day.", None]
     score = {r.doc_id: r.score for r in toxicity.score(frame(spark, said), model).collect()}
     assert score[0] > score[1] > score[2] > max(score[3], score[4], score[5]) > score[6] == score[7]
     assert score[1] >= 0.5 > max(score[3], score[4], score[5])
+    toxic = ["What an idiot.", "I will kill you.", "You are an idiot."]
+    harmless = ["The team will beat him at chess.", "I will not kill you.", "He said he will kill you.", "Chop the onions, then burn them slightly.", "They attack him every season, and he will beat them."]
+    said = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, toxic + harmless), model).collect()}
+    assert [said[k] for k in range(len(said))] == [1] * len(toxic) + [0] * len(harmless)
     ordinary = ["the dishes are disposed of", "clothes and clocks", "a tradition of travel", "los lunes y las lunas", "lower and lost"]
     assert all(r.predicted == 0 for r in toxicity.score(frame(spark, ordinary), model).collect())
 
@@ -487,6 +493,17 @@ def test_hot_band_keys(spark, monkeypatch):
     assert gone == set(range(1, 60))
 
 
+def leaks_by_force(text, item):
+    """Every alignment, and of each the best stretch, of those with one score the longest."""
+    for shift in range(-len(item) + 1, len(text)):
+        same = [item[i] == text[i + shift] for i in range(len(item)) if 0 <= i + shift < len(text)]
+        best = max(((sum(1 if x else -2 for x in same[a:b]), sum(same[a:b]), b - a) for a in range(len(same)) for b in range(a + 1, len(same) + 1)), default=(0, 0, 0))
+        enough = min(13, max(min(8, len(item)), -(-len(item) // 2)))
+        if best[0] > 0 and best[1] >= enough and best[1] >= 0.75 * best[2]:
+            return True
+    return False
+
+
 def test_decontamination_against_brute_force(spark):
     """Every alignment of every item, also of 1 to 7 tokens, with substitutions; null ids."""
     rng = random.Random(12)
@@ -500,26 +517,49 @@ def test_decontamination_against_brute_force(spark):
         cut = rng.choice([0, 0, 0, 2])
         texts.append([*(word() for _ in range(rng.randint(0, 6))), *item[cut:], *(word() for _ in range(rng.randint(0, 6)))])
 
-    def leaks(text, item):
-        for shift in range(-len(item) + 1, len(text)):
-            same = [item[i] == text[i + shift] for i in range(len(item)) if 0 <= i + shift < len(text)]
-            best = max(((sum(1 if x else -2 for x in same[a:b]), sum(same[a:b]), b - a) for a in range(len(same)) for b in range(a + 1, len(same) + 1)), default=(0, 0, 0))
-            enough = min(13, max(min(8, len(item)), -(-len(item) // 2)))
-            if best[0] > 0 and best[1] >= enough and best[1] >= 0.75 * best[2]:
-                return True
-        return False
-
     ids = [None if k % 50 == 7 else k for k in range(400)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string").withColumn("row", F.lit("x"))
     bench = spark.createDataFrame([(i, " ".join(x).upper(), "clash") for i, x in enumerate(items)] + [(None, "", "clash")], "item_id long, text string, doc_id string")
-    pairs = {(k, i) for k, t in enumerate(texts) for i, x in enumerate(items) if leaks(t, x)}
+    pairs = {(k, i) for k, t in enumerate(texts) for i, x in enumerate(items) if leaks_by_force(t, x)}
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
     want = {(ids[k], i) for k, i in pairs}
-    assert got <= want and len(got) >= 0.995 * len(want), (want - got, got - want)
+    assert got == want, (want - got, got - want)
     bad = {k for k, _ in pairs}
     assert sorted(r.text for r in decontaminate.drop_leaks(docs, bench).collect()) == sorted(" ".join(t) for k, t in enumerate(texts) if k not in bad)
 
 
+def test_masks_hit_every_accepted_stretch():
+    """All patterns of 8 to 20 tokens with at most a quarter substituted; a longer stretch has such a half."""
+    for n in range(8, 21):
+        for gone in range(n - 7):
+            if n - gone < decontaminate.PART * n:
+                break
+            for at in itertools.combinations(range(n), gone):
+                same = [i not in at for i in range(n)]
+                assert any(all(same[k + i] for i in m) for m in decontaminate.MASKS for k in range(n - m[-1])), at
+
+
+def test_stretches_with_two_substitutions(spark):
+    """Ten tokens of which two are replaced, wherever they are, and sixteen with four replaced."""
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    tokens = [["zz" if i in gone else w for i, w in enumerate(words[:10])] for gone in itertools.combinations(range(10), 2)]
+    tokens += [["zz" if i in gone else w for i, w in enumerate(words)] for gone in itertools.combinations(range(1, 15), 4)][::7]
+    tokens.append(["zz" if i in (4, 5, 10, 11) else w for i, w in enumerate(words)])
+    bench = spark.createDataFrame([(10, " ".join(words[:10])), (16, " ".join(words))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, [" ".join(t) for t in tokens]), bench).collect()}
+    want = {(k, n) for k, t in enumerate(tokens) for n in (10, 16) if leaks_by_force(t, words[:n])}
+    assert got == want and len(want) > 50 and (len(tokens) - 1, 16) in want
+
+
+def test_language_model_is_the_same_for_any_batches(spark):
+    """Counts don't depend on which texts lie side by side."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, many = (language_id.train(d) for d in (docs.coalesce(1), docs.repartition(23)))
+    assert one[0] == many[0] and (one[1] == many[1]).all() and (one[2] == many[2]).all()
+    got = [sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.predict(docs, m).collect()) for m in (one, many)]
+    assert got[0] == got[1]
+
+
 def test_repeated_rows_and_null_ids_of_exact_dedup(spark):
     docs = spark.createDataFrame([(1, "A b"), (3, "a B"), (3, "a B"), (None, "a b"), (None, None), (None, ""), (5, "c")], "doc_id long, text string").withColumn("row", F.lit("clash"))
     left = sorted((r.doc_id or 0, r.text or "", r.row) for r in exact_dedup.keep_last(docs).collect())
