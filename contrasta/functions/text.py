@@ -270,8 +270,8 @@ def negative_claims(c: Column) -> Column:
 
 
 def strict_bool(c: Column) -> Column:
-    """true, True, false, False; null for any other spelling."""
-    return F.when(c.isin("true", "True"), True).when(c.isin("false", "False"), False)
+    """true and false; null for any other spelling."""
+    return F.when(c == "true", True).when(c == "false", False)
 
 
 def strict_float(c: Column) -> Column:

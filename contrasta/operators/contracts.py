@@ -35,7 +35,7 @@ def missing(fields: list[str]) -> Column:
 
 def type_map(rows: DataFrame) -> DataFrame:
     """(entries, kinds, nonzero, usable): a map of types is usable if any value isn't zero."""
-    nonzero = F.count_if(F.col("value") > 0)
+    nonzero = F.count_if(F.col("value") != 0)
     return rows.agg(F.count("*").alias("entries"), F.countDistinct("kind").alias("kinds"), nonzero.alias("nonzero"), (nonzero > 0).alias("usable"))
 
 
@@ -45,6 +45,18 @@ def rejections(rows: DataFrame) -> DataFrame:
     return each.groupBy("reason").agg(F.count_if(F.col("at") == 0).alias("primary_n"), F.count("*").alias("any_n"))
 
 
-def retention(chosen: DataFrame) -> DataFrame:
-    """(answers, with_first): answers with a combination, and those of which one holds the ranker's first candidate."""
-    return chosen.agg(F.countDistinct("answer").alias("answers"), F.countDistinct(F.when(F.least("i", "j", "k") == 1, F.col("answer"))).alias("with_first"))
+def retention(chosen: DataFrame, hidden: tuple[str, ...] = ("diagnostic-l0",)) -> DataFrame:
+    """(block, answers, first_three, first_three_pct, mean_first, mean_second, mean_third, mean_rank, median_rank, least_rank, most_rank): how many answers keep the ranker's first three.
+
+    chosen: (answer, policy, i, j, k), the combination of each answer. Two blocks: `any` selection, and those `shown`, whose
+    policy isn't one of `hidden`; a block without answers has no row.
+    """
+    blocks = F.explode(F.array_compact(F.array(F.lit("any"), F.when(~F.col("policy").isin(*hidden), "shown"))))
+    rows = chosen.select("i", "j", "k", blocks.alias("block"))
+    first = F.count_if((F.col("i") == 1) & (F.col("j") == 2) & (F.col("k") == 3))
+    mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
+    slots = rows.groupBy("block").agg(F.count("*").alias("answers"), first.alias("first_three"), F.round(100 * first / F.count("*"), 2).alias("first_three_pct"), mean("i", "mean_first"), mean("j", "mean_second"), mean("k", "mean_third"))
+    # ranks are few and small, so the middle is found among their counts
+    ranks = rows.select("block", F.explode(F.array("i", "j", "k")).alias("rank")).groupBy("block", "rank").agg(F.count("*").alias("n"))
+    whole = ranks.groupBy("block").agg(F.round(F.sum(F.col("rank") * F.col("n")) / F.sum("n"), 4).alias("mean_rank"), F.expr("percentile(rank, 0.5, n)").alias("median_rank"), F.min("rank").alias("least_rank"), F.max("rank").alias("most_rank"))
+    return slots.join(whole, "block")

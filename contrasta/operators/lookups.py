@@ -40,15 +40,20 @@ def resolve(members: DataFrame, hops: DataFrame, local: DataFrame, most: int) ->
 
 
 def identity(answers: DataFrame, hops: DataFrame, local: DataFrame) -> DataFrame:
-    """(answer, status, node, step): the one node that an answer is, by its own name (0), a redirect from it (1) or to it (2); AMBIGUOUS where there are several."""
-    a = answers.select("answer")
-    via = a.join(hops.select(F.col("src").alias("answer"), F.col("dst").alias("node")), "answer")
-    back = a.join(hops.select(F.col("dst").alias("answer"), F.col("src").alias("node")), "answer")
-    found = a.select("answer", F.col("answer").alias("node"), F.lit(0).alias("step")).union(via.select("answer", "node", F.lit(1))).union(back.select("answer", "node", F.lit(2)))
-    found = found.join(local.select(F.col("id").alias("node")), "node").groupBy("answer").agg(F.countDistinct("node").alias("n"), F.min("node").alias("node"), F.min("step").alias("step"))
-    out = a.join(found, "answer", "left")
+    """(answer, status, node, step): the local node that an answer is: its own name (0), else what it redirects to (1), else the one name that redirects there (2).
+
+    The first step with a local node decides. AMBIGUOUS only where several names of the last step are local. An answer without a
+    redirect is what it redirects to. Of several redirects of one name the smallest target counts.
+    """
+    target = hops.groupBy(F.col("src").alias("answer")).agg(F.min("dst").alias("target"))
+    a = answers.select("answer").join(target, "answer", "left").withColumn("target", F.coalesce("target", "answer"))
+    back = a.join(hops.select(F.col("dst").alias("target"), F.col("src").alias("node")), "target")
+    found = a.select("answer", F.col("answer").alias("node"), F.lit(0).alias("step")).union(a.select("answer", "target", F.lit(1))).union(back.select("answer", "node", F.lit(2)))
+    found = found.join(local.select(F.col("id").alias("node")).distinct(), "node").groupBy("answer", "step").agg(F.countDistinct("node").alias("n"), F.min("node").alias("node"))
+    first = found.groupBy("answer").agg(F.min(F.struct("step", "n", "node")).alias("f")).select("answer", "f.*")
+    out = a.join(first, "answer", "left")
     one = F.col("n") == 1
-    return out.select("answer", F.when(F.col("n").isNull(), "NOT_FOUND").when(F.col("n") > 1, "AMBIGUOUS").otherwise("RESOLVED").alias("status"), F.when(one, F.col("node")).alias("node"), F.when(one, F.col("step")).alias("step"))
+    return out.select("answer", F.when(F.col("n").isNull(), "NOT_FOUND").when(one, "RESOLVED").otherwise("AMBIGUOUS").alias("status"), F.when(one, F.col("node")).alias("node"), F.when(one, F.col("step")).alias("step"))
 
 
 def entity_kind(entities: DataFrame, keys: DataFrame, yes: tuple[str, ...], no: tuple[str, ...], names: tuple[str, str, str]) -> DataFrame:

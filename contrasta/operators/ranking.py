@@ -73,11 +73,11 @@ def mean_ndcg(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def precision_at(ranked: DataFrame, k: int) -> DataFrame:
-    """(k, precision) for 1 to k: hits up to there over k and over all queries; ranks beyond a list's end add nothing."""
+    """(k, precision) for 1 to k: over all queries the mean share of hits up to there; a query whose list has ended adds nothing."""
     n = ranked.agg(F.countDistinct("query").alias("queries"))
-    per = ranked.where(F.col("rank") <= k).groupBy("rank").agg(F.sum("hit").alias("h"))
-    up_to = F.sum("h").over(Window.orderBy("rank"))  # k rows at most
-    return per.crossJoin(n).select(F.col("rank").alias("k"), (up_to / F.col("rank") / F.col("queries")).alias("precision"))
+    so_far = F.sum("hit").over(Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    per = ranked.where(F.col("rank") <= k).select("rank", so_far.alias("hits")).groupBy("rank").agg(F.sum("hits").alias("hits"))
+    return per.crossJoin(n).select(F.col("rank").alias("k"), (F.col("hits") / F.col("rank") / F.col("queries")).alias("precision"))
 
 
 def mmr(rows: DataFrame, k: int = 3, weight: float = 0.7, limit: float = 0.9) -> DataFrame:

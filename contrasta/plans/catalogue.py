@@ -414,7 +414,7 @@ def ndcg_at_k(spark, d):
     return R.ndcg(ranked(spark, d), 10).select("query", F.round("ndcg", 9).alias("ndcg"))
 
 
-@query("WITH " + VECTORS + ", h AS (SELECT rank AS k, sum(hit) AS n FROM ranked WHERE rank <= 10 GROUP BY rank) SELECT k, round(sum(n) OVER (ORDER BY k) / k / (SELECT count(DISTINCT query) FROM ranked), 9) AS p_at_k FROM h")
+@query("WITH " + VECTORS + ", h AS (SELECT rank AS k, sum(hit) OVER (PARTITION BY query ORDER BY rank) AS n FROM ranked) SELECT k, round(sum(n) / k / (SELECT count(DISTINCT query) FROM ranked), 9) AS p_at_k FROM h WHERE k <= 10 GROUP BY k")
 def precision_at_k(spark, d):
     return R.precision_at(ranked(spark, d), 10).select("k", F.round("precision", 9).alias("p_at_k"))
 

@@ -14,7 +14,7 @@ from ..operators import ranking as R
 from ..operators import rationale as P
 from ..sources import tables as T
 from ..sources.stash import stash
-from .catalogue import EVIDENCE, MASKS, POLICY, RATIONALES, SETS, TIERS, TRIPLES, cands, evidence, facts, matrix, period_edges, query, ranked, VECTORS
+from .catalogue import EVIDENCE, MASKS, POLICY, RATIONALES, SETS, SQL, TIERS, TRIPLES, VECTORS, cands, evidence, facts, matrix, period_edges, query, ranked, select_distractors
 
 RESOURCE = "http://kg.example.org/resource/"
 
@@ -106,10 +106,10 @@ def query_fingerprints(spark, d):
     return T.read(spark, d, "pages").select("page_id", X.query_fingerprint(F.lit("https://q.example.org"), F.col("html")).alias("fingerprint"))
 
 
-@query(r"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE WHEN event_id % 3 < 2 THEN value END AS number, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END::INT AS first FROM events""")
+@query(r"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 2 THEN false END AS flag, CASE WHEN event_id % 3 < 2 THEN value END AS number, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END::INT AS first FROM events""")
 def strict_parsing(spark, d):
     e, i = T.read(spark, d, "events"), F.col("event_id")
-    flag = F.when(i % 4 == 0, "true").when(i % 4 == 1, "False").when(i % 4 == 2, "yes").otherwise("")
+    flag = F.when(i % 4 == 0, "true").when(i % 4 == 1, "False").when(i % 4 == 2, "false").otherwise("")
     number = F.when(i % 3 == 0, F.col("value").cast("string")).when(i % 3 == 1, F.concat(F.lit(" "), F.col("value").cast("string"))).otherwise("nan")
     lines = F.concat((i % 5).cast("string"), F.lit("-9"))
     return e.select("event_id", X.strict_bool(flag).alias("flag"), X.strict_float(number).alias("number"), X.line_range(lines)["first"].alias("first"))
@@ -290,9 +290,10 @@ def reverse_redirects(spark, d):
     return hops(spark, d)[0].groupBy(F.col("dst").alias("target")).agg(F.min("src").alias("first"), F.count("*").alias("aliases"))
 
 
-@query("WITH " + HOPS + """, c AS (SELECT c_custkey AS answer, e.id AS own, r.id AS via FROM customer LEFT JOIN ends e ON e.id = c_custkey LEFT JOIN hops h ON h.src = c_custkey LEFT JOIN ends r ON r.id = h.dst),
-b AS (SELECT h.dst AS answer, e.id AS alias FROM hops h JOIN ends e ON e.id = h.src), x AS (SELECT answer, own AS node, 0 AS step FROM c WHERE own IS NOT NULL UNION SELECT answer, via, 1 FROM c WHERE via IS NOT NULL UNION SELECT answer, alias, 2 FROM b)
-SELECT c_custkey AS answer, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status, CASE WHEN n = 1 THEN node END AS node, CASE WHEN n = 1 THEN step END AS step FROM customer LEFT JOIN (SELECT answer, count(DISTINCT node) AS n, min(node) AS node, min(step) AS step FROM x GROUP BY 1) g ON g.answer = c_custkey""")
+@query("WITH " + HOPS + """, a AS (SELECT c_custkey AS answer, coalesce(min(h.dst), c_custkey) AS target FROM customer LEFT JOIN hops h ON h.src = c_custkey GROUP BY c_custkey),
+x AS (SELECT answer, answer AS node, 0 AS step FROM a UNION SELECT answer, target, 1 FROM a UNION SELECT a.answer, h.src, 2 FROM a JOIN hops h ON h.dst = a.target),
+g AS (SELECT answer, step, count(DISTINCT node) AS n, min(node) AS node FROM x JOIN ends e ON e.id = x.node GROUP BY 1, 2), f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY answer ORDER BY step) = 1)
+SELECT a.answer, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status, CASE WHEN n = 1 THEN node END AS node, CASE WHEN n = 1 THEN step END AS step FROM a LEFT JOIN f ON f.answer = a.answer""")
 def answer_identity(spark, d):
     h, ends = hops(spark, d)
     return U.identity(T.read(spark, d, "customer").select(F.col("c_custkey").alias("answer")), h, ends)
@@ -310,7 +311,7 @@ def entity_type_by_keys(spark, d):
     return U.entity_kind(T.read(spark, d, "part").select("p_partkey", F.concat(F.lit("p"), "p_partkey").alias("entity")), keys, ("suppliedBy",), ("brand",), ("SUPPLIED", "NOT_SUPPLIED", "UNKNOWN")).select("p_partkey", "kind")
 
 
-@query("SELECT count(*) AS entries, count(DISTINCT p_type) AS kinds, count(*) FILTER (WHERE p_size > 0) AS nonzero, count(*) FILTER (WHERE p_size > 0) > 0 AS usable FROM part")
+@query("SELECT count(*) AS entries, count(DISTINCT p_type) AS kinds, count(*) FILTER (WHERE p_size <> 0) AS nonzero, count(*) FILTER (WHERE p_size <> 0) > 0 AS usable FROM part")
 def type_map_verdict(spark, d):
     return C.type_map(T.read(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_size").alias("value")))
 
@@ -340,11 +341,11 @@ def class_rejection_metrics(spark, d):
     return C.rejections(c.select("class", reasons.alias("reasons")))
 
 
-@query("WITH " + RATIONALES + ", r AS (SELECT answer, least(i, j, k) AS top FROM p) SELECT count(DISTINCT answer) AS answers, count(DISTINCT answer) FILTER (WHERE top = 1) AS with_first FROM r")
+@query("WITH chosen AS (" + SQL["select_distractors"] + """), b AS (SELECT 'any' AS block, * FROM chosen UNION ALL SELECT 'shown', * FROM chosen WHERE policy <> 'diagnostic-l0'),
+r AS (SELECT block, unnest([i, j, k]) AS rank FROM b), m AS (SELECT block, round(avg(rank), 4) AS mean_rank, median(rank)::DOUBLE AS median_rank, min(rank) AS least_rank, max(rank) AS most_rank FROM r GROUP BY block)
+SELECT b.block, count(*) AS answers, count(*) FILTER (WHERE i = 1 AND j = 2 AND k = 3) AS first_three, round(100.0 * count(*) FILTER (WHERE i = 1 AND j = 2 AND k = 3) / count(*), 2) AS first_three_pct, round(avg(i), 4) AS mean_first, round(avg(j), 4) AS mean_second, round(avg(k), 4) AS mean_third, any_value(mean_rank) AS mean_rank, any_value(median_rank) AS median_rank, any_value(least_rank) AS least_rank, any_value(most_rank) AS most_rank FROM b JOIN m ON m.block = b.block GROUP BY b.block""")
 def rank_retention(spark, d):
-    e = stash(evidence(spark, d))
-    c = stash(cands(spark, d))
-    return C.retention(P.prefix_best(c, e))
+    return C.retention(select_distractors(spark, d))
 
 
 @query("SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY n DESC, value) AS k FROM (SELECT event_type AS key, CAST(user_id AS VARCHAR) AS value, count(*) AS n FROM events GROUP BY 1, 2)) WHERE k <= 5")
