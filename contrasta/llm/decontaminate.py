@@ -1,10 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a window of token positions of which a fixed mask reads some and ignores others, so a substituted token at an
+A seed is a window of token positions of which one of two fixed masks reads some and ignores others, so a substituted token at an
 ignored position doesn't hide a match. The hashes of all windows of the benchmark, which is the small side, are joined with
 those of all windows of the training texts. Around each hit the item is laid on the document at that offset, and the best
-stretch - matches count 1, substitutions -2 - decides. Every stretch that is accepted holds a hit of the mask. Items that are
-shorter than the mask are found by windows of their own length, which must be equal.
+stretch - matches count 1, substitutions -2 - decides. Every stretch that is accepted holds a hit of a mask. Items that are
+shorter than the masks are found by windows of their own length, which must be equal.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .shared import bounded, row_key, stash, without_rows
 
-#: The positions that the mask reads. However substitutions lie, a stretch that LEAST and PART accept has a
-#: window in which these are equal; of masks of up to 7 tokens, none that reads 5 has this property.
-MASK = (0, 1, 2, 4)
+#: The positions that each mask reads. However substitutions lie, a stretch that LEAST and PART accept has a
+#: window in which those of one mask are equal (tests/llm has the enumeration); no one mask of four positions has this property.
+MASKS = ((0, 1, 2, 4), (0, 3, 4, 5))
+#: Items with fewer tokens than the first mask spans are found by windows of their own length.
 SPAN = 5
 #: An item leaks with so many matched tokens, or with half of its own, but at least 8 (or all, if it has fewer), where
 #: at least so large a part of the stretch matches.
@@ -37,8 +38,8 @@ def _windows(size: int, offsets: tuple[int, ...], *kind: Column) -> Column:
 
 
 def _hashed(rows: DataFrame, key: str, short: tuple[int, ...], own: bool = False) -> DataFrame:
-    """(key, pos, seed): a row for each window of column `toks`. short: lengths below SPAN of which windows are read too; own: only the token list itself is such a window."""
-    seeds = [_windows(SPAN, MASK)]
+    """(key, pos, seed): a row for each mask and window of column `toks`. short: lengths below SPAN of which windows are read too; own: only the token list itself is such a window."""
+    seeds = [_windows(m[-1] + 1, m, *[F.lit(-k)] * (k > 0)) for k, m in enumerate(MASKS)]
     for n in short:
         windows = _windows(n, tuple(range(n)), F.lit(n))
         seeds.append(F.when(F.size("toks") == n, windows).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>")) if own else windows)
