@@ -60,12 +60,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in _chunks([c.to_pylist() for c in batch.columns], 1):
             for lang in set(langs):
                 mine = [x or "" for x, y in zip(texts, langs, strict=True) if y == lang]
-                codes, _ = _codes(mine)
+                codes, bounds = _codes(mine)
                 own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 docs[lang] = docs.get(lang, 0) + len(mine)
                 for order in ORDERS:
                     if len(codes) >= order:
-                        own += np.bincount(_grams(codes, order), minlength=BUCKETS)
+                        within = np.ones(len(codes) - order + 1, bool)
+                        for back in range(1, order):  # n-grams that reach into the next text
+                            within[bounds[1:-1] - back] = False
+                        own += np.bincount(_grams(codes, order)[within], minlength=BUCKETS)
     for lang, own in total.items():
         bucket = np.append(np.flatnonzero(own), -1)
         counts = np.append(own[own > 0], docs[lang])
