@@ -1,9 +1,10 @@
-"""Queries on names: classes that give an answer away, by the formation of words."""
+"""Queries on names: classes that give an answer away, by the formation of words, and what facts are worth by their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import fact_quality as Q
 from ..operators import word_formation as W
 from ..sources import tables as T
 from .catalogue import query
@@ -55,3 +56,34 @@ def near_spellings(spark, d):
     """Words of page titles and of benchmark items that are at most one edit apart."""
     words = lambda df, c: df.select(F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), 1)).alias("word"))
     return W.near_words(words(T.read(spark, d, "pages"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), words(T.read(spark, d, "benchmark"), F.col("text")))
+
+
+# -- fact quality ----------------------------------------------------------------------------------------------------
+
+RESOURCE = "http://kg.example.org/resource/"
+POLICY = Q.QualityPolicy(rejected={"size": "PREDICATE_RAW_LAYOUT_SLOT"}, tiers={"type": 1, "brand": 2, "page": 2}, tiers_by_direction={("brand", "OUT"): 1, ("brand", "IN"): 3}, templates={("type", "OUT"): "OUT_TYPE", ("brand", "OUT"): "OUT_BRAND"},
+                         namespaces=(RESOURCE,), archives=("example.net",), media=(".png",), longest=6)
+QUALITY = r"""f AS (SELECT 'http://kg.example.org/resource/' || replace(p_name, ' ', '_') AS answer, predicate, 'OUT' AS direction, object, p_partkey FROM (
+  SELECT p_partkey, p_name, 'type' AS predicate, 'http://kg.example.org/resource/' || p_type AS object FROM part UNION ALL SELECT p_partkey, p_name, 'brand', 'http://kg.example.org/resource/' || replace(p_brand, '#', '_') FROM part
+  UNION ALL SELECT p_partkey, p_name, 'size', 'http://kg.example.org/resource/' || p_size FROM part UNION ALL SELECT p_partkey, p_name, 'page', url FROM part JOIN pages ON page_id = p_partkey)),
+u AS (SELECT *, lower(regexp_extract(object, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) AS host, regexp_extract(regexp_extract(object, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)', 2), '([^/]*)$', 1) AS tail FROM f),
+n AS (SELECT *, CASE WHEN tail <> '' THEN tail ELSE regexp_extract(object, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?', 1) END AS local FROM u),
+l AS (SELECT *, trim(replace(local, '_', ' ')) AS label, regexp_replace(replace(local, '_', ' '), '[^A-Za-z0-9]', '', 'g') AS alnum, list_filter(regexp_extract_all(lower(local), '[a-z0-9]+'), lambda x: len(x) >= 4) AS other, list_filter(regexp_extract_all(lower(regexp_extract(answer, '([^/]*)$', 1)), '[a-z0-9]+'), lambda x: len(x) >= 4) AS own FROM n),
+p AS (SELECT p_partkey, predicate, a, b, """ + STEM.format("a") + " AS sa, " + STEM.format("b") + r""" AS sb FROM (SELECT p_partkey, predicate, unnest(own) AS a, other FROM l) x, unnest(x.other) t(b)),
+k AS (SELECT p_partkey, predicate, bool_or(a = b OR sa = sb OR (starts_with(a, b) AND len(b) >= 5) OR (starts_with(b, a) AND len(a) >= 5)) AS hard, bool_or(left(a, 4) = left(b, 4)) AS soft FROM p GROUP BY 1, 2),
+q AS (SELECT l.*, coalesce(hard, false) AS hard, coalesce(soft, false) AND NOT coalesce(hard, false) AS soft, CASE WHEN host = 'example.net' OR host LIKE '%.example.net' THEN 'OBJECT_WEB_ARCHIVE_URL' WHEN NOT starts_with(object, 'http://kg.example.org/resource/') THEN 'OBJECT_EXTERNAL_URL' WHEN lower(local) LIKE '%.png' THEN 'OBJECT_MEDIA_FILE'
+  WHEN len(label) < 1 THEN 'OBJECT_EMPTY_LABEL' WHEN len(label) > 6 THEN 'OBJECT_LABEL_TOO_LONG' WHEN alnum <> '' AND len(regexp_replace(alnum, '[^0-9]', '', 'g')) / len(alnum)::DOUBLE >= 0.6 THEN 'OBJECT_MACHINE_IDENTIFIER' END AS why FROM l LEFT JOIN k ON k.p_partkey = l.p_partkey AND k.predicate = l.predicate)"""
+
+
+@query("WITH " + QUALITY + """ SELECT answer, predicate, direction, object, p_partkey, label, CASE predicate WHEN 'type' THEN 1 WHEN 'brand' THEN 1 WHEN 'page' THEN 2 ELSE 3 END AS tier, CASE predicate WHEN 'type' THEN 'OUT_TYPE' WHEN 'brand' THEN 'OUT_BRAND' ELSE 'UNKNOWN' END AS template, predicate IN ('type', 'brand') AS verbal, soft,
+len(label)::INT AS label_length, len(regexp_extract_all(lower(local), '[a-z0-9]+'))::INT AS words, array_to_string(list_filter([CASE WHEN predicate = 'size' THEN 'PREDICATE_RAW_LAYOUT_SLOT' END, why, CASE WHEN hard THEN 'ANSWER_LEXICAL_LEAK' END], lambda x: x IS NOT NULL), ',') AS reasons,
+NOT (predicate = 'size' OR why IS NOT NULL OR hard) AS eligible FROM q""")
+def fact_quality(spark, d):
+    """Facts of parts and the pages of their number: eligibility with reasons, tier, template, soft leaks."""
+    part, pages = T.read(spark, d, "part"), T.read(spark, d, "pages")
+    answer = F.concat(F.lit(RESOURCE), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("answer")
+    fact = lambda df, predicate, value: df.select("p_partkey", answer, F.lit(predicate).alias("predicate"), F.lit("OUT").alias("direction"), value.alias("object"))
+    here = lambda c: F.concat(F.lit(RESOURCE), c)
+    facts = fact(part, "type", here(F.col("p_type"))).unionByName(fact(part, "brand", here(F.replace("p_brand", F.lit("#"), F.lit("_"))))).unionByName(fact(part, "size", here(F.col("p_size").cast("string"))))
+    facts = facts.unionByName(fact(part.join(pages, F.col("page_id") == F.col("p_partkey")), "page", F.col("url")))
+    return Q.assess(facts, POLICY, ascii_only=True).withColumn("reasons", F.array_join("reasons", ","))
