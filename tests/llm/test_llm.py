@@ -9,7 +9,7 @@ import pytest
 from oracle import assert_same, duck
 from pyspark.sql import functions as F
 
-from contrasta.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, linkage, lm_scoring, ngram_jaccard, quality_cotraining, sentencepiece_codec, toxicity
+from contrasta.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, linkage, lm_scoring, ngram_jaccard, quality_cotraining, sentencepiece_codec, shared, toxicity
 from contrasta.llm.queries import QUERIES, SQL
 from contrasta.llm.shared import shingle_sets
 
@@ -590,3 +590,20 @@ def test_empty_tables_of_models_and_filters(spark):
     assert ngram_jaccard.keep_one(none).isEmpty() and decontaminate.drop_leaks(none, bench).isEmpty()
     some = frame(spark, TEXTS)
     assert decontaminate.drop_leaks(some, bench).count() == len(TEXTS)
+
+
+def test_exact_dedup_without_broadcasts(spark, monkeypatch):
+    """More surviving groups than may be broadcast: the same rows by shuffled joins."""
+    docs = frame(spark, [*TEXTS, *TEXTS[:7], "Other text", "other TEXT"])
+    take = lambda: sorted(map(str, exact_dedup.exact_groups(docs, digest=True, rows=True).collect()))
+    plain, marked = take(), sorted(map(str, exact_dedup.exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    assert take() == plain and sorted(map(str, exact_dedup.exact_groups(docs).collect())) == marked
+
+
+def test_bounded_joins_by_shuffle_beyond_its_bound(spark):
+    small = spark.range(5).withColumnRenamed("id", "k")
+    rows = spark.range(20).withColumnRenamed("id", "k")
+    plan = lambda n: rows.join(shared.bounded(small, n), "k")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan(5) and "SortMergeJoin" in plan(4)
+    assert rows.join(shared.bounded(small, 0), "k").count() == rows.join(shared.bounded(small), "k").count() == 5
