@@ -39,11 +39,6 @@ def bare_uri(c: Column) -> Column:
     return F.when(t.startswith("<") & t.endswith(">"), F.substring(t, 2, F.length(t) - 2)).otherwise(t)
 
 
-def normalize_uri(c: Column) -> Column:
-    """bare_uri() without one final slash."""
-    return F.regexp_replace(bare_uri(c), "/$", "")
-
-
 def percent_decoded(c: Column) -> Column:
     """Percent escapes decoded; what can't be decoded stays as it is, and so does a plus sign."""
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
@@ -74,11 +69,6 @@ def is_safe_literal(c: Column) -> Column:
     return F.coalesce((c != "") & ~c.rlike(r"[\"\\\x00-\x1f\x7f]"), F.lit(False))
 
 
-def is_safe_cursor(c: Column) -> Column:
-    """A page cursor is read as an IRI and as a literal; both must be safe."""
-    return is_safe_uri(c) & is_safe_literal(bare_uri(c))
-
-
 def spelling_ladder(c: Column, ascii_only: bool = False) -> Column:
     """Distinct spellings of a URI, in the order in which they are tried."""
     bare = bare_uri(c)

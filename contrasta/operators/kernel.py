@@ -59,21 +59,6 @@ def cover_size(masks: DataFrame) -> DataFrame:
     return sig.withColumn("size", size)
 
 
-def select(cands: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(answer, policy, i, j, k, size, sum_score): per answer the best feasible combination under the first policy that has one.
-
-    Order: largest score sum, largest least score, smallest cover, smallest rank sum, positions.
-    """
-    combos = triples_of(cands)
-    best = None
-    for turn, (name, least) in enumerate(POLICIES):
-        found = combos.join(cover_size(masks(combos, matrix, least)).where("size <= 3"), ["answer", "i", "j", "k"])
-        key = F.struct((-F.col("sum_score")).alias("a"), (-F.col("min_score")).alias("b"), "size", "sum_rank", "i", "j", "k")
-        found = found.groupBy("answer").agg(F.min_by(F.struct("i", "j", "k", "size", "sum_score"), key).alias("x")).select("answer", F.lit(turn).alias("turn"), F.lit(name).alias("policy"), "x")
-        best = found if best is None else best.union(found)
-    return best.groupBy("answer").agg(F.min_by(F.struct("policy", "x"), "turn").alias("w")).select("answer", "w.policy", "w.x.*")
-
-
 def count_minimum(masks: DataFrame, sizes: DataFrame) -> DataFrame:
     """(answer, i, j, k, size, n): how many least covers there are, from the populations of the masks."""
     key = ["answer", "i", "j", "k"]

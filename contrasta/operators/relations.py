@@ -49,17 +49,6 @@ def set_relation(pairs: DataFrame) -> DataFrame:
     return pairs.select("answer", "cand", "key", kind.alias("relation"), (both / F.size(F.array_union(a, b))).alias("jaccard"))
 
 
-def levels(pairs: DataFrame) -> DataFrame:
-    """(answer, cand, pos, score, key, value, level): the evidence level of each answer fact against each candidate.
-
-    0 NOT_COVERED: the candidate has the value. 1 L0: it has no value for the key. 2 L1: it has others. 3 L2: it has
-    exactly one, and that is another (a single-valued key).
-    """
-    rows = pairs.select("answer", "cand", "pos", "score", "key", F.explode("answer_set").alias("value"), "cand_set")
-    level = F.when(F.array_contains("cand_set", F.col("value")), 0).when(F.size("cand_set") == 0, 1).when(F.size("cand_set") == 1, 3).otherwise(2)
-    return rows.select("answer", "cand", "pos", "score", "key", "value", level.alias("level"))
-
-
 def evidence_status(matrix: DataFrame) -> DataFrame:
     """The three-status form: SHARED, ABSENCE_ONLY, POSITIVE_ALTERNATIVE."""
     return matrix.select("answer", "cand", "key", "value", F.when(F.col("level") == 0, "SHARED").when(F.col("level") == 1, "ABSENCE_ONLY").otherwise("POSITIVE_ALTERNATIVE").alias("status"))
