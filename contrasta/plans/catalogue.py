@@ -586,7 +586,7 @@ def metrics_unpivot(spark, d):
     return m.unpivot("grp", ["orders", "mean_price", "customers"], "metric", "value")
 
 
-from . import choices, inventory, names  # noqa: E402, F401  registers further queries
+from . import choices, files, inventory, names  # noqa: E402, F401  registers further queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
