@@ -4,14 +4,11 @@ import re
 import zlib
 from collections import defaultdict
 
-import pytest
-from oracle import assert_same, duck
 from pyspark.sql import functions as F
 
 from contrasta.llm import prefix_trie as P
 from contrasta.llm.shared import stash
 
-SF = "/root/testdata/sf0.001"
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
@@ -57,10 +54,6 @@ def found(spark, rows):
     return got
 
 
-def test_query_is_sql(spark):
-    assert_same(P.op13_prefix_trie(spark, SF), duck(SF), P.OP13_SQL)
-
-
 def conversations(seed, n=120):
     r = random.Random(seed)
     rows = []
