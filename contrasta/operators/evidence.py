@@ -112,6 +112,51 @@ def observed(cands: DataFrame, facts: DataFrame) -> DataFrame:
     return claims.join(facts.select(F.col("entity").alias("cand"), "key", F.col("value").alias("obj")), ["cand", "key"], "left").select("answer", "cand", "pos", "score", "key", "claim", "obj")
 
 
+def profiles(facts: DataFrame, edges: DataFrame, policy: Policy, depth: int = DEPTH) -> DataFrame:
+    """(entity, sets): per key the facts with what is known of each value, and the sets that a claim is held against.
+
+    sets: array of (key, facts: array of (value, canon, up, inside), values, canons, ups, odd). up: the ancestors, of keys in a
+    hierarchy; inside: whether the hierarchy has it; ups: of all values; odd: the canonical values outside of the hierarchy.
+    """
+    # one small table: each broadcast of a table keyed by text takes a page of 64 MB on the driver
+    nothing = F.lit(None).cast("string")
+    nodes = ancestors(edges, depth).select("node", "ancestor").union(edges.select("child", nothing)).union(edges.select("parent", nothing))
+    nodes = nodes.groupBy(F.col("node").alias("canon")).agg(F.collect_set("ancestor").alias("up"), F.lit(True).alias("inside"))
+    rows = facts.select("entity", "key", "value", canonical(F.col("value"), policy).alias("canon")).join(nodes, "canon", "left")
+    tree = F.col("key").isin(*policy.hierarchical) if policy.hierarchical else F.lit(False)
+    one = F.struct("value", "canon", F.coalesce(F.when(tree, F.col("up")), F.array().cast("array<string>")).alias("up"), F.coalesce("inside", F.lit(False)).alias("inside"))
+    per = rows.groupBy("entity", "key").agg(F.collect_set(one).alias("facts"))
+    of = lambda name: F.transform("facts", lambda x: x[name])
+    odd = F.transform(F.filter("facts", lambda x: ~x.inside), lambda x: x.canon)
+    per = per.select("entity", F.struct("key", "facts", of("value").alias("values"), of("canon").alias("canons"), F.array_distinct(F.flatten(of("up"))).alias("ups"), odd.alias("odd")).alias("set"))
+    return per.groupBy("entity").agg(F.collect_list("set").alias("sets"))
+
+
+def _flags(policy: Policy) -> list[Column]:
+    """What classify() says of the claim `c` against any value of the candidate's sets `t`, without pairs as rows.
+
+    supported holds first; over and unmodelled are read only where a claim is not supported, unmodelled only where it isn't over,
+    so that values which a relation of higher precedence takes need no second look.
+    """
+    key, a = F.col("key"), F.col("c.canon")
+    none, yes = F.array().cast("array<string>"), F.lit(policy.available)
+
+    def partners(rules: list[tuple[Column, str]]) -> Column:
+        return F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in rules])).cast("array<string>") if rules else none
+
+    in_ = lambda keys: key.isin(*keys) if keys else F.lit(False)
+    scoped = partners([(((key == k) & (a == x)), y) for k, p, q in policy.scoped for x, y in ((p, q), (q, p))])
+    apart = partners([(a == x, y) for p, q in policy.disjoint for x, y in ((p, q), (q, p))])
+    excluded = partners([((key == k) & (F.col("c.value") == x), y) for k, values in policy.exclusive for x in values for y in values if x != y])
+    meets = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))
+    has = lambda x, y: F.coalesce(F.array_contains(x, y), F.lit(False))
+    left = lambda x: F.coalesce(F.size(F.array_except(x, apart)) > 0, F.lit(False))
+    supported = has("t.values", F.col("c.value")) | has("t.canons", a) | (yes & (meets("t.canons", scoped) | (in_(policy.hierarchical) & has("t.ups", a))))
+    over = yes & in_(policy.hierarchical) & meets("t.canons", F.col("c.up"))
+    unmodelled = yes & in_(policy.covered) & ((~F.col("c.inside") & left("t.canons")) | left("t.odd"))
+    return [supported.alias("supported"), over.alias("over"), unmodelled.alias("unmodelled"), (~yes & F.coalesce(F.size("t.values") > 0, F.lit(False))).alias("unavailable"), meets("t.values", excluded).alias("excluded")]
+
+
 def evidence(cands: DataFrame, facts: DataFrame, edges: DataFrame, policy: Policy, rules: DataFrame | None = None) -> DataFrame:
     """(answer, cand, pos, score, key, value, level, reason, basis, risk): the one place where a level is decided.
 
@@ -120,28 +165,23 @@ def evidence(cands: DataFrame, facts: DataFrame, edges: DataFrame, policy: Polic
     claim. Else L1, annotated where the key is single-valued in the answer's scope (rules: answer, key, status ACTIVE,
     most) and the candidate keeps to it.
     """
-    rows = observed(cands, facts)
-    rel = classify(rows.where("obj is not null"), edges, policy)
-    rows = rows.join(rel, ["key", "claim", "obj"], "left")
-    excludes = F.lit(False)
-    for key, values in policy.exclusive:
-        excludes = excludes | ((F.col("key") == key) & F.col("claim").isin(*values) & F.col("obj").isin(*values) & (F.col("claim") != F.col("obj")))
-    is_ = lambda *names: F.coalesce(F.bool_or(F.col("relation").isin(*names)), F.lit(False))
-    rows = rows.groupBy("answer", "cand", "pos", "score", "key", F.col("claim").alias("value")).agg(
-        F.count("obj").alias("n"), is_(*SUPPORTS).alias("supported"), is_("CLAIM_UNDER_CANDIDATE").alias("over"), is_("HIERARCHY_NOT_MODELLED").alias("unmodelled"), is_("UNAVAILABLE").alias("unavailable"),
-        F.coalesce(F.bool_or(excludes), F.lit(False)).alias("excluded"))
+    known = profiles(facts, edges, policy)
+    rows = cands.select("answer", "cand", "pos", "score").join(known.select(F.col("entity").alias("answer"), F.col("sets").alias("own")).hint("merge"), "answer").join(known.select(F.col("entity").alias("cand"), F.map_from_entries(F.transform("sets", lambda x: F.struct(x.key, x.dropFields("facts")))).alias("theirs")).hint("merge"), "cand", "left")
+    if rules is not None:
+        active = rules.where("status = 'ACTIVE'").groupBy("answer").agg(F.map_from_entries(F.collect_list(F.struct("key", "most"))).alias("most"))
+        rows = rows.join(active.hint("merge"), "answer", "left")
+    else:
+        rows = rows.withColumn("most", F.lit(None).cast("map<string,bigint>"))
+    base = ["answer", "cand", "pos", "score"]
+    rows = rows.select(*base, "theirs", "most", F.explode("own").alias("o")).select(*base, F.col("o.key").alias("key"), F.col("theirs")[F.col("o.key")].alias("t"), F.col("most")[F.col("o.key")].alias("rule_most"), F.explode("o.facts").alias("c"))
+    rows = rows.select(*base, "key", F.col("c.value").alias("value"), F.coalesce(F.size("t.values"), F.lit(0)).cast("long").alias("n"), *_flags(policy), "rule_most")
     single = F.col("key").isin(*policy.functional) if policy.functional else F.lit(False)
     proof = F.col("excluded") | (single & ~F.col("over") & ~F.col("unmodelled") & ~F.col("unavailable"))
     level = F.when(F.col("n") == 0, 1).when(F.col("supported"), 0).when(proof, 3).otherwise(2)
     rows = rows.withColumn("level", level)
     risk = F.when(F.col("level") <= 1, "NONE").when(F.col("over"), "PRESENT").when(F.col("unavailable"), "UNRESOLVED").when(F.col("unmodelled"), "HIERARCHY_UNMODELLED").otherwise("NONE")
     reason = F.when(F.col("level") == 1, "ABSENCE_ONLY").when(F.col("level") == 0, "SUPPORTED").when(F.col("level") == 3, "FORMAL_CONFLICT").otherwise("POSITIVE_VALUE_CONTRAST")
-    if rules is not None:
-        active = rules.where("status = 'ACTIVE'").select("answer", "key", F.col("most").alias("rule_most"))
-        rows = rows.join(active, ["answer", "key"], "left")
-        scoped = F.col("rule_most").isNotNull() & (F.col("n") <= F.col("rule_most")) & ~F.col("unavailable")
-    else:
-        scoped = F.lit(False)
+    scoped = F.col("rule_most").isNotNull() & (F.col("n") <= F.col("rule_most")) & ~F.col("unavailable")
     basis = F.when(F.col("level") == 3, "FORMAL_PROOF").when((F.col("level") == 2) & scoped, "SCOPED_EMPIRICAL").otherwise("NONE")
     return rows.select("answer", "cand", "pos", "score", "key", "value", "level", reason.alias("reason"), basis.alias("basis"), risk.alias("risk"))
 

@@ -56,7 +56,7 @@ def evidence_status(matrix: DataFrame) -> DataFrame:
 
 def scope_cardinalities(facts: DataFrame, scope: DataFrame) -> DataFrame:
     """(scope, key, support, most, violations): entities with a value, the largest number of values, entities with several."""
-    per = facts.groupBy("entity", "key").agg(F.countDistinct("value").alias("n")).join(scope, "entity")
+    per = facts.groupBy("entity", "key").agg(F.countDistinct("value").alias("n")).join(scope.hint("merge"), "entity")
     return per.groupBy("scope", "key").agg(F.count("*").alias("support"), F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("violations"))
 
 

@@ -21,7 +21,10 @@ def folder(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Written as Parquet and read back: what uses it several times has a short plan, and a lost executor repeats no more than this."""
+    """Written as Parquet and read back: what uses it several times has a short plan, and a lost executor repeats no more than this.
+
+    Joins with it are by sorting: its size on disk says little of its rows, and such a guess would send it through the driver.
+    """
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
