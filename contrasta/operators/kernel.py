@@ -26,21 +26,26 @@ def pool(cands: DataFrame, matrix: DataFrame, most: int) -> DataFrame:
 
 def triples_of(cands: DataFrame) -> DataFrame:
     """(answer, i, j, k, sum_score, min_score, sum_rank): all combinations of three, by position."""
-    c = lambda x: cands.select("answer", F.col("pos").alias(x), F.col("score").alias(f"s{x}"))
-    t = c("i").join(c("j"), "answer").where("i < j").join(c("k"), "answer").where("j < k")
+    rows = cands.groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("all"))
+    after = lambda x: F.filter("all", lambda y: y.pos > F.col(f"{x}.pos"))
+    rows = rows.select("answer", "all", F.explode("all").alias("a")).select("answer", "all", "a", F.explode(after("a")).alias("b")).select("answer", "a", "b", F.explode(after("b")).alias("c"))
+    t = rows.select("answer", *[F.col(f"{x}.{f}").alias(n) for x, p in zip("abc", "ijk", strict=True) for f, n in (("pos", p), ("score", f"s{p}"))])
     return t.select("answer", "i", "j", "k", (F.col("si") + F.col("sj") + F.col("sk")).alias("sum_score"), F.least("si", "sj", "sk").alias("min_score"), (F.col("i") + F.col("j") + F.col("k")).alias("sum_rank"))
 
 
-def by_position(matrix: DataFrame) -> DataFrame:
-    """(answer, key, value, at): each fact with its levels by candidate position."""
-    return matrix.groupBy("answer", "key", "value").agg(F.map_from_entries(F.collect_list(F.struct("pos", "level"))).alias("at"))
+def by_position(matrix: DataFrame, least: int) -> DataFrame:
+    """(answer, facts): one row per answer; array of (key, value, at), `at` having bit p if the fact reaches level `least` at position p, 0 to 62."""
+    at = F.bit_or(F.expr(f"case when level < {least} then 0L when pos between 0 and 62 then shiftleft(1L, pos) else raise_error('positions go from 0 to 62') end"))
+    per = matrix.groupBy("answer", "key", "value").agg(at.alias("at")).where("at > 0")
+    return per.groupBy("answer").agg(F.collect_list(F.struct("key", "value", "at")).alias("facts"))
 
 
 def masks(combos: DataFrame, matrix: DataFrame, least: int) -> DataFrame:
     """(answer, i, j, k, key, value, mask): which of the three candidates each fact covers, as bits; facts that cover any."""
-    rows = combos.select("answer", "i", "j", "k").join(by_position(matrix), "answer")
-    bit = lambda c, b: F.when(F.col("at")[F.col(c)] >= least, b).otherwise(0)
-    rows = rows.select("answer", "i", "j", "k", "key", "value", (bit("i", 1) + bit("j", 2) + bit("k", 4)).alias("mask"))
+    rows = combos.select("answer", "i", "j", "k").join(by_position(matrix, least).hint("merge"), "answer")
+    rows = rows.select("answer", "i", "j", "k", F.explode("facts").alias("f"))
+    bit = lambda c, b: F.when(F.getbit(F.col("f.at"), F.col(c)) == 1, b).otherwise(0)
+    rows = rows.select("answer", "i", "j", "k", "f.key", "f.value", (bit("i", 1) + bit("j", 2) + bit("k", 4)).alias("mask"))
     return rows.where("mask > 0")
 
 
