@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stash import looked_up
+
 #: Relations by which a candidate's value supports the claim.
 SUPPORTS = ("EXACT_EQUAL", "CANONICALLY_EQUIVALENT", "SCOPED_VALUE_EQUIVALENT", "CANDIDATE_UNDER_CLAIM")
 #: Levels in order of strength, as the numbers 0 to 3.
@@ -118,10 +120,13 @@ def profiles(facts: DataFrame, edges: DataFrame, policy: Policy, depth: int = DE
     sets: array of (key, facts: array of (value, canon, up, inside), values, canons, ups, odd). up: the ancestors, of keys in a
     hierarchy; inside: whether the hierarchy has it; ups: of all values; odd: the canonical values outside of the hierarchy.
     """
-    # one small table: each broadcast of a table keyed by text takes a page of 64 MB on the driver
+    # one small table: each broadcast of a table keyed by text takes a page of 64 MB on the driver. Its size is known before the
+    # join is planned: else all facts would be shuffled by their values, of which there are few
+    edges = looked_up(edges)
     nothing = F.lit(None).cast("string")
     nodes = ancestors(edges, depth).select("node", "ancestor").union(edges.select("child", nothing)).union(edges.select("parent", nothing))
     nodes = nodes.groupBy(F.col("node").alias("canon")).agg(F.collect_set("ancestor").alias("up"), F.lit(True).alias("inside"))
+    nodes = looked_up(nodes)
     rows = facts.select("entity", "key", "value", canonical(F.col("value"), policy).alias("canon")).join(nodes, "canon", "left")
     tree = F.col("key").isin(*policy.hierarchical) if policy.hierarchical else F.lit(False)
     one = F.struct("value", "canon", F.coalesce(F.when(tree, F.col("up")), F.array().cast("array<string>")).alias("up"), F.coalesce("inside", F.lit(False)).alias("inside"))
@@ -166,7 +171,9 @@ def evidence(cands: DataFrame, facts: DataFrame, edges: DataFrame, policy: Polic
     most) and the candidate keeps to it.
     """
     known = profiles(facts, edges, policy)
-    rows = cands.select("answer", "cand", "pos", "score").join(known.select(F.col("entity").alias("answer"), F.col("sets").alias("own")).hint("merge"), "answer").join(known.select(F.col("entity").alias("cand"), F.map_from_entries(F.transform("sets", lambda x: F.struct(x.key, x.dropFields("facts")))).alias("theirs")).hint("merge"), "cand", "left")
+    # the candidate's sets first: only they move on to the answer, whose own sets and rules then stay in place
+    rows = cands.select("answer", "cand", "pos", "score").join(known.select(F.col("entity").alias("cand"), F.map_from_entries(F.transform("sets", lambda x: F.struct(x.key, x.dropFields("facts")))).alias("theirs")).hint("merge"), "cand", "left")
+    rows = rows.join(known.select(F.col("entity").alias("answer"), F.col("sets").alias("own")).hint("merge"), "answer")
     if rules is not None:
         active = rules.where("status = 'ACTIVE'").groupBy("answer").agg(F.map_from_entries(F.collect_list(F.struct("key", "most"))).alias("most"))
         rows = rows.join(active.hint("merge"), "answer", "left")

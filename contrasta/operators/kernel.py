@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Policies in order, with the evidence level that covers.
@@ -16,12 +16,12 @@ def pool(cands: DataFrame, matrix: DataFrame, most: int) -> DataFrame:
     """
     head = -(-3 * most // 4)
     strength = matrix.groupBy("answer", "cand").agg(*[F.count_if(F.col("level") == k).alias(f"l{k}") for k in (3, 2, 1)])
-    rows = cands.select("answer", "cand", "pos", "score").join(strength, ["answer", "cand"], "left").na.fill(0, ["l3", "l2", "l1"])
-    ranked = rows.where(F.col("pos") <= head).withColumn("way", F.lit("RANK"))
-    rest = rows.where(F.col("pos") > head)
-    order = Window.partitionBy("answer").orderBy(F.desc("l3"), F.desc("l2"), F.desc("l1"), "pos", "cand")
-    rescued = rest.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most - head).drop("turn").withColumn("way", F.lit("RESCUE"))
-    return ranked.unionByName(rescued).select("answer", "cand", "pos", "score", "way")
+    rows = cands.select("answer", "cand", "pos", "score").join(strength.hint("merge"), ["answer", "cand"], "left").na.fill(0, ["l3", "l2", "l1"])
+    first = F.col("pos") <= head
+    # both parts in one pass over the evidence
+    order = Window.partitionBy("answer", first).orderBy(F.desc("l3"), F.desc("l2"), F.desc("l1"), "pos", "cand")
+    rows = rows.withColumn("turn", F.row_number().over(order)).where(first | (F.col("turn") <= most - head))
+    return rows.select("answer", "cand", "pos", "score", F.when(first, "RANK").otherwise("RESCUE").alias("way"))
 
 
 def triples_of(cands: DataFrame) -> DataFrame:
@@ -55,13 +55,32 @@ def cover_size(masks: DataFrame) -> DataFrame:
     For three candidates the least cover has a closed form over the set of masks that occur.
     """
     sig = masks.groupBy("answer", "i", "j", "k").agg(F.bit_or(F.expr("shiftleft(1, mask)")).alias("signature"))
-    has = lambda *m: F.lit(True) if not m else F.reduce(F.array(*[F.col("signature").bitwiseAND(F.lit(1 << x)) != 0 for x in m]), F.lit(True), lambda a, b: a & b)
-    two = [(1, 6), (2, 5), (4, 3), (3, 5), (3, 6), (5, 6)]
-    pair = has(*two[0])
-    for x in two[1:]:
-        pair = pair | has(*x)
-    size = F.when(has(7), 1).when(pair, 2).when(has(1, 2, 4), 3).otherwise(4)
-    return sig.withColumn("size", size)
+    return sig.withColumn("size", size_of(F.col("signature")))
+
+
+def size_of(signature: Column) -> Column:
+    """How few of the masks whose bits `signature` has cover all three candidates; 4: they don't."""
+    has = lambda *m: signature.bitwiseAND(F.lit(sum(1 << x for x in m))) == sum(1 << x for x in m)
+    pair = has(1, 6) | has(2, 5) | has(4, 3) | has(3, 5) | has(3, 6) | has(5, 6)
+    return F.when(has(7), 1).when(pair, 2).when(has(1, 2, 4), 3).otherwise(4)
+
+
+def combinations(places: Column) -> Column:
+    """All (i, j, k, sum_score, min_score, sum_rank) of an array of (pos, score) that is sorted by pos."""
+    after = lambda x: F.filter(places, lambda y: y.pos > x.pos)
+    one = lambda a, b, c: F.struct(a.pos.alias("i"), b.pos.alias("j"), c.pos.alias("k"), F.round(a.score + b.score + c.score, 9).alias("sum_score"), F.round(F.least(a.score, b.score, c.score), 9).alias("min_score"), (a.pos + b.pos + c.pos).alias("sum_rank"))
+    return F.flatten(F.transform(places, lambda a: F.flatten(F.transform(after(a), lambda b: F.transform(after(b), lambda c: one(a, b, c))))))
+
+
+def mask_of(at: Column, combo: Column) -> Column:
+    """Which of a combination's three candidates have their bit in `at`."""
+    bit = lambda c, b: F.getbit(at, combo[c]).cast("int") * b
+    return bit("i", 1) + bit("j", 2) + bit("k", 4)
+
+
+def size_at(ats: Column, combo: Column) -> Column:
+    """size_of() of a combination from an array of facts' bits by position, without a row per fact."""
+    return F.aggregate(ats, F.lit(0), lambda s, at: s.bitwiseOR(F.call_function("shiftleft", F.lit(1), mask_of(at, combo))), size_of)
 
 
 def count_minimum(masks: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -1,63 +1,117 @@
 """Least rationales of a combination of candidates, their ranking keys, and selection by the whole objective.
 
-A rationale is a set of facts, given as an array of fact names, that tells the answer from all three candidates. Only the
-combinations that tie on the cheap fields of the objective are given rationales.
+A rationale is a set of facts that tells the answer from all three candidates. An answer is one row: its candidates, and its facts with a
+bit per position for each thing that is known of them there, so that combinations, covers and keys need no row per cell and no
+joins. Only the combinations that tie on the cheap fields of the objective are given rationales.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stash import stash
-from .kernel import POLICIES, cover_size, masks, triples_of
+from .kernel import POLICIES, combinations, mask_of, size_at
 
 TRIPLE = ("answer", "i", "j", "k")
 
 
-def named(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("fact", F.concat_ws("|", "key", "value"))
-
-
-def qualities(matrix: DataFrame, tiers: dict[str, int], unspoken: tuple[str, ...] = (), soft: Column | None = None) -> DataFrame:
-    """(answer, fact, key, value, tier, unverbal, soft, label_length, tokens): what is known of each answer fact by itself."""
-    facts = named(matrix.select("answer", "key", "value").distinct())
-    tier = F.coalesce(F.create_map(*[F.lit(x) for p in sorted(tiers.items()) for x in p])[F.col("key")], F.lit(3))
-    words = F.size(F.regexp_extract_all(F.lower("value"), F.lit("([a-z0-9]+)"), 1))
-    unverbal = F.col("key").isin(*unspoken) if unspoken else F.lit(False)
-    return facts.select("answer", "fact", "key", "value", tier.alias("tier"), unverbal.cast("int").alias("unverbal"), (soft if soft is not None else F.lit(False)).cast("int").alias("soft"), F.char_length("value").alias("label_length"), words.alias("tokens"))
-
-
-def minimum_rationales(covering: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(answer, i, j, k, size, facts): all sets of least size whose masks cover the triple; sizes above 3 have none."""
-    rows = named(covering).join(sizes.where("size <= 3").select(*TRIPLE, "size"), [*TRIPLE]).select(*TRIPLE, "size", "fact", "mask")
-    side = lambda s: rows.select(*TRIPLE, "size", F.col("fact").alias(f"f{s}"), F.col("mask").alias(f"m{s}"))
-    key = [*TRIPLE, "size"]
-    one = rows.where("size = 1 and mask = 7").select(*key, F.array("fact").alias("facts"))
-    both = side(1).where("size > 1").join(side(2), key).where("f1 < f2")
-    two = both.where("size = 2 and (m1 | m2) = 7").select(*key, F.array("f1", "f2").alias("facts"))
-    three = both.where("size = 3").join(side(3), key).where("f2 < f3 and (m1 | m2 | m3) = 7").select(*key, F.array("f1", "f2", "f3").alias("facts"))
-    return one.union(two).union(three)
-
-
-def build(rationales: DataFrame, matrix: DataFrame, facts: DataFrame, least: int) -> DataFrame:
-    """`rationales` with every component of their ranking keys; incidences count from level `least` on."""
-    rows = rationales.select(*TRIPLE, "size", "facts", F.explode("facts").alias("fact"))
-    cells = named(matrix).select("answer", "cand", "pos", "fact", "level", "basis", "risk")
-    at = rows.join(cells, ["answer", "fact"])
-    own = at.withColumn("chosen", F.col("pos").isin(F.col("i"), F.col("j"), F.col("k")))
-    per = own.groupBy(*TRIPLE, "size", "facts", "cand").agg(
-        F.max("level").alias("best"), F.first("chosen").alias("chosen"), *[F.count_if(F.col("chosen") & (F.col("level") == n) & (F.col("level") >= least)).alias(f"l{n - 1}") for n in (1, 2, 3)],
-        F.count_if(F.col("chosen") & (F.col("level") >= least) & (F.col("basis") == "SCOPED_EMPIRICAL")).alias("scoped"), F.count_if(F.col("chosen") & (F.col("level") >= least) & (F.col("risk") != "NONE")).alias("risk"))
-    key = [*TRIPLE, "size", "facts"]
-    sums = per.groupBy(*key).agg(F.min(F.when(F.col("chosen"), F.col("best"))).alias("min_level"), *[F.sum(c).alias(c) for c in ("l0", "l1", "l2", "scoped", "risk")], (1 + F.count_if(F.col("best") == 0)).alias("anonymity"))
-    own = rows.join(facts, ["answer", "fact"])
-    options = cells.select("answer", "cand", "pos").distinct()
-    conflict = own.join(options, "answer").where(F.col("pos").isin(F.col("i"), F.col("j"), F.col("k")) & (F.col("value") == F.col("cand").cast("string"))).groupBy(*key).agg(F.countDistinct("fact").alias("conflicts"))
-    each = own.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("soft", "tier", "unverbal", "label_length", "tokens")], F.collect_list("key").alias("keys"))
-    out = sums.join(each, key).join(conflict, key, "left")
-    repeats = F.aggregate(F.array_distinct("keys"), F.lit(0), lambda s, x: s + (F.size(F.filter("keys", lambda y: y == x)) * (F.size(F.filter("keys", lambda y: y == x)) - 1) / 2).cast("int"))
-    return out.select(*key, "min_level", "l2", "l1", "l0", "scoped", "risk", F.coalesce("conflicts", F.lit(0)).alias("conflicts"), "soft", "tier", "unverbal", "label_length", "tokens", repeats.alias("repeats"), "anonymity", (F.col("anonymity") == 1).cast("int").alias("direct"))
+def by_answer(cands: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(answer, places, every, facts): one row per answer with facts.
+
+    places: array of (pos, score), in order; every: the bits of the positions. facts: array of (fact, key, value, at1, at2, at3,
+    scoped, risk, same), in the order of their names: the positions at which a fact reaches level 1, 2, 3, has a scoped
+    basis, a risk, or is the candidate's own name.
+    """
+    bits = lambda c, name: F.bit_or(F.when(~c, F.lit(0).cast("long")).otherwise(F.expr("case when pos between 0 and 62 then shiftleft(1L, pos) else raise_error('positions go from 0 to 62') end"))).alias(name)
+    level = F.col("level")
+    known = [bits(level >= n, f"at{n}") for n in (1, 2, 3)]
+    known += [bits(F.col("basis") == "SCOPED_EMPIRICAL", "scoped"), bits(F.col("risk") != "NONE", "risk")] if "basis" in matrix.columns else []
+    per = matrix.groupBy("answer", "key", "value").agg(*known, bits(F.coalesce(F.col("value") == F.col("cand").cast("string"), F.lit(False)), "same"))
+    names = [c for c in per.columns if c != "answer"]
+    facts = per.groupBy("answer").agg(F.array_sort(F.collect_list(F.struct(F.concat_ws("|", "key", "value").alias("fact"), *names))).alias("facts"))
+    places = cands.groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("places"), bits(F.lit(True), "every"))
+    return places.join(facts.hint("merge"), "answer")
+
+
+def _ats(least: int) -> Column:
+    """The distinct position bits of an answer's facts at a level: all that sizes of covers depend on."""
+    return F.array_distinct(F.transform("facts", lambda f: f[f"at{least}"]))
+
+
+def strongest_level(cands: DataFrame, matrix: DataFrame, least: int = 1) -> DataFrame:
+    """(answer, i, j, k, size, level): the strongest level from `least` on whose least cover is no larger than that of `least`."""
+    rows = by_answer(cands, matrix).select("answer", "places", *[_ats(n).alias(f"ats{n}") for n in range(least, 4)])
+    sized = F.transform(combinations(F.col("places")), lambda c: F.struct(c.i.alias("i"), c.j.alias("j"), c.k.alias("k"), *[size_at(F.col(f"ats{n}"), c).alias(f"s{n}") for n in range(least, 4)]))
+    rows = rows.select("answer", F.explode(sized).alias("c")).select("answer", "c.*").where(f"s{least} <= 3")
+    level = F.lit(least)
+    for n in range(least + 1, 4):
+        level = F.when(F.col(f"s{n}") == F.col(f"s{least}"), n).otherwise(level)
+    return rows.select(*TRIPLE, F.col(f"s{least}").alias("size"), level.alias("level"))
+
+
+def prefix_best(rows: DataFrame) -> DataFrame:
+    """(.., policy, least, i, j, k, size, sum_score, sum_rank): by_answer() with, under an answer's first feasible policy, all combinations that are best by score sum, least score and cover size."""
+    rows = rows.withColumns({f"ats{least}": _ats(least) for _, least in POLICIES}).withColumn("all", combinations(F.col("places")))
+    for _, least in POLICIES:
+        one = lambda c: F.struct(F.struct((-c.sum_score).alias("a"), (-c.min_score).alias("b"), size_at(F.col(f"ats{least}"), c).alias("size")).alias("top"), c.alias("c"))  # noqa: E731, B023  called at once
+        rows = rows.withColumn(f"found{least}", F.filter(F.transform("all", one), lambda x: x.top.size <= 3))
+    case = lambda of: F.coalesce(*[F.when(F.size(f"found{n}") > 0, of(name, n)) for name, n in POLICIES])
+    rows = rows.select("answer", "every", "facts", case(lambda name, n: F.lit(name)).alias("policy"), case(lambda name, n: F.lit(n)).alias("least"), case(lambda name, n: F.col(f"found{n}")).alias("found"))
+    rows = rows.where("policy is not null").withColumn("best", F.array_min("found").top)
+    rows = rows.select("answer", "every", "facts", "policy", "least", F.explode(F.filter("found", lambda x: x.top == F.col("best"))).alias("x"))
+    return rows.select("answer", "every", "facts", "policy", "least", "x.c.i", "x.c.j", "x.c.k", "x.top.size", "x.c.sum_score", "x.c.sum_rank")
+
+
+def minimum_rationales(rows: DataFrame) -> DataFrame:
+    """prefix_best() with `some`, a row for every set of facts of least size whose masks cover the triple."""
+    at = lambda f: F.when(F.col("least") == 3, f.at3).when(F.col("least") == 2, f.at2).otherwise(f.at1)
+    combo = F.struct("i", "j", "k")
+    rows = rows.withColumn("facts", F.transform("facts", lambda f: f.withField("at", at(f)).withField("mask", mask_of(at(f), combo))))
+    rows = rows.withColumn("facts", F.filter("facts", lambda f: f["mask"] > 0))
+    more = lambda then, f, g: (g.fact > f.fact) & (~then | (f["mask"].bitwiseOR(g["mask"]) == 7))
+    one = F.transform(F.filter("facts", lambda f: f["mask"] == 7), lambda f: F.array(f))
+    two = F.flatten(F.transform("facts", lambda f: F.transform(F.filter("facts", lambda g: more(F.lit(True), f, g)), lambda g: F.array(f, g))))
+    third = lambda f, g: F.filter("facts", lambda h: (h.fact > g.fact) & (f["mask"].bitwiseOR(g["mask"]).bitwiseOR(h["mask"]) == 7))
+    three = F.flatten(F.transform("facts", lambda f: F.flatten(F.transform(F.filter("facts", lambda g: more(F.lit(False), f, g)), lambda g: F.transform(third(f, g), lambda h: F.array(f, g, h))))))
+    return rows.withColumn("some", F.explode(F.when(F.col("size") == 1, one).when(F.col("size") == 2, two).otherwise(three))).drop("facts")
+
+
+def build(rows: DataFrame, tiers: dict[str, int], unspoken: tuple[str, ...] = (), soft: Callable[[Column], Column] | None = None) -> DataFrame:
+    """minimum_rationales() with the names of the facts and every component of their ranking keys; incidences count from the answer's level `least` on."""
+    chosen = F.expr("shiftleft(1L, i) | shiftleft(1L, j) | shiftleft(1L, k)")
+    rows = rows.withColumn("chosen", chosen)
+    zero, least = F.lit(0).cast("long"), F.col("least")
+    total = lambda of: F.aggregate("some", zero, lambda s, f: s + of(f).cast("long"))
+    count = lambda of: total(lambda f: F.bit_count(of(f).bitwiseAND(F.col("chosen"))))
+    union = lambda c: F.aggregate("some", zero, lambda s, f: s.bitwiseOR(f[c]))
+    without = lambda x, y: x.bitwiseAND(F.bitwise_not(y))
+    rows = rows.withColumns({f"u{n}": union(f"at{n}") for n in (1, 2, 3)})
+    told = lambda n: F.col(f"u{n}").bitwiseAND(F.col("chosen")) == F.col("chosen")
+    known = F.create_map(*[F.lit(x) for p in sorted(tiers.items()) for x in p])
+    tier = lambda f: F.coalesce(known[f.key], F.lit(3))
+    words = lambda f: F.size(F.regexp_extract_all(F.lower(f.value), F.lit("([a-z0-9]+)"), F.lit(1)))
+    keys = F.transform("some", lambda f: f.key)
+    fields = {
+        "min_level": F.when(told(3), 3).when(told(2), 2).when(told(1), 1).otherwise(0),
+        "l2": count(lambda f: f.at3),
+        "l1": F.when(least <= 2, count(lambda f: without(f.at2, f.at3))).otherwise(zero),
+        "l0": F.when(least <= 1, count(lambda f: without(f.at1, f.at2))).otherwise(zero),
+        "scoped": count(lambda f: f["at"].bitwiseAND(f.scoped)),
+        "risk": count(lambda f: f["at"].bitwiseAND(f.risk)),
+        "conflicts": F.size(F.filter("some", lambda f: f.same.bitwiseAND(F.col("chosen")) != 0)).cast("long"),
+        "soft": total(soft) if soft else zero,
+        "tier": total(tier),
+        "unverbal": total(lambda f: f.key.isin(*unspoken)) if unspoken else zero,
+        "label_length": total(lambda f: F.char_length(f.value)),
+        "tokens": total(words),
+        "repeats": F.when(F.size(keys) == 1, 0).when(F.size(keys) == 2, F.when(keys[0] == keys[1], 1).otherwise(0)).otherwise(F.element_at(F.array(F.lit(3), F.lit(1), F.lit(0)), F.size(F.array_distinct(keys)))),
+        "anonymity": 1 + F.bit_count(without(F.col("every"), F.col("u1"))).cast("long"),
+    }
+    own = ["policy", "size", "sum_score", "sum_rank"]
+    out = rows.select(*TRIPLE, *own, F.transform("some", lambda f: f.fact).alias("facts"), *[c.alias(n) for n, c in fields.items()])
+    return out.withColumn("direct", (F.col("anonymity") == 1).cast("int"))
 
 
 def ranking_key(version: int = 1) -> Column:
@@ -68,44 +122,23 @@ def ranking_key(version: int = 1) -> Column:
     return F.struct(*head, *middle, *[F.col(c) for c in ("soft", "tier", "unverbal", "label_length", "tokens", "repeats", "direct", "facts")])
 
 
-def strongest_level(by_level: dict[int, DataFrame], least: int) -> DataFrame:
-    """(answer, i, j, k, level): the strongest level from `least` on whose least cover is no larger than that of `least`. by_level: cover_size() of each level."""
-    out = by_level[least].where("size <= 3").select(*TRIPLE, "size")
-    level = F.lit(least)
-    for n in range(least + 1, 4):
-        out = out.join(by_level[n].select(*TRIPLE, F.col("size").alias(f"s{n}")), [*TRIPLE], "left")
-        level = F.when(F.col(f"s{n}") == F.col("size"), n).otherwise(level)
-    return out.select(*TRIPLE, "size", level.alias("level"))
+def rationales(cands: DataFrame, matrix: DataFrame, tiers: dict[str, int], unspoken: tuple[str, ...] = ()) -> DataFrame:
+    """(answer, i, j, k, policy, size, sum_score, sum_rank, facts, fields of ranking_key()..): all least rationales of the combinations that tie on the cheap fields."""
+    return build(minimum_rationales(prefix_best(by_answer(cands, matrix))), tiers, unspoken)
 
 
-def prefix_best(cands: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(answer, i, j, k, size, sum_score, sum_rank, policy, least): under an answer's first feasible policy all combinations that are best by score sum, least score and cover size."""
-    combos = triples_of(cands).withColumns({"sum_score": F.round("sum_score", 9), "min_score": F.round("min_score", 9)})
-    best = None
-    for turn, (name, least) in enumerate(POLICIES):
-        found = combos.join(stash(cover_size(masks(combos, matrix, least)).where("size <= 3")), [*TRIPLE])
-        prefix = F.struct((-F.col("sum_score")).alias("a"), (-F.col("min_score")).alias("b"), "size")
-        top = found.groupBy("answer").agg(F.min(prefix).alias("top"))
-        found = found.join(top, "answer").where(prefix == F.col("top")).select(*TRIPLE, "size", "sum_score", "sum_rank").withColumns({"turn": F.lit(turn), "policy": F.lit(name), "least": F.lit(least)})
-        best = found if best is None else best.union(found)
-    return best.join(best.groupBy("answer").agg(F.min("turn").alias("turn")), ["answer", "turn"]).drop("turn")
+def of_chosen(rationales: DataFrame, version: int = 1) -> DataFrame:
+    """`rationales` of each answer's chosen combination alone: by rationale key, smallest rank sum, positions."""
+    best = F.min(F.struct(ranking_key(version).alias("key4"), "sum_rank", "i", "j", "k")).over(Window.partitionBy("answer"))
+    return rationales.withColumn("best", best).where("i = best.i and j = best.j and k = best.k").drop("best")
 
 
-def select(cands: DataFrame, matrix: DataFrame, facts: DataFrame, version: int = 1) -> DataFrame:
+def select(rationales: DataFrame, version: int = 1) -> DataFrame:
     """(answer, policy, i, j, k, size, sum_score, facts, ties): per answer the best combination under the first policy that has one.
 
     Order: largest score sum, largest least score, smallest cover, rationale key, smallest rank sum, positions. ties: how many
     combinations tie up to the rationale key.
     """
-    matrix, facts = stash(matrix), stash(facts)
-    chosen = stash(prefix_best(stash(cands), matrix))
-    out = None
-    for _, least in POLICIES:
-        mine = chosen.where(F.col("least") == least)
-        covering = stash(masks(mine, matrix, least))
-        built = build(stash(minimum_rationales(covering, mine)), matrix, facts, least).join(mine.select(*TRIPLE, "sum_score", "sum_rank", "policy"), [*TRIPLE])
-        per = built.groupBy(*TRIPLE).agg(F.min_by(F.struct("size", "sum_score", "sum_rank", "policy", "facts"), ranking_key(version)).alias("x"), F.min(ranking_key(version)).alias("key4"))
-        one = per.groupBy("answer").agg(F.min_by(F.struct("i", "j", "k", "x"), F.struct("key4", "x.sum_rank", "i", "j", "k")).alias("w"), F.min("key4").alias("least_key"), F.collect_list("key4").alias("all_keys"))
-        one = one.select("answer", "w.x.policy", "w.i", "w.j", "w.k", "w.x.size", "w.x.sum_score", "w.x.facts", F.size(F.filter("all_keys", lambda x: x == F.col("least_key"))).alias("ties"))
-        out = one if out is None else out.union(one)
-    return out
+    per = rationales.groupBy(*TRIPLE).agg(F.min_by(F.struct("size", "sum_score", "sum_rank", "policy", "facts"), ranking_key(version)).alias("x"), F.min(ranking_key(version)).alias("key4"))
+    one = per.groupBy("answer").agg(F.min_by(F.struct("i", "j", "k", "x"), F.struct("key4", "x.sum_rank", "i", "j", "k")).alias("w"), F.min("key4").alias("least_key"), F.collect_list("key4").alias("all_keys"))
+    return one.select("answer", "w.x.policy", "w.i", "w.j", "w.k", "w.x.size", "w.x.sum_score", "w.x.facts", F.size(F.filter("all_keys", lambda x: x == F.col("least_key"))).alias("ties"))
