@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stash import looked_up
+
 #: The letters of the choices, A being the answer; choice i is bit i.
 LETTERS = "ABCD"
 ANSWER, ALL = 1, (1 << len(LETTERS)) - 1
@@ -42,15 +44,21 @@ def universe(edges: DataFrame, ancestors: DataFrame, modelled: DataFrame, hierar
     edges = edges.where("family is not null and node is not null")
     known = modelled.select("node").distinct().withColumn("inside", F.lit(True))
     own = edges.groupBy("item", "family", "node").agg(F.bit_or(bit).alias("own"), F.min("tier").alias("tier"), F.min(F.col("verbal").cast("int")).alias("verbal"), F.max(F.col("soft").cast("int")).alias("soft"), F.min(F.col("eligible").cast("int")).alias("eligible"))
-    own = own.join(known, "node", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    # each node is also offered to those above it: what arrives there from below is contained
-    up = own.join(ancestors.select("node", "ancestor").distinct(), "node")
-    below = up.groupBy("item", "family", F.col("ancestor").alias("node")).agg(F.bit_or("own").alias("below"))
-    above = up.select("item", "family", F.col("node").alias("child"), F.col("ancestor").alias("node")).join(own.select("item", "family", "node", "own"), ["item", "family", "node"])
-    above = above.groupBy("item", "family", F.col("child").alias("node")).agg(F.bit_or("own").alias("above"))
-    groups = own.join(below, ["item", "family", "node"], "left").join(above, ["item", "family", "node"], "left")
+    lookup = ancestors.select("node", "ancestor").distinct().groupBy("node").agg(F.collect_set("ancestor").alias("ups"))
+    lookup = looked_up(lookup.join(known, "node", "full"))
+    own = own.join(lookup, "node", "left").select("item", "family", "node", "own", "tier", "verbal", "soft", "eligible", F.coalesce("ups", F.array().cast("array<string>")).alias("ups"), F.coalesce("inside", F.lit(False)).cast("int").alias("inside"))
+    # each node is also offered to those above it: what arrives there from below is contained, and learns there what is above. Rows
+    # stay with their item, so neither step is a join
+    facts = ["own", "tier", "verbal", "soft", "eligible", "inside"]
+    target = F.explode(F.concat(F.array(F.struct(F.col("node").alias("to"), F.lit(True).alias("self"))), F.transform("ups", lambda u: F.struct(u.alias("to"), F.lit(False).alias("self")))))
+    sent = own.select("item", "family", "node", *facts, target.alias("t")).select("item", "family", F.col("t.to").alias("node"), "t.self", F.col("node").alias("child"), *facts)
+    if_self = lambda c: F.max(F.when(F.col("self"), F.col(c))).alias(c)
+    there = sent.groupBy("item", "family", "node").agg(*[if_self(c) for c in facts], F.bit_or(F.when(~F.col("self"), F.col("own"))).alias("below"), F.collect_list(F.when(~F.col("self"), F.col("child"))).alias("children")).where("own is not null")
+    target = F.explode(F.concat(F.array(F.struct(F.col("node").alias("to"), F.lit(True).alias("self"))), F.transform("children", lambda u: F.struct(u.alias("to"), F.lit(False).alias("self")))))
+    sent = there.select("item", "family", *facts, "below", target.alias("t")).select("item", "family", F.col("t.to").alias("node"), "t.self", *facts, "below")
+    groups = sent.groupBy("item", "family", "node").agg(*[if_self(c) for c in [*facts, "below"]], F.bit_or(F.when(~F.col("self"), F.col("own"))).alias("above"))
     family = Window.partitionBy("item", "family")
-    groups = groups.withColumns({"has": F.bit_or("own").over(family), "odd": F.bit_or(F.when(F.col("inside"), F.lit(0)).otherwise(F.col("own"))).over(family), "below": F.coalesce("below", F.lit(0)), "above": F.coalesce("above", F.lit(0))})
+    groups = groups.withColumns({"has": F.bit_or("own").over(family), "odd": F.bit_or(F.when(F.col("inside") == 1, F.lit(0)).otherwise(F.col("own"))).over(family), "inside": F.col("inside") == 1, "below": F.coalesce("below", F.lit(0)), "above": F.coalesce("above", F.lit(0))})
     groups = groups.withColumns({"absent": F.expr(f"{ALL} & ~has"), "contained": F.expr("below & ~own")})
     groups = groups.withColumn("alternative", F.expr(f"{ALL} & ~own & ~absent & ~contained"))
     groups = groups.withColumn("risk_present", F.expr("alternative & above"))
@@ -69,10 +77,11 @@ def tiers(groups: DataFrame, rationale: DataFrame) -> DataFrame:
     owns which the rationale tells from the answer by that family (alt_for); the others OPTIONAL. place: 0, 1, .. in the
     canonical order of the item's groups.
     """
-    own = rationale.select("item", "family", "node").distinct().withColumn("mandatory", F.lit(True))
-    covers = rationale.groupBy("item", "family").agg(F.bit_or("covers").alias("told"))
-    rows = groups.join(own, ["item", "family", "node"], "left").join(covers, ["item", "family"], "left")
-    rows = rows.withColumn("alt_for", F.expr(f"own & coalesce(told, 0) & ~{ANSWER}"))
+    # an item's rationale is a few facts: one row of them, so that groups move once, by item
+    told = rationale.groupBy("item").agg(F.collect_list(F.struct("family", "node", "covers")).alias("told"))
+    rows = groups.join(told.hint("merge"), "item", "left").withColumn("told", F.filter(F.coalesce("told", F.array().cast(told.schema["told"].dataType)), lambda x: x.family == F.col("family")))
+    rows = rows.withColumns({"mandatory": F.exists("told", lambda x: x.node == F.col("node")), "told": F.aggregate("told", F.lit(0).cast(told.schema["told"].dataType.elementType["covers"].dataType), lambda s, x: s.bitwiseOR(x.covers))})
+    rows = rows.withColumn("alt_for", F.expr(f"own & told & ~{ANSWER}"))
     role = F.when(F.col("mandatory"), "MANDATORY").when(~F.col("eligible"), "EXCLUDED").when(F.col("alt_for") > 0, "ALTERNATIVE").otherwise("OPTIONAL")
     rows = rows.withColumn("role", role).drop("mandatory", "told")
     rank = F.when(F.col("role") == "MANDATORY", 0).when(F.col("role") == "ALTERNATIVE", 1).when(F.col("role") == "OPTIONAL", 2).otherwise(3)
@@ -116,9 +125,9 @@ def bound_optional(groups: DataFrame, most: int | None, per_family: int | None =
     if most is None:
         return groups
     optional = F.col("role") == "OPTIONAL"
-    key = [F.desc(_bits(F.col("own"))), "tier", F.desc("verbal"), tokens(F.col("node")), F.char_length("node"), "family", "node"]
+    key = [F.desc(_bits(F.col("own"))), "tier", F.desc("verbal"), "words", F.char_length("node"), "family", "node"]
     at = lambda *by: F.row_number().over(Window.partitionBy("item", "role", *by).orderBy(*key))
-    rows = groups.withColumn("turn", at())
+    rows = groups.withColumn("words", tokens(F.col("node"))).withColumn("turn", at())
     keep = ~optional | (F.col("turn") <= most)
     if per_family or per_letter:
         fixed = F.max(F.col("role").isin("MANDATORY", "ALTERNATIVE")).over(Window.partitionBy("item", "node"))
@@ -132,7 +141,7 @@ def bound_optional(groups: DataFrame, most: int | None, per_family: int | None =
         rest = F.sum(F.when(optional & ~F.col("stratum"), 1).otherwise(0)).over(Window.partitionBy("item").orderBy("role", "turn").rowsBetween(Window.unboundedPreceding, 0))
         held = F.sum(F.when(optional & F.col("stratum"), 1).otherwise(0)).over(Window.partitionBy("item"))
         keep = ~optional | F.col("stratum") | (rest + held <= most)
-    return rows.withColumn("keep", keep).where("keep").drop("turn", "keep", "stratum")
+    return rows.withColumn("keep", keep).where("keep").drop("turn", "keep", "stratum", "words")
 
 
 # -- exact selection -------------------------------------------------------------------------------------------------
@@ -297,24 +306,26 @@ def solve_after(groups: Sequence[Group], given: Given, budget: int, answer_only:
 RESULT = "status string, chosen array<int>, key array<int>, nodes_searched long"
 
 
-def _given(pdf: pd.DataFrame) -> Given:
-    m = pdf[pdf["role"] == "MANDATORY"]
-    letters = 0
-    for own in m["own"]:
-        letters |= int(own)
-    return Given(letters, frozenset(m["family"]), frozenset(m["node"]))
-
+def _in_batches(groups: DataFrame, wanted: Column, solve: Callable[[list[Group], Given], tuple[str, list[Group] | None, int]], key: Callable) -> DataFrame:
+    """One row per item, of RESULT: its mandatory groups summed up, its `wanted` ones an array, and whole batches of items to a task's Python."""
+    rows = groups.select("item", "place", "family", "node", "own", "absent", "risk_present", "risk_unmodelled", "tier", tokens(F.col("node")).alias("words"), "alt_for", "role", "fixed", wanted.alias("wanted"))
+    given = F.col("role") == "MANDATORY"
+    one = F.struct("place", "family", "node", "own", _bits(F.col("absent")).alias("absent"), risky().cast("int").alias("risk"), "tier", "words", F.when(F.col("role") == "ALTERNATIVE", F.col("alt_for")).otherwise(F.lit(0)).alias("alt"), ((F.col("role") == "OPTIONAL") & (F.col("own") == ANSWER)).alias("lone"), "fixed")
+    rows = rows.groupBy("item").agg(F.coalesce(F.bit_or(F.when(given, F.col("own"))), F.lit(0)).alias("letters"), F.collect_set(F.when(given, F.col("family"))).alias("families"), F.collect_set(F.when(given, F.col("node"))).alias("nodes"), F.array_sort(F.collect_list(F.when(F.col("wanted"), one))).alias("groups"))
+    schema = f"item {dict(groups.dtypes)['item']}, {RESULT}"
 
-def _groups(pdf: pd.DataFrame, fixed: set[int] = frozenset()) -> list[Group]:
-    return [
-        Group(r.place, r.family, r.node, r.own, int(r.own).bit_count(), int(r.absent).bit_count(), int(r.risk_present | r.risk_unmodelled != 0), r.tier, r.words,
-              r.alt_for if r.role == "ALTERNATIVE" else 0, r.role == "OPTIONAL" and r.own == ANSWER, r.place in fixed)
-        for r in pdf.sort_values("place").itertuples()
-    ]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                given = Given(r["letters"], frozenset(r["families"]), frozenset(r["nodes"]))
+                some = [Group(g["place"], g["family"], g["node"], g["own"], g["own"].bit_count(), g["absent"], g["risk"], g["tier"], g["words"], g["alt"], g["lone"], g["fixed"]) for g in r["groups"]]
+                status, chosen, nodes = solve(some, given)
+                done = chosen if status == "OPTIMAL" else None
+                out.append({"item": r["item"], "status": status, "chosen": None if done is None else [g.place for g in done], "key": None if done is None else list(key(given, done)), "nodes_searched": nodes})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("item", batch.schema.field("item").type), ("status", pa.string()), ("chosen", pa.list_(pa.int32())), ("key", pa.list_(pa.int32())), ("nodes_searched", pa.int64())]))
 
-
-def _columns(groups: DataFrame) -> DataFrame:
-    return groups.select("item", "place", "family", "node", "own", "absent", "risk_present", "risk_unmodelled", "tier", tokens(F.col("node")).alias("words"), "alt_for", "role", (F.size("failed") == 0).alias("admissible"))
+    return rows.mapInArrow(run, schema)
 
 
 def select_before(groups: DataFrame, arm: str, budget: int, order: Sequence[int] = tuple(range(6)), most_nodes: int = 1_000_000) -> DataFrame:
@@ -323,15 +334,8 @@ def select_before(groups: DataFrame, arm: str, budget: int, order: Sequence[int]
     Optional groups that `arm` admits, at most `budget`, of least before_key(). status: OPTIMAL, or LIMIT where the search
     was given up after `most_nodes` nodes, without a choice. Every item of `groups` has a row.
     """
-    item = dict(groups.dtypes)["item"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        given = _given(pdf)
-        status, chosen, nodes = solve_before(_groups(pdf[(pdf["role"] == "OPTIONAL") & pdf["admissible"]]), given, budget, order, most_nodes)
-        done = chosen if status == "OPTIMAL" else None
-        return pd.DataFrame({"item": [pdf["item"].iloc[0]], "status": [status], "chosen": [None if done is None else [g.place for g in done]], "key": [None if done is None else list(before_key(given, done))], "nodes_searched": [nodes]})
-
-    return _columns(groups.withColumn("failed", failed(arm))).groupBy("item").applyInPandas(run, f"item {item}, {RESULT}")
+    wanted = (F.col("role") == "OPTIONAL") & (F.size(failed(arm)) == 0)
+    return _in_batches(groups.withColumn("fixed", F.lit(False)), wanted, lambda some, given: solve_before(some, given, budget, order, most_nodes), before_key)
 
 
 def select_after(groups: DataFrame, before: DataFrame, budget: int, answer_only: int, order: Sequence[int] = tuple(range(7)), most_nodes: int = 1_000_000) -> DataFrame:
@@ -341,14 +345,6 @@ def select_after(groups: DataFrame, before: DataFrame, budget: int, answer_only:
     INFEASIBLE, MANDATORY_EXCEEDS_BUDGET, or LIMIT; only the first has a choice. Items without a choice in `before` have
     nothing fixed.
     """
-    item = dict(groups.dtypes)["item"]
-    rows = _columns(groups.withColumn("failed", F.array().cast("array<string>"))).join(before.select("item", F.explode("chosen").alias("place"), F.lit(True).alias("fixed")), ["item", "place"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        given = _given(pdf)
-        free = _groups(pdf[pdf["role"].isin(["OPTIONAL", "ALTERNATIVE"])], set(pdf.loc[pdf["fixed"].notna(), "place"]))
-        status, chosen, nodes = solve_after(free, given, budget, answer_only, order, most_nodes)
-        done = chosen if status == "OPTIMAL" else None
-        return pd.DataFrame({"item": [pdf["item"].iloc[0]], "status": [status], "chosen": [None if done is None else [g.place for g in done]], "key": [None if done is None else list(after_key(given, done))], "nodes_searched": [nodes]})
-
-    return rows.groupBy("item").applyInPandas(run, f"item {item}, {RESULT}")
+    fixed = before.select("item", "chosen").hint("merge")
+    rows = groups.join(fixed, "item", "left").withColumn("fixed", F.coalesce(F.array_contains("chosen", F.col("place").cast("int")), F.lit(False)))
+    return _in_batches(rows, F.col("role").isin("OPTIONAL", "ALTERNATIVE"), lambda some, given: solve_after(some, given, budget, answer_only, order, most_nodes), after_key)
