@@ -22,9 +22,13 @@ def distinguishing(cands: DataFrame, facts: DataFrame) -> DataFrame:
 
 def common_to_none(cands: DataFrame, facts: DataFrame) -> DataFrame:
     """(answer, key, value): the answer's facts that no candidate has."""
-    a = cands.select("answer").distinct().join(facts.withColumnRenamed("entity", "answer"), "answer")
-    held = cands.select("answer", "cand").join(facts.withColumnRenamed("entity", "cand"), "cand").select("answer", "key", "value").distinct()
-    return a.join(held, ["answer", "key", "value"], "left_anti").select("answer", "key", "value")
+    own = facts.groupBy("entity").agg(F.collect_set(F.struct("key", "value")).alias("own"))
+    held = cands.select("answer", "cand").join(own.select(F.col("entity").alias("cand"), F.col("own").alias("theirs")).hint("merge"), "cand", "left")
+    held = held.groupBy("answer").agg(F.array_distinct(F.flatten(F.collect_list("theirs"))).alias("held"))
+    rows = held.join(own.withColumnRenamed("entity", "answer").hint("merge"), "answer")
+    # a value that isn't known is held by none
+    left = F.array_except("own", F.filter("held", lambda x: x.value.isNotNull()))
+    return rows.select("answer", F.explode(left).alias("x")).select("answer", "x.key", "x.value")
 
 
 def objects(facts: DataFrame, name: str) -> DataFrame:
