@@ -65,3 +65,16 @@ def test_equals_plain_lists(spark, seed):
         assert [(x.rejected, x.cand, x.strict, x.distinguishing) for x in got[a]] == [(w[0], w[2], w[3], w[5]) for w in want]
         assert [(x.score, x.loose) for x in got[a]] == [(pytest.approx(-w[1]), pytest.approx(w[4])) for w in want]
         assert chosen.get(a, []) == picks
+
+
+def test_a_pair_is_one_row(spark):
+    """Facts move as sets: no join by key or value, and turns of the choice need no shuffle of their own."""
+    f = spark.createDataFrame([(e, k, v) for e in "abcd" for k in "kp" for v in ("1995Q1", "1996Q2", e)] + [("a", "k", None)], "entity string, key string, value string")
+    c = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("a", "none"), ("none", "b")], "answer string, cand string")
+    ranked = O.ranking(c, f, near=0.0)
+    got = {(r.answer, r.cand): (r.strict, r.distinguishing, r.rejected) for r in ranked.collect()}
+    assert got == {("a", "b"): (4, 3, False), ("a", "c"): (4, 3, False), ("a", "d"): (4, 3, False), ("a", "none"): (0, 7, True), ("none", "b"): (0, 0, False)}
+    plan = O.diverse(ranked, f)._jdf.queryExecution().optimizedPlan().toString()
+    assert [j for j in plan.split("\n") if "Join" in j and "value" in j and "LeftOuter" not in j] == []
+    assert sorted((r.cand, r.turn) for r in O.diverse(ranked, f).collect()) == [("b", 1), ("c", 2), ("d", 3)]
+    assert all(r.strict == 4 and abs(r.loose) < 1e-9 for r in O.ranking(c, f).where("answer = 'a' and cand <> 'none'").collect())
