@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stash import folder, stash
+from .stash import folder, stash, written
 
 #: Owners of one range of ids lie together in a file, so a filter on owners skips the others by the ranges in file footers.
 ROWS_PER_FILE = 2_000_000
@@ -31,9 +31,10 @@ def encode(triples: DataFrame) -> DataFrame:
 
 
 def encoded(triples: DataFrame, terms: DataFrame) -> DataFrame:
-    """`triples` as ids (s, p, o), each as often as it is there. Hot objects and predicates are looked up where their rows lie, by adaptive splitting."""
-    out = triples
-    for c in ("p", "o", "s"):
+    """`triples` as ids (s, p, o), each as often as it is there. Few predicates are looked up where their rows lie; hot objects are split by adaptive execution."""
+    few = written(terms.join(triples.select(F.col("p").alias("term")).distinct(), "term").select(F.col("term").alias("p"), F.col("id").alias("p_id")))
+    out = triples.join(few, "p").drop("p")
+    for c in ("o", "s"):
         out = out.join(terms.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id")), c).drop(c)
     return out.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o"))
 
@@ -49,7 +50,9 @@ class Adjacency:
         """triples: (s, p, o) as ids. Repeated edges stay repeated. A node with very many edges may fill several files."""
         spark = triples.sparkSession
         path = path or f"{folder(spark)}/adjacency-{uuid.uuid4().hex}"
-        ends = triples.select(F.col("s").alias("owner"), "p", F.lit(True).alias("out"), F.col("o").alias("other")).unionByName(triples.select(F.col("o").alias("owner"), "p", F.lit(False).alias("out"), F.col("s").alias("other")))
+        # written first: ranges are sampled before rows move, which would look every id up again
+        end = lambda owner, out, other: F.struct(F.col(owner).alias("owner"), "p", F.lit(out).alias("out"), F.col(other).alias("other"))
+        ends = written(triples).select(F.explode(F.array(end("s", True, "o"), end("o", False, "s"))).alias("e")).select("e.*")
         ends.repartitionByRange("owner", "p", "other").sortWithinPartitions("owner", "p", "out", "other").write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
         return cls(spark, path)
 

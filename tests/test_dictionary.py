@@ -27,3 +27,18 @@ def test_dense_sorted_ids(spark):
 def test_no_triples(spark):
     t = spark.createDataFrame([], "s string, p string, o string")
     assert D.encode(t).count() == 0
+
+
+def test_ids_are_looked_up_once(spark):
+    """Predicates need no shuffle of the triples, and an adjacency reads written ids: sampling its ranges repeats no join."""
+    t = spark.createDataFrame([("a", "p", "b"), ("b", "p", "a"), ("a", "q", "a")], "s string, p string, o string")
+    edges = D.encoded(t, D.encode(t))
+    assert edges._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2
+    assert sorted(tuple(x) for x in edges.collect()) == [(0, 2, 1), (0, 3, 0), (1, 2, 0)]
+    reads = []
+    explode, D.written = D.written, lambda df: reads.append(df) or explode(df)
+    try:
+        graph = D.Adjacency.write(edges)
+    finally:
+        D.written = explode
+    assert len(reads) == 1 and graph.read().count() == 6
