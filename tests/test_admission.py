@@ -62,3 +62,23 @@ def test_skipping_goes_on(spark):
     assert A.admit(rows.limit(0), edges, 4, 9).count() == 0
     with pytest.raises(ValueError):
         A.admit(rows, edges, 0, 9)
+
+
+def test_nodes_of_one_neighbourhood_are_counted(spark, monkeypatch):
+    """Of two candidates with private nodes and a shared one only the shared one becomes a row; what fits is as by lists."""
+    from contrasta.operators import admission
+
+    edges = spark.createDataFrame([(c, f"{c}{i}") for c in "xy" for i in range(5)] + [("x", "n"), ("y", "n"), ("a", "m")], "s string, o string")
+    cands = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "answer string, position int, cand string")
+    plain, rows = admission.stash, []
+
+    def seen(df):
+        out = plain(df)
+        if out.columns == ["answer", "place", "node"]:
+            rows.append(sorted(r.node for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(admission, "stash", seen)
+    # a, m and x with six others are 9 nodes; y brings six more, as n is there
+    assert all(r.accepted for r in admission.admit(cands, edges, 15, 5).collect())
+    assert rows[0] == ["n", "n"]
