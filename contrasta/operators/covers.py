@@ -2,12 +2,13 @@
 
 A fact covers a set of candidates, its mask. A least cover has no two facts of one mask, so only the classes of equal masks
 matter, at most 2^k - 1 for k candidates: they are counted before anything moves. Covers then grow by one class a round, in
-the order of the masks, so that every set of classes is met once; a case leaves the rounds once it is covered.
+the order of the masks, so that every set of classes is met once; a case leaves the rounds once it is covered, which is told
+where its rows lie: only classes of cases that are left move in a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stash import stash
@@ -37,24 +38,25 @@ def least_covers(facts: DataFrame, case: list[str], fact: list[str], k: int, rho
         raise ValueError(f"k = {k}: 1 to {MOST} candidates")
     if rho < 1:
         raise ValueError(f"rho = {rho}: at least 1")
-    classes = stash(mask_classes(facts, case, fact, weight, mask))
-    goal = classes.groupBy(*case).agg(F.bit_or("mask").alias("goal"))
-    todo = classes.join(goal, case)
-    state = todo.select(*case, "goal", F.col("mask").alias("covered"), F.col("mask").alias("last"), "n", "weight", F.array("fact").alias("chosen"))
-    step = classes.select(*case, F.col("mask").alias("next"), F.col("n").alias("more"), F.col("weight").alias("w"), F.col("fact").alias("f"))
+    own = Window.partitionBy(*case)
+    covered = F.max(F.col("covered") == F.col("goal")).over(own)
+    classes = mask_classes(facts, case, fact, weight, mask).dropna(subset=case).withColumns({"goal": F.bit_or("mask").over(own), "covered": F.col("mask")})
+    classes = stash(classes.withColumn("left", ~covered))
+    state = classes.select(*case, "goal", "covered", F.col("mask").alias("last"), "n", "weight", F.array("fact").alias("chosen"), "left")
+    step = classes.where("left").select(*case, F.col("mask").alias("next"), F.col("n").alias("more"), F.col("weight").alias("w"), F.col("fact").alias("f"))
     done = []
     for size in range(1, k + 1):
-        state = stash(state)
-        met = state.where("covered = goal").groupBy(*case, "covered").agg(F.sum("n").alias("n"), F.min(F.struct("weight", "chosen")).alias("best"))
-        done.append(met.select(*case, "covered", F.lit(size).alias("size"), "n", "best.weight", "best.chosen"))
-        if size == k:
-            break
-        open_ = state.join(state.where("covered = goal").select(*case).distinct(), case, "left_anti")
-        if open_.isEmpty():
+        if size > 1:
+            state = stash(state)
+        # of a case that is covered, one row
+        done.append(state.where("covered = goal").select(*case, "covered", F.lit(size).alias("size"), "n", "weight", "chosen"))
+        open_ = state.where("left")
+        if size == k or open_.isEmpty():
             break
         grown = open_.join(step, case).where("next > last and (covered | next) <> covered")
-        grown = grown.select(*case, "goal", F.expr("covered | next").alias("covered"), F.col("next").alias("last"), (F.col("n") * F.col("more")).alias("n"), (F.col("weight") + F.col("w")).alias("weight"), F.array_sort(F.concat("chosen", F.array("f"))).alias("chosen"))
-        state = grown.groupBy(*case, "goal", "covered", "last").agg(F.sum("n").alias("n"), F.min(F.struct("weight", "chosen")).alias("best")).select(*case, "goal", "covered", "last", "n", "best.weight", "best.chosen")
+        grown = grown.select(*case, "goal", F.expr("covered | next").alias("covered"), F.expr("if((covered | next) = goal, 0, next)").alias("last"), (F.col("n") * F.col("more")).alias("n"), (F.col("weight") + F.col("w")).alias("weight"), F.array_sort(F.concat("chosen", F.array("f"))).alias("chosen"))
+        state = grown.groupBy(*case, "goal", "covered", "last").agg(F.sum("n").alias("n"), F.min(F.struct("weight", "chosen")).alias("best"))
+        state = state.select(*case, "goal", "covered", "last", "n", "best.weight", "best.chosen", (~covered).alias("left"))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
