@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linkage import SLOTTED, compare, linked
-from .shared import PIECE_BYTES, arrow_rows, bounded, discard, lean, mix, row_key, stash, tidy
+from .shared import PIECE_BYTES, arrow_rows, bounded, discard, lean, mix, mix_in_place, row_key, stash, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 14, 5
@@ -40,14 +40,21 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     count = np.maximum(size - SHINGLE + 1, 1)
     first = np.cumsum(count) - count
-    start = np.cumsum(size + SHINGLE) - size - SHINGLE
-    at = np.arange(count.sum()) + np.repeat(start - first, count)
+    end = np.cumsum(size + SHINGLE)
+    inside = np.ones(len(codes), bool)
+    for k in range(2 * SHINGLE - 1):  # places between a line's last shingle and the next line
+        at = end - size - SHINGLE + count + k
+        inside[at[at < end]] = False
     with np.errstate(over="ignore"):
+        # in place: the arrays are as long as the text, and new ones cost more than what is computed
         wide = codes.astype(np.uint64)
-        h = wide[: len(wide) - SHINGLE + 1].copy()
+        places = len(wide) - SHINGLE + 1
+        h = wide[:places].copy()
         for k in range(1, SHINGLE):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + wide[k : len(wide) - SHINGLE + 1 + k]
-        h = (mix(h[at]) >> np.uint64(32)).astype(np.uint32)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += wide[k : places + k]
+        h = h[inside[:places]]
+        h = (mix_in_place(h, wide[: len(h)]) >> np.uint64(32)).astype(np.uint32)
         least = np.empty((BANDS * ROWS, len(lines)), np.uint32)
         other = np.empty_like(h)
         for k in range(BANDS * ROWS):
@@ -77,10 +84,11 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def slots(keys: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
     """Rows (key, slot, node, info) of lines x BANDS keys; a hot key's rows are dealt out by node, and one of them is in the key's own slot too."""
     key, node, info = keys.ravel(), np.repeat(nodes, BANDS), np.repeat(bits, BANDS)
+    ordered = np.sort(key)
+    if not (ordered[HOT - 1 :] == ordered[: max(0, len(key) - HOT + 1)]).any():
+        return [key, key, node, info]
     _, first, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     hot = count[back] >= HOT
-    if not hot.any():
-        return [key, key, node, info]
     with np.errstate(over="ignore"):
         salted = mix(key.view(np.uint64) + (mix(node.view(np.uint64)) % np.uint64(SALTS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
     more = first[count >= HOT]

@@ -27,6 +27,8 @@ PAIRED, BLOCK = 24, 2000
 PRUNED = 64
 #: Rows of a group that a task holds; of a larger group it keeps the hub alone.
 HELD_ROWS = 20_000
+#: Rows of entries in an Arrow batch: they are narrow, and a batch costs as much as thousands of them. Batches of texts are bounded by their bytes.
+ENTRY_ROWS = 20_000
 #: Partners of a home in one part of it.
 PART = 2000
 #: The bit of `info` that says that the key has members in other slots.
@@ -231,7 +233,9 @@ def linked(entries: DataFrame, admits: Callable[[Column, Column], Column], near:
     spark = entries.sparkSession
     order = F.struct(F.xxhash64("node").alias("h"), "node", "info")
     rows = entries.repartition("slot").sortWithinPartitions("slot").select("key", "slot", "node", "info")
+    arrow_rows(spark, ENTRY_ROWS)
     common = stash(rows.mapInArrow(shared_keys(near), ", ".join(f"`{c}` bigint" for c in _NAMES)))
+    arrow_rows(spark)
     del rows
     tidy(spark)  # the shuffle of all entries is the largest; what is left of it has been written
     if prepare:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of at most 32 bytes that a broadcast may hold; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+#: Bytes of an Arrow batch, but for one longer row.
+BATCH_BYTES = 2 << 20
 #: Bytes of text that numpy works on at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 18
 
@@ -26,8 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the Arrow batches of this session, so that long texts don't fill a Python worker."""
+    """Bounds the Arrow batches of this session, in rows and in bytes, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -131,6 +134,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def mix_in_place(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """The same over `x` itself; `spare` is as long, and is overwritten."""
+    with np.errstate(over="ignore"):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            np.right_shift(x, np.uint64(shift), out=spare)
+            x ^= spare
+            x *= np.uint64(factor)
+        np.right_shift(x, np.uint64(31), out=spare)
+        x ^= spare
+    return x
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, PIECE_BYTES * 2)

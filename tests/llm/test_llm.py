@@ -607,3 +607,13 @@ def test_bounded_joins_by_shuffle_beyond_its_bound(spark):
     plan = lambda n: rows.join(shared.bounded(small, n), "k")._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan(5) and "SortMergeJoin" in plan(4)
     assert rows.join(shared.bounded(small, 0), "k").count() == rows.join(shared.bounded(small), "k").count() == 5
+
+
+def test_signatures_in_place_and_batches_by_bytes(spark):
+    """Mixing in place is mixing; entries move in large batches, and texts in batches that their bytes bound."""
+    x = np.random.default_rng(3).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    assert (shared.mix_in_place(x.copy(), np.empty_like(x)) == shared.mix(x)).all()
+    shared.arrow_rows(spark, linkage.ENTRY_ROWS)
+    sizes = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) as t").mapInArrow(lambda bs: (type(b).from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
+    shared.arrow_rows(spark)
+    assert len(sizes) > 1 and max(r.n for r in sizes) < 2 * shared.BATCH_BYTES
