@@ -2,15 +2,17 @@
 
 universe() turns the facts of all choices into groups, one per family of keys and canonical node, and says for every choice that
 lacks the group how it lacks it. Choices are bits, so one aggregation and one join serve all of them. select_before() and
-select_after() pick groups by lexicographic 0-1 programs, solved exactly by branch and bound, one item a group whose size
-bound_optional() limits.
+select_after() pick groups by lexicographic 0-1 programs over all groups of an item, solved exactly by tables of states, many
+items at once; an item whose states would be too many is searched by branch and bound, to the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,7 +122,8 @@ def bound_optional(groups: DataFrame, most: int | None, per_family: int | None =
     """`groups` without optional ones beyond `most` per item, by support, tier, words, length and name.
 
     With per_family or per_letter, strata stay whatever `most` is: groups of a node that a mandatory or alternative
-    group has, the first of each family, the first of each letter but the answer's. Other roles are never cut.
+    group has, the first of each family, the first of each letter but the answer's. Other roles are never cut. No query
+    calls it: the selections take all groups.
     """
     if most is None:
         return groups
@@ -192,7 +195,7 @@ class Search:
     completion's key is at least one of them in each component, and thus in the lexicographic order too.
     """
 
-    def __init__(self, groups: Sequence[Group], key: Callable, floors: Callable, allowed: Callable, complete: Callable, order: Sequence[int], most_nodes: int) -> None:
+    def __init__(self, groups: Sequence[Group], key: Callable, floors: Callable, allowed: Callable, complete: Callable, order: Sequence[int], most_nodes: int | None) -> None:
         self.groups, self.key, self.floors, self.allowed, self.complete = groups, key, floors, allowed, complete
         self.order, self.most_nodes = order, most_nodes
         self.best: tuple | None = None
@@ -207,7 +210,7 @@ class Search:
         while stack:
             i, chosen = stack.pop()
             self.nodes += 1
-            if self.nodes > self.most_nodes:
+            if self.most_nodes is not None and self.nodes > self.most_nodes:
                 return "LIMIT"
             if self.best is not None and min(self.permuted(f) for f in self.floors(i, chosen)) >= self.best:
                 continue
@@ -223,7 +226,7 @@ class Search:
         return "OPTIMAL" if self.chosen is not None else "INFEASIBLE"
 
 
-def solve_before(groups: Sequence[Group], given: Given, budget: int, order: Sequence[int], most_nodes: int) -> tuple[str, list[Group] | None, int]:
+def solve_before(groups: Sequence[Group], given: Given, budget: int, order: Sequence[int], most_nodes: int | None) -> tuple[str, list[Group] | None, int]:
     """At most `budget` groups of least before_key(), its components in `order`."""
     n = len(groups)
     reach, families = [0] * (n + 1), [frozenset()] * (n + 1)
@@ -250,7 +253,7 @@ def solve_before(groups: Sequence[Group], given: Given, budget: int, order: Sequ
     return search.run(), search.chosen, search.nodes
 
 
-def solve_after(groups: Sequence[Group], given: Given, budget: int, answer_only: int, order: Sequence[int], most_nodes: int) -> tuple[str, list[Group] | None, int]:
+def solve_after(groups: Sequence[Group], given: Given, budget: int, answer_only: int, order: Sequence[int], most_nodes: int | None) -> tuple[str, list[Group] | None, int]:
     """Groups of least after_key() on at most `budget` nodes, mandatory ones counted, with an alternative for every letter that has one and at most `answer_only` groups of the answer alone."""
     if len(given.nodes) > budget:
         return "MANDATORY_EXCEEDS_BUDGET", None, 0
@@ -303,10 +306,192 @@ def solve_after(groups: Sequence[Group], given: Given, budget: int, answer_only:
     return search.run(), search.chosen, search.nodes
 
 
+# -- the same programs, many items at once ----------------------------------------------------------------------------
+
+#: States that are held at once, of all items that are solved together.
+STATES = 1 << 19
+#: Nodes with groups in several families that states tell apart; an item with more of them is searched.
+SHARED = 6
+
+
+@dataclass(frozen=True)
+class Program:
+    """What is to be small, in `order`: the sums of `costs`, new families (at `family`) and what is spent (at `spent`), and letters not covered (at `letter`; None: all must be)."""
+
+    costs: Sequence[str | None]
+    family: int
+    spent: int
+    letter: int | None
+    budget: int
+    lone: int
+    order: Sequence[int]
+
+
+BEFORE = ((None, "info", None, None, "tier", "words"), 2, 3, 0)
+AFTER = (("absent", "risk", "info", None, None, "tier", "words"), 3, 4, None)
+
+
+@lru_cache(maxsize=32)
+def _moves(budget: int, lone: int, shared: int) -> tuple[np.ndarray, ...]:
+    """The states of a search and where each leads: (states, take, leave, unpaid).
+
+    states: shared nodes paid, what may be spent, letters not covered, whether the family has a group, groups of the answer alone that
+    may come. take: by what a group needs (0 nothing, 1 one, 2 + i shared node i), its letters, whether it is the answer's alone and the
+    last of its family; the number after the last state is the dead end. leave: by whether it is the last. unpaid: where a need costs one.
+    """
+    shape = (1 << shared, budget + 1, ALL + 1, 2, lone + 1)
+    states = np.indices(shape).reshape(5, -1)
+    paid, left, missing, has, more = states
+    unpaid = np.array([np.zeros_like(paid), np.ones_like(paid), *[1 - (paid >> i & 1) for i in range(shared)]])
+    take = np.empty((2 + shared, ALL + 1, 2, 2, len(paid)), dtype=np.int64)
+    for need, letters, alone, last in np.ndindex(take.shape[:4]):
+        then = (paid | (1 << (need - 2)) if need > 1 else paid), left - unpaid[need], missing & ~letters, np.full_like(has, 1 - last), more - alone
+        take[need, letters, alone, last] = np.where((then[1] >= 0) & (then[4] >= 0), np.ravel_multi_index(then, shape, mode="clip"), len(paid))
+    leave = np.array([np.ravel_multi_index((paid, left, missing, has * (1 - last), more), shape) for last in (0, 1)])
+    return states, take.reshape(-1, len(paid)), leave, unpaid
+
+
+def tabulated(p: Program, item: np.ndarray, rows: dict[str, np.ndarray], start: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(solved, taken, states): which items have a solution, which rows are in the best one, and how many states each item had.
+
+    rows: groups by item and place, families and nodes as numbers: place order breaks ties as Search does. start: of each item what may be
+    spent, the letters to cover and its shared nodes. Families are gone through one after the other, from the end: a state's
+    best rest is known before the states that lead to it, so all states are met and no order of groups is slow.
+    """
+    n = len(start["budget"])
+    size = np.bincount(item, minlength=n)
+    pos = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
+    # one number in place of the components: each outweighs all that come after it
+    most = [max(np.bincount(item, weights=np.abs(rows[c]), minlength=n).max(initial=0), 0) if c else max(size.max(initial=0), len(LETTERS)) for c in p.costs]
+    weight, top = [0] * len(most), 1
+    for c in reversed(p.order):
+        weight[c], top = top, top * (int(most[c]) + 1)
+    kind = np.int64 if top < 1 << 59 else object
+    cost = np.zeros(len(item), dtype=kind)
+    for c, w in zip(p.costs, weight, strict=True):
+        if c:
+            cost = cost + rows[c].astype(kind) * w
+    marks = np.int64 if size.max(initial=0) < 62 else object
+    mark = np.array([1], dtype=marks) << (np.repeat(size, size) - 1 - pos).astype(marks)
+    by = np.lexsort((pos, rows["family"], item))
+    family, owner = rows["family"][by], item[by]
+    last = np.append((family[1:] != family[:-1]) | (owner[1:] != owner[:-1]), True)[: len(by)]
+    solved, taken, states = np.zeros(n, dtype=bool), np.zeros(len(item), dtype=bool), np.zeros(n, dtype=np.int64)
+    best = np.zeros(n, dtype=marks)
+    for shared in np.unique(start["shared"]):
+        (all_states, take, leave, unpaid), dead = _moves(p.budget, p.lone, int(shared)), 4 * top
+        count = all_states.shape[1]
+        end = np.bitwise_count(all_states[2]).astype(kind) * weight[p.letter] if p.letter is not None else np.where(all_states[2] > 0, dead, 0).astype(kind)
+        first = (all_states[3] == 0).astype(kind)
+        some = np.flatnonzero(start["shared"] == shared)
+        some = some[np.argsort(-size[some], kind="stable")]
+        states[some] = count * (size[some] + 1)
+        many = max(1, STATES // count)
+        for chunk in (some[i : i + many] for i in range(0, len(some), many)):
+            turn = np.full(n, -1)
+            turn[chunk] = np.arange(len(chunk))
+            mine = turn[owner] >= 0
+            r = by[mine]
+            at = turn[item[r]], pos[mine]
+            grid = lambda x, t: _grid(at, x, (len(chunk), size[chunk[0]]), t)  # noqa: E731, B023
+            lasts = last[mine].astype(np.int64)
+            need = grid(rows["need"][r], np.int64)
+            move = grid(np.ravel_multi_index((rows["need"][r], rows["letters"][r], rows["lone"][r], lasts), (2 + int(shared), ALL + 1, 2, 2)), np.int64)
+            lasts, fixed, costs, new, bits = grid(lasts, np.int64), grid(rows["fixed"][r], bool), grid(cost[r], kind), grid(rows["new"][r], bool), grid(mark[r], marks)
+            value = np.concatenate([np.tile(end, (len(chunk), 1)), np.full((len(chunk), 1), dead, dtype=kind)], axis=1)
+            held = np.zeros(value.shape, dtype=marks)
+            for k in range(size[chunk[0]] - 1, -1, -1):
+                a = int(np.searchsorted(-size[chunk], -k))  # items with a group k: the first ones
+                base = np.arange(a)[:, None] * (count + 1)
+                to, off = take[move[:a, k]] + base, leave[lasts[:a, k]] + base
+                yes = value.ravel()[to] + costs[:a, k, None] - np.where(new[:a, k, None], first * weight[p.family], 0) + unpaid[need[:a, k]] * weight[p.spent]
+                no = np.where(fixed[:a, k, None], dead, value.ravel()[off])
+                with_, without = held.ravel()[to] + bits[:a, k, None], held.ravel()[off]
+                better = (yes < no) | ((yes == no) & (with_ > without))
+                value[:a, :count], held[:a, :count] = np.where(better, yes, no), np.where(better, with_, without)
+            from_ = np.ravel_multi_index((np.zeros(len(chunk), dtype=np.int64), start["budget"][chunk], start["letters"][chunk], np.zeros(len(chunk), dtype=np.int64), np.full(len(chunk), p.lone)), (1 << int(shared), p.budget + 1, ALL + 1, 2, p.lone + 1))
+            solved[chunk] = value[np.arange(len(chunk)), from_] < 2 * top
+            best[chunk] = held[np.arange(len(chunk)), from_]
+    taken = ((np.repeat(best, size) & mark) > 0) & np.repeat(solved, size)
+    return solved, taken.astype(bool), states
+
+
+def _grid(at: tuple[np.ndarray, np.ndarray], x: np.ndarray, shape: tuple[int, int], kind: type) -> np.ndarray:
+    out = np.zeros(shape, dtype=kind)
+    out[at] = x
+    return out
+
+
 RESULT = "status string, chosen array<int>, key array<int>, nodes_searched long"
 
 
-def _in_batches(groups: DataFrame, wanted: Column, solve: Callable[[list[Group], Given], tuple[str, list[Group] | None, int]], key: Callable) -> DataFrame:
+def _numbered(item: np.ndarray, mine: pa.Array, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Names as numbers of item and name, and whether the item's list has them."""
+    both = pa.concat_arrays([mine, lists.flatten().cast(mine.type)]).dictionary_encode()
+    owners = np.concatenate([item, np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())])
+    number = owners * (len(both.dictionary) + 1) + both.indices.to_numpy(zero_copy_only=False)
+    return number[: len(item)], np.isin(number[: len(item)], number[len(item) :])
+
+
+def _solve(batch: pa.RecordBatch, p: Program) -> pa.RecordBatch:
+    after, n = p.letter is None, len(batch)
+    lists = batch.column("groups")
+    item, flat = np.repeat(np.arange(n), lists.value_lengths().to_numpy()), lists.flatten()
+    get = lambda c: flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = {c: get(c) for c in ("place", "own", "absent", "risk", "tier", "words", "alt", "lone", "fixed")}
+    rows["family"], known = _numbered(item, flat.field("family"), batch.column("families"))
+    node, free = _numbered(item, flat.field("node"), batch.column("nodes"))
+    rows["new"], rows["info"] = ~known, 1 - np.bitwise_count(rows["own"]).astype(np.int64)
+    spent, status = batch.column("nodes").value_lengths().to_numpy() if after else np.zeros(n, dtype=np.int64), np.full(n, "INFEASIBLE", dtype=object)
+    rows["letters"], shared = (rows["alt"] if after else rows["own"]), np.zeros(n, dtype=np.int64)
+    rows["need"] = np.ones(len(item), dtype=np.int64)
+    if after:
+        names, at, times = np.unique(node, return_inverse=True, return_counts=True)
+        several = (times[at] > 1) & ~free
+        twice, place = np.unique(node[several], return_inverse=True)
+        owner = np.zeros(len(twice), dtype=np.int64)
+        owner[place] = item[several]
+        shared = np.bincount(owner, minlength=n)
+        before = np.cumsum(shared) - shared
+        rows["need"][several] = 2 + place - before[item[several]]
+        rows["need"][free] = 0
+    else:
+        rows["lone"] = np.zeros(len(item), dtype=np.int64)
+    goal = np.zeros(n, dtype=np.int64)
+    if after:
+        np.bitwise_or.at(goal, item, rows["alt"])
+    else:
+        goal = ALL & ~batch.column("letters").to_numpy(zero_copy_only=False).astype(np.int64)
+    status[spent > p.budget] = "MANDATORY_EXCEEDS_BUDGET"
+    small = (spent <= p.budget) & (shared <= SHARED)
+    number, part = np.cumsum(small) - 1, small[item]
+    solved, taken, states = tabulated(p, number[item[part]], {c: x[part] for c, x in rows.items()}, {"budget": (p.budget - spent)[small], "letters": goal[small], "shared": shared[small]})
+    chosen, searched = np.zeros(len(item), dtype=bool), np.zeros(n, dtype=np.int64)
+    chosen[part], searched[small] = taken, states
+    status[np.flatnonzero(small)[solved]] = "OPTIMAL"
+    for i in np.flatnonzero((spent <= p.budget) & ~small):
+        mine = np.flatnonzero(item == i)
+        given = Given(0, frozenset(rows["family"][mine][known[mine]].tolist()), frozenset([*node[mine][free[mine]].tolist(), *[-1 - k for k in range(spent[i] - len(set(node[mine][free[mine]].tolist())))]]))
+        some = [Group(int(k), int(rows["family"][k]), int(node[k]), int(rows["own"][k]), int(rows["own"][k]).bit_count(), *[int(rows[c][k]) for c in ("absent", "risk", "tier", "words", "alt")], bool(rows["lone"][k]), bool(rows["fixed"][k])) for k in mine]
+        status[i], found, searched[i] = solve_after(some, given, p.budget, p.lone, p.order, None)
+        chosen[[g.place for g in found or []]] = True
+    own = item[chosen]
+    total = lambda x: np.bincount(own, weights=x, minlength=n).astype(np.int64)
+    distinct = lambda x, which: np.bincount(item[chosen][which][np.unique(x[chosen][which], return_index=True)[1]], minlength=n)
+    key = [total(rows[c][chosen]) if c else None for c in p.costs]
+    key[p.family] = -distinct(rows["family"], ~known[chosen])
+    key[p.spent] = distinct(node, ~free[chosen]) if after else total(np.ones(len(own)))
+    if not after:
+        letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(np.int64)
+        np.bitwise_or.at(letters, own, rows["own"][chosen])
+        key[p.letter] = len(LETTERS) - np.bitwise_count(letters).astype(np.int64)
+    done = status == "OPTIMAL"
+    places = np.split(rows["place"][chosen], np.cumsum(np.bincount(own, minlength=n))[:-1])
+    keys = np.stack(key, axis=1)
+    return pa.RecordBatch.from_arrays([batch.column("item"), pa.array(status, pa.string()), pa.array([x if d else None for x, d in zip(places, done, strict=True)], pa.list_(pa.int32())), pa.array([x if d else None for x, d in zip(keys, done, strict=True)], pa.list_(pa.int32())), pa.array(searched, pa.int64())], names=["item", "status", "chosen", "key", "nodes_searched"])
+
+
+def _in_batches(groups: DataFrame, wanted: Column, p: Program) -> DataFrame:
     """One row per item, of RESULT: its mandatory groups summed up, its `wanted` ones an array, and whole batches of items to a task's Python."""
     rows = groups.select("item", "place", "family", "node", "own", "absent", "risk_present", "risk_unmodelled", "tier", tokens(F.col("node")).alias("words"), "alt_for", "role", "fixed", wanted.alias("wanted"))
     given = F.col("role") == "MANDATORY"
@@ -316,35 +501,27 @@ def _in_batches(groups: DataFrame, wanted: Column, solve: Callable[[list[Group],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                given = Given(r["letters"], frozenset(r["families"]), frozenset(r["nodes"]))
-                some = [Group(g["place"], g["family"], g["node"], g["own"], g["own"].bit_count(), g["absent"], g["risk"], g["tier"], g["words"], g["alt"], g["lone"], g["fixed"]) for g in r["groups"]]
-                status, chosen, nodes = solve(some, given)
-                done = chosen if status == "OPTIMAL" else None
-                out.append({"item": r["item"], "status": status, "chosen": None if done is None else [g.place for g in done], "key": None if done is None else list(key(given, done)), "nodes_searched": nodes})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("item", batch.schema.field("item").type), ("status", pa.string()), ("chosen", pa.list_(pa.int32())), ("key", pa.list_(pa.int32())), ("nodes_searched", pa.int64())]))
+            if len(batch):
+                yield _solve(batch, p)
 
     return rows.mapInArrow(run, schema)
 
 
-def select_before(groups: DataFrame, arm: str, budget: int, order: Sequence[int] = tuple(range(6)), most_nodes: int = 1_000_000) -> DataFrame:
+def select_before(groups: DataFrame, arm: str, budget: int, order: Sequence[int] = tuple(range(6))) -> DataFrame:
     """(item, status, chosen, key, nodes_searched): what to show before the answer, as places of tiers().
 
-    Optional groups that `arm` admits, at most `budget`, of least before_key(). status: OPTIMAL, or LIMIT where the search
-    was given up after `most_nodes` nodes, without a choice. Every item of `groups` has a row.
+    Optional groups that `arm` admits, at most `budget`, of least before_key(). status: OPTIMAL. Every item of `groups` has a row.
     """
     wanted = (F.col("role") == "OPTIONAL") & (F.size(failed(arm)) == 0)
-    return _in_batches(groups.withColumn("fixed", F.lit(False)), wanted, lambda some, given: solve_before(some, given, budget, order, most_nodes), before_key)
+    return _in_batches(groups.withColumn("fixed", F.lit(False)), wanted, Program(*BEFORE, budget, 0, tuple(order)))
 
 
-def select_after(groups: DataFrame, before: DataFrame, budget: int, answer_only: int, order: Sequence[int] = tuple(range(7)), most_nodes: int = 1_000_000) -> DataFrame:
+def select_after(groups: DataFrame, before: DataFrame, budget: int, answer_only: int, order: Sequence[int] = tuple(range(7))) -> DataFrame:
     """(item, status, chosen, key, nodes_searched): what to show after the answer: all of `before`, and more.
 
     Optional and alternative groups of least after_key(), on at most `budget` nodes with the mandatory ones. status: OPTIMAL,
-    INFEASIBLE, MANDATORY_EXCEEDS_BUDGET, or LIMIT; only the first has a choice. Items without a choice in `before` have
-    nothing fixed.
+    INFEASIBLE or MANDATORY_EXCEEDS_BUDGET; only the first has a choice. Items without a choice in `before` have nothing fixed.
     """
     fixed = before.select("item", "chosen").hint("merge")
     rows = groups.join(fixed, "item", "left").withColumn("fixed", F.coalesce(F.array_contains("chosen", F.col("place").cast("int")), F.lit(False)))
-    return _in_batches(rows, F.col("role").isin("OPTIONAL", "ALTERNATIVE"), lambda some, given: solve_after(some, given, budget, answer_only, order, most_nodes), after_key)
+    return _in_batches(rows, F.col("role").isin("OPTIONAL", "ALTERNATIVE"), Program(*AFTER, budget, answer_only, tuple(order)))
