@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stash import stash
+
 
 def roster(rows: DataFrame) -> DataFrame:
     """(answer, ranks, repeats, own, scores): whether the ranks of an answer's candidates aren't 1..n, one repeats, one is the answer, a score isn't finite. A short roster is no fault."""
@@ -51,12 +53,16 @@ def retention(chosen: DataFrame, hidden: tuple[str, ...] = ("diagnostic-l0",)) -
     chosen: (answer, policy, i, j, k), the combination of each answer. Two blocks: `any` selection, and those `shown`, whose
     policy isn't one of `hidden`; a block without answers has no row.
     """
-    blocks = F.explode(F.array_compact(F.array(F.lit("any"), F.when(~F.col("policy").isin(*hidden), "shown"))))
-    rows = chosen.select("i", "j", "k", blocks.alias("block"))
-    first = F.count_if((F.col("i") == 1) & (F.col("j") == 2) & (F.col("k") == 3))
-    mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
-    slots = rows.groupBy("block").agg(F.count("*").alias("answers"), first.alias("first_three"), F.round(100 * first / F.count("*"), 2).alias("first_three_pct"), mean("i", "mean_first"), mean("j", "mean_second"), mean("k", "mean_third"))
+    # combinations of ranks are few: they are counted in one pass over the answers, and all else is taken from the counts
+    shown = F.count_if(~F.col("policy").isin(*hidden)).alias("shown")
+    counts = stash(chosen.groupBy("i", "j", "k").agg(F.count("*").alias("any"), shown))
+    blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).alias("n")) for b in ("any", "shown")])).alias("b")
+    rows = counts.select("i", "j", "k", blocks).select("i", "j", "k", "b.*").where("n > 0")
+    n = F.sum("n")
+    first = F.sum(F.when((F.col("i") == 1) & (F.col("j") == 2) & (F.col("k") == 3), F.col("n")).otherwise(0))
+    mean = lambda c, name: F.round(F.sum(F.col(c) * F.col("n")) / n, 4).alias(name)
+    slots = rows.groupBy("block").agg(n.alias("answers"), first.alias("first_three"), F.round(100 * first / n, 2).alias("first_three_pct"), mean("i", "mean_first"), mean("j", "mean_second"), mean("k", "mean_third"))
     # ranks are few and small, so the middle is found among their counts
-    ranks = rows.select("block", F.explode(F.array("i", "j", "k")).alias("rank")).groupBy("block", "rank").agg(F.count("*").alias("n"))
+    ranks = rows.select("block", "n", F.explode(F.array("i", "j", "k")).alias("rank")).groupBy("block", "rank").agg(F.sum("n").alias("n"))
     whole = ranks.groupBy("block").agg(F.round(F.sum(F.col("rank") * F.col("n")) / F.sum("n"), 4).alias("mean_rank"), F.expr("percentile(rank, 0.5, n)").alias("median_rank"), F.min("rank").alias("least_rank"), F.max("rank").alias("most_rank"))
     return slots.join(whole, "block")

@@ -51,17 +51,27 @@ def strongest_level(cands: DataFrame, matrix: DataFrame, least: int = 1) -> Data
     return rows.select(*TRIPLE, F.col(f"s{least}").alias("size"), level.alias("level"))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once and not for each element of the arrays that `then` goes through."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def prefix_best(rows: DataFrame) -> DataFrame:
     """(.., policy, least, i, j, k, size, sum_score, sum_rank): by_answer() with, under an answer's first feasible policy, all combinations that are best by score sum, least score and cover size."""
-    rows = rows.withColumns({f"ats{least}": _ats(least) for _, least in POLICIES}).withColumn("all", combinations(F.col("places")))
-    for _, least in POLICIES:
-        one = lambda c: F.struct(F.struct((-c.sum_score).alias("a"), (-c.min_score).alias("b"), size_at(F.col(f"ats{least}"), c).alias("size")).alias("top"), c.alias("c"))  # noqa: E731, B023  called at once
-        rows = rows.withColumn(f"found{least}", F.filter(F.transform("all", one), lambda x: x.top.size <= 3))
-    case = lambda of: F.coalesce(*[F.when(F.size(f"found{n}") > 0, of(name, n)) for name, n in POLICIES])
-    rows = rows.select("answer", "every", "facts", case(lambda name, n: F.lit(name)).alias("policy"), case(lambda name, n: F.lit(n)).alias("least"), case(lambda name, n: F.col(f"found{n}")).alias("found"))
-    rows = rows.where("policy is not null").withColumn("best", F.array_min("found").top)
-    rows = rows.select("answer", "every", "facts", "policy", "least", F.explode(F.filter("found", lambda x: x.top == F.col("best"))).alias("x"))
-    return rows.select("answer", "every", "facts", "policy", "least", "x.c.i", "x.c.j", "x.c.k", "x.top.size", "x.c.sum_score", "x.c.sum_rank")
+    # three facts at most cover a triple if and only if each position has a fact: policies and what is feasible need no sizes
+    unions = {f"u{n}": F.aggregate("facts", F.lit(0).cast("long"), lambda s, f: s.bitwiseOR(f[f"at{n}"])).bitwiseAND(F.col("every")) for _, n in POLICIES}  # noqa: B023  called at once
+    rows = rows.withColumns(unions)
+    case = lambda of: F.coalesce(*[F.when(F.bit_count(f"u{n}") >= 3, of(name, n)) for name, n in POLICIES])
+    rows = rows.select("answer", "every", "facts", "places", case(lambda name, n: F.lit(name)).alias("policy"), case(lambda name, n: F.lit(n)).alias("least"), case(lambda name, n: F.col(f"u{n}")).alias("union")).where("policy is not null")
+    # sizes are found for those alone that tie on both scores
+    ats = F.array_distinct(F.transform("facts", lambda f: F.when(F.col("least") == 3, f.at3).when(F.col("least") == 2, f.at2).otherwise(f.at1)))
+    scores = lambda c: F.struct((-c.sum_score).alias("a"), (-c.min_score).alias("b"))
+    least_of = lambda xs, of: _let(xs, lambda all_: _let(F.array_min(F.transform(all_, of)), lambda low: F.filter(all_, lambda x: of(x) == low)))
+    told = _let(F.col("union"), lambda u: F.filter("places", lambda x: F.getbit(u, x.pos) == 1))
+    tied = least_of(_let(told, combinations), scores)
+    sized = _let(ats, lambda a: F.transform(tied, lambda c: F.struct(size_at(a, c).alias("size"), c.alias("c"))))
+    rows = rows.select("answer", "every", "facts", "policy", "least", F.explode(least_of(sized, lambda x: x["size"])).alias("x"))
+    return rows.select("answer", "every", "facts", "policy", "least", "x.c.i", "x.c.j", "x.c.k", "x.size", "x.c.sum_score", "x.c.sum_rank")
 
 
 def minimum_rationales(rows: DataFrame) -> DataFrame:

@@ -31,3 +31,17 @@ def test_retention_blocks(spark):
     got = {r.block: r for r in C.retention(chosen).collect()}
     assert (got["any"].answers, got["any"].first_three, got["any"].first_three_pct, got["any"].median_rank) == (3, 2, 66.67, 2.0)
     assert (got["shown"].answers, got["shown"].first_three, got["shown"].mean_third, got["shown"].most_rank) == (2, 1, 4.0, 5)
+
+
+def test_retention_goes_through_the_answers_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            seen.add(x.num_rows)
+            yield x
+
+    chosen = spark.createDataFrame([(i, "diagnostic-l0", 1, 2, 3 + i % 4) for i in range(40)], "answer int, policy string, i int, j int, k int")
+    got = C.retention(chosen.mapInArrow(counted, chosen.schema)).collect()
+    assert [(r.block, r.answers, r.first_three, r.mean_third, r.median_rank) for r in got] == [("any", 40, 10, 4.5, 2.0)]
+    assert seen.value == 40
